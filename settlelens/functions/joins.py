@@ -26,13 +26,16 @@ def exact_percentiles(
     totals are accumulated per key, and ranks inside one (key, bucket) are accumulated on their own,
     so a key with a third of all rows is still spread over ``buckets`` partitions.
     """
+    if not keys:
+        one = exact_percentiles(df.withColumn("_all", F.lit(1)), ["_all"], value, probs, buckets)
+        return one.drop("_all")
     v = F.col(value).cast("double")
     counts = df.filter(v.isNotNull() & ~F.isnan(v)).groupBy(*keys, v.alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
     span = counts.groupBy(*keys).agg(
         F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_n").alias("_total")
     )
     width = (F.col("_hi") - F.col("_lo")) / F.lit(float(buckets))
-    bucketed = _join(counts, span, keys).withColumn(
+    bucketed = counts.join(span, keys).withColumn(
         "_b",
         F.when(width > 0, F.least(F.floor((F.col("_v") - F.col("_lo")) / width), F.lit(buckets - 1))).otherwise(0).cast(
             "int"
@@ -44,7 +47,7 @@ def exact_percentiles(
         "_b",
         (F.sum("_bn").over(W.partitionBy(*keys).orderBy("_b")) - F.col("_bn")).alias("_before"),
     )
-    ranked = _join(bucketed, before, [*keys, "_b"]).withColumn(
+    ranked = bucketed.join(before, [*keys, "_b"]).withColumn(
         "_end", F.col("_before") + F.sum("_n").over(W.partitionBy(*keys, "_b").orderBy("_v"))
     )
     start = F.col("_end") - F.col("_n")
@@ -65,8 +68,3 @@ def exact_percentiles(
         out.append((lo + (hi - lo) * part).alias(name))
     return picked.select(*keys, *out)
 
-
-def _join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    if keys:
-        return left.join(right, keys)
-    return left.join(right)  # a single totals row
