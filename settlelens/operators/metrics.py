@@ -170,9 +170,8 @@ def floor_runs(
 ) -> DataFrame:
     """Blob fee floor regime: fee <= 1.05 x the minimum over the whole post-activation sample."""
     post = decomposition.filter(X.post_regime("date_utc", boundary)).select("date_utc", fee)
-    low = post.agg((F.min(fee) * F.lit(float(C.FLOOR_FACTOR))).alias("_limit")).withColumn("_one", F.lit(1))
-    marked = post.withColumn("_one", F.lit(1)).join(low, "_one")
-    return true_runs(marked, [], "date_utc", F.col(fee) <= F.col("_limit"), C.FLOOR_MIN_DAYS)
+    low = post.agg((F.min(fee) * F.lit(float(C.FLOOR_FACTOR))).alias("_limit"))
+    return true_runs(post, [], "date_utc", F.col(fee) <= low.scalar(), C.FLOOR_MIN_DAYS)
 
 
 def days_in_runs(runs: DataFrame) -> DataFrame:
@@ -260,11 +259,9 @@ def missing_numbers(df: DataFrame, number: str, shard: int = 1_000_000) -> DataF
 
 def trailing_fees(panel: DataFrame, days: int = 30) -> DataFrame:
     """Fees per rollup over the last ``days`` days of the panel."""
-    last = panel.agg(F.max("date_utc").alias("_last")).withColumn("_one", F.lit(1))
+    last = panel.agg(F.max("date_utc").alias("_last"))
     return (
-        panel.withColumn("_one", F.lit(1))
-        .join(last, "_one")
-        .filter(F.col("date_utc") > F.date_sub("_last", days))
+        panel.filter(F.col("date_utc") > F.date_sub(last.scalar(), days))
         .groupBy("rollup_id")
         .agg(exact_sum("l2_fees_eth").cast("double").alias("l2_fees_eth"))
     )
