@@ -76,6 +76,11 @@ def _sum(name: str) -> Column:
     return F.coalesce(F.sum(name), F.lit(0)).cast(C.WEI)
 
 
+def exact_mean(name: str) -> Column:
+    """Mean of wei amounts: the decimal average would keep four places only."""
+    return X.ratio_or_null(F.sum(name), F.count(name))
+
+
 def daily_costs(tx: DataFrame, keys: tuple[str, ...] = ("date_utc", "rollup_id")) -> DataFrame:
     """Wei sums per key with map-side partial sums, then one exact conversion to ETH."""
     sums = tx.groupBy(*keys).agg(
@@ -111,7 +116,7 @@ def decomposition(tx: DataFrame) -> DataFrame:
             _sum("burn_blob_wei").alias("_blob"),
             _sum("tips_wei").alias("_tips"),
             F.sum(X.blob_gas("blob_count")).alias("l1_blob_gas_used"),
-            F.avg("base_fee_per_blob_gas_wei").alias("_fee"),
+            exact_mean("base_fee_per_blob_gas_wei").alias("_fee"),
         )
     )
     return d.select(
@@ -122,7 +127,7 @@ def decomposition(tx: DataFrame) -> DataFrame:
         X.wei_to_eth((F.col("_base") + F.col("_blob") + F.col("_tips")).cast(C.WEI)).alias("l1_total_rent_eth"),
         "l1_blob_gas_used",
         F.lit(None).cast("bigint").alias("l1_calldata_gas_used"),
-        (F.col("_fee").cast("double") / C.WEI_PER_GWEI).alias("l1_blob_base_fee_gwei"),
+        (F.col("_fee") / C.WEI_PER_GWEI).alias("l1_blob_base_fee_gwei"),
     )
 
 
@@ -163,7 +168,7 @@ def blob_fee_state(blocks: DataFrame) -> DataFrame:
     b = blocks.withColumn("date_utc", X.epoch_date("timestamp"))
     limit, _ = blob_limits(F.col("date_utc"))
     means = b.groupBy("date_utc").agg(
-        F.avg("base_fee_per_blob_gas_wei").cast("double").alias("blob_base_fee_wei_avg"),
+        exact_mean("base_fee_per_blob_gas_wei").alias("blob_base_fee_wei_avg"),
         X.ratio_or_null(F.sum("blob_gas_used"), F.sum(F.when(F.col("blob_gas_used").isNotNull(), limit))).alias(
             "blob_utilization"
         ),
@@ -215,5 +220,6 @@ def top_unattributed(tx: DataFrame, n: int = 20) -> DataFrame:
 
 
 def audit_sample(tx: DataFrame, one_in: int) -> DataFrame:
-    """A repeatable sample by hash of the transaction."""
-    return tx.filter(F.pmod(F.xxhash64("tx_hash"), F.lit(one_in)) == 0)
+    """A repeatable sample by hash of the transaction; md5, so any engine draws the same rows."""
+    draw = F.conv(F.substring(F.md5("tx_hash"), 1, 8), 16, 10).cast("bigint")
+    return tx.filter(draw % one_in == 0)

@@ -206,9 +206,9 @@ def spine(universe: DataFrame, start: Column | str, end: Column | str) -> DataFr
     return universe.withColumn("date_utc", F.explode(F.sequence(X.col(start), X.col(end))))
 
 
-def calendar(df: DataFrame, date: str = "date_utc") -> DataFrame:
-    bounds = df.agg(F.min(date).alias("_lo"), F.max(date).alias("_hi")).filter("_lo IS NOT NULL")
-    return bounds.select(F.explode(F.sequence("_lo", "_hi")).alias(date))
+def calendar(df: DataFrame, date: str = "date_utc", keys: tuple[str, ...] = ()) -> DataFrame:
+    bounds = df.groupBy(*keys).agg(F.min(date).alias("_lo"), F.max(date).alias("_hi")).filter("_lo IS NOT NULL")
+    return bounds.select(*keys, F.explode(F.sequence("_lo", "_hi")).alias(date))
 
 
 def coverage(spine_rows: DataFrame, observed: DataFrame, keys: list[str]) -> DataFrame:
@@ -223,11 +223,11 @@ def coverage(spine_rows: DataFrame, observed: DataFrame, keys: list[str]) -> Dat
     )
 
 
-def missing_day_runs(df: DataFrame, max_missing: int = C.MAX_MISSING_DAYS) -> DataFrame:
-    """Runs of more than ``max_missing`` calendar days without a row."""
-    days = df.select("date_utc").distinct()
-    missing = calendar(days).join(days, "date_utc", "left_anti")
-    return true_runs(missing, [], "date_utc", F.lit(True), max_missing + 1)
+def missing_day_runs(df: DataFrame, max_missing: int = C.MAX_MISSING_DAYS, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Runs of more than ``max_missing`` calendar days without a row, between a key's first and last day."""
+    days = df.select(*keys, "date_utc").distinct()
+    missing = calendar(days, keys=keys).join(days, [*keys, "date_utc"], "left_anti")
+    return true_runs(missing, list(keys), "date_utc", F.lit(True), max_missing + 1)
 
 
 def missing_numbers(df: DataFrame, number: str, shard: int = 1_000_000) -> DataFrame:

@@ -50,8 +50,8 @@ def domain_mismatches(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
 
 def universe_agreement(first: DataFrame, second: DataFrame, key: str) -> DataFrame:
     both = first.select(key).intersect(second.select(key)).withColumn("status", F.lit("both"))
-    only_first = first.select(key).exceptAll(second.select(key)).distinct().withColumn("status", F.lit("first_only"))
-    only_second = second.select(key).exceptAll(first.select(key)).distinct().withColumn("status", F.lit("second_only"))
+    only_first = first.select(key).subtract(second.select(key)).withColumn("status", F.lit("first_only"))
+    only_second = second.select(key).subtract(first.select(key)).withColumn("status", F.lit("second_only"))
     return both.unionByName(only_first).unionByName(only_second)
 
 
