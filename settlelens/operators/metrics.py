@@ -276,6 +276,15 @@ def top_rollups(panel: DataFrame, n: int, days: int = 30) -> DataFrame:
     return trailing_fees(panel, days).orderBy(F.desc("l2_fees_eth"), "rollup_id").limit(n)
 
 
+def first_rows(df: DataFrame, order: list[str], cap: int | None) -> DataFrame:
+    """The first ``cap`` rows in a stated order with their 0-based position; ``None`` keeps all rows
+    and gives no position. The cap is a feature of the sample check only."""
+    if cap is None:
+        return df
+    w = W.partitionBy(F.lit(1)).orderBy(*order)
+    return df.orderBy(*order).limit(cap).withColumn("row_index", (F.row_number().over(w) - 1).cast("bigint"))
+
+
 # ---- assembly ---------------------------------------------------------------------------------
 
 

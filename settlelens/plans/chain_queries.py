@@ -147,7 +147,7 @@ def p15(spark, d):
 
 def sources(spark, d):
     """Panel rows with rent of three sources."""
-    chain = named(onchain_daily(spark, d)).select("date_utc", "rollup_id", F.col("l1_total_cost_eth").cast("double").alias("onchain"))
+    chain = named(onchain_daily(spark, d)).select("date_utc", "rollup_id", F.round(F.col("l1_total_cost_eth").cast("double"), 12).alias("onchain"))
     second = costs2(spark, d).filter("rollup_id IS NOT NULL").select("date_utc", "rollup_id", F.col("total_cost_eth").alias("second"))
     return fx.panel(spark, d).withColumn("vendor", F.when(F.col("txcount") % 4 != 3, F.col("rent_paid_eth"))).join(
         chain, ["date_utc", "rollup_id"], "left").join(second, ["date_utc", "rollup_id"], "left")
@@ -160,13 +160,13 @@ SOURCES = ("sources_", """SELECT p.date_utc, p.rollup_id, o.l1_total_cost_eth AS
 
 
 @query("p16_source_priority", sql(
-    """SELECT date_utc, rollup_id, ROUND(COALESCE(onchain, vendor, second), 10) AS rent_paid_eth, CASE WHEN onchain IS NOT NULL
+    """SELECT date_utc, rollup_id, COALESCE(onchain, vendor, second) AS rent_paid_eth, CASE WHEN onchain IS NOT NULL
     THEN 'onchain' WHEN vendor IS NOT NULL THEN 'vendor' WHEN second IS NOT NULL THEN 'second_vendor' END AS rent_source
     FROM sources_""", "fx_panel", "fx_tx_costs", "fx_costs", extra=(DAILY, COSTS2, SOURCES)), dates=("date_utc",))
 def p16(spark, d):
     order = [("onchain", "onchain"), ("vendor", "vendor"), ("second_vendor", "second")]
     picked = N.pick_source(sources(spark, d).drop("rent_paid_eth"), order, "rent_paid_eth", "rent_source")
-    return picked.select("date_utc", "rollup_id", F.round("rent_paid_eth", 10).alias("rent_paid_eth"), "rent_source")
+    return picked.select("date_utc", "rollup_id", "rent_paid_eth", "rent_source")
 
 
 @query("p18_price_below_base", sql(
@@ -293,17 +293,17 @@ DECOMP = ("decomp_", f"""SELECT date_utc, {eth('SUM(burn_base_wei)')} AS l1_base
   {eth('SUM(COALESCE(burn_blob_wei, 0))')} AS l1_blob_fee_burn_eth, {eth('SUM(tips_wei)')} AS l1_priority_fee_eth,
   {eth('SUM(burn_base_wei + COALESCE(burn_blob_wei, 0) + tips_wei)')} AS l1_total_rent_eth,
   CAST(SUM(CAST(blob_count AS BIGINT) * 131072) AS BIGINT) AS l1_blob_gas_used,
-  AVG(CAST(base_fee_per_blob_gas_wei AS DOUBLE)) / 1e9 AS l1_blob_base_fee_gwei
+  CAST(SUM(base_fee_per_blob_gas_wei) AS DOUBLE) / COUNT(*) / 1e9::DOUBLE AS l1_blob_base_fee_gwei
   FROM fx_tx_costs WHERE rollup_id NOT IN ('other', 'unattributed_rollup_like') GROUP BY 1""")
 
 
 @query("a6_l1_decomposition", sql(
     """SELECT date_utc, l1_base_fee_burn_eth, l1_blob_fee_burn_eth, l1_priority_fee_eth, l1_total_rent_eth, l1_blob_gas_used,
-    ROUND(l1_blob_base_fee_gwei, 11) AS l1_blob_base_fee_gwei FROM decomp_""", "fx_tx_costs", extra=(DECOMP,)), dates=("date_utc",))
+    l1_blob_base_fee_gwei FROM decomp_""", "fx_tx_costs", extra=(DECOMP,)), dates=("date_utc",))
 def a6(spark, d):
     out = K.decomposition(named(tx_costs(spark, d))).drop("l1_calldata_gas_used")
-    fee = out.select("date_utc", F.round("l1_blob_base_fee_gwei", 11).alias("l1_blob_base_fee_gwei"))
-    return rounded(out.drop("l1_blob_base_fee_gwei")).join(fee, "date_utc")
+    parts = [c for c in out.columns if c.endswith("_eth")]
+    return out.withColumns({c: F.round(F.col(c).cast("double"), 12) for c in parts})
 
 
 @query("a7_blob_market_daily", sql(
@@ -326,7 +326,7 @@ def a8(spark, d):
 
 
 @query("a12_burn_share_of_issuance", sql(
-    f"""SELECT x.date_utc, x.rollup_burn_eth, ROUND(i.issuance_eth, 6) AS issuance_eth, ROUND(x.raw / i.issuance_eth, 9) AS burn_share
+    f"""SELECT x.date_utc, x.rollup_burn_eth, i.issuance_eth, ROUND(x.raw / i.issuance_eth, 9) AS burn_share
     FROM (SELECT date_utc, {eth('SUM(burn_base_wei + COALESCE(burn_blob_wei, 0))')} AS rollup_burn_eth,
     CAST(SUM(burn_base_wei + COALESCE(burn_blob_wei, 0)) AS DOUBLE) / 1e18 AS raw FROM fx_tx_costs
     WHERE rollup_id NOT IN ('other', 'unattributed_rollup_like') GROUP BY 1) x JOIN fx_issuance i ON i.date_utc = x.date_utc""",
@@ -334,7 +334,7 @@ def a8(spark, d):
 def a12(spark, d):
     out = M.burn_share_of_issuance(named(onchain_daily(spark, d)), fx.issuance(spark, d))
     return out.select("date_utc", F.round("rollup_burn_eth", 12).alias("rollup_burn_eth"),
-                      F.round("issuance_eth", 6).alias("issuance_eth"), F.round("burn_share", 9).alias("burn_share"))
+                      "issuance_eth", F.round("burn_share", 9).alias("burn_share"))
 
 
 @query("a13_share_at_minimum", sql(

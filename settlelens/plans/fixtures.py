@@ -7,6 +7,7 @@ between engines.
 from __future__ import annotations
 
 import datetime as dt
+from decimal import Decimal
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -65,7 +66,6 @@ def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
     sup = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
     price, disc, tax = _dec("l_extendedprice"), _dec("l_discount"), _dec("l_tax")
-    fees = price.cast("decimal(38,6)")
     return (
         li.select(
             "l_suppkey",
@@ -262,7 +262,12 @@ def second_vendor_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
         "date_utc",
         F.concat(F.when(number % 5 == 0, "alias-").otherwise("slug-"), number.cast("string")).alias("slug"),
         F.when(F.col("txcount") % 6 == 5, "per_user_op").otherwise("total").alias("unit"),
-        (F.col("rent_paid_eth") * (1.0 + (number % 9).cast("double") / 50.0)).alias("total_cost_eth"),
+        (
+            F.col("rent_paid_eth").cast("decimal(18,4)")
+            * (F.lit(1) + (number % 9) * F.lit(Decimal("0.0192"))).cast("decimal(6,4)")
+        )
+        .cast("double")
+        .alias("total_cost_eth"),
     )
 
 
@@ -433,7 +438,7 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
         ("fx_panel",),
         """SELECT date_utc, (CASE WHEN k % 5 = 0 THEN 'alias-' ELSE 'slug-' END) || CAST(k AS VARCHAR) AS slug,
         CASE WHEN txcount % 6 = 5 THEN 'per_user_op' ELSE 'total' END AS unit,
-        rent_paid_eth * (1.0::DOUBLE + CAST(k % 9 AS DOUBLE) / 50.0::DOUBLE) AS total_cost_eth, rollup_id
+        CAST(CAST(rent_paid_eth AS DECIMAL(18,4)) * CAST(1 + (k % 9) * 0.0192 AS DECIMAL(6,4)) AS DOUBLE) AS total_cost_eth, rollup_id
         FROM (SELECT *, CAST(substr(rollup_id, 2) AS INTEGER) AS k FROM fx_panel)""",
     ),
     "fx_series": (

@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from settlelens import contracts as C
 from settlelens.functions import columns as X
 
-RUN_DATE = r"/([0-9]{4}-[0-9]{2}-[0-9]{2})/[^/]+\z"
+RUN_DATE = r"/([0-9]{4}-[0-9]{2}-[0-9]{2})/"
 
 
 def snapshot_date(path: Column | str) -> Column:
