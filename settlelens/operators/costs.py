@@ -24,25 +24,34 @@ def with_block_fees(tx: DataFrame, blocks: DataFrame) -> DataFrame:
 
 
 def with_blob_detail(tx: DataFrame, blob_tx: DataFrame) -> DataFrame:
-    """Blob counts by hash: the given count, else the number of versioned hashes."""
+    """Blob counts by hash: the given count, else the number of versioned hashes.
+
+    Only type-3 rows can have detail, so only they are shuffled by hash.
+    """
     detail = blob_tx.select(
         "tx_hash",
-        F.coalesce("blob_count", X.blob_count_from_hashes("blob_versioned_hashes")).alias("blob_count"),
+        F.coalesce("blob_count", X.blob_count_from_hashes("blob_versioned_hashes")).cast("int").alias("blob_count"),
     )
-    return tx.drop("blob_count").join(detail, "tx_hash", "left")
+    bare = tx.drop("blob_count")
+    typed = bare.filter("tx_type = 3").join(detail, "tx_hash", "left")
+    rest = bare.filter("NOT (tx_type <=> 3)").withColumn("blob_count", F.lit(None).cast("int"))
+    return typed.unionByName(rest)
 
 
 def fill_blob_count(tx: DataFrame, index: DataFrame) -> DataFrame:
-    """Missing counts from an auxiliary index; ``blob_count_source`` says where a count came from."""
-    return (
-        tx.join(index.select("tx_hash", "index_blob_count"), "tx_hash", "left")
-        .withColumn(
-            "blob_count_source",
-            F.when(F.col("blob_count").isNotNull(), "chain").when(F.col("index_blob_count").isNotNull(), "index"),
-        )
-        .withColumn("blob_count", F.coalesce("blob_count", "index_blob_count"))
-        .drop("index_blob_count")
+    """Missing counts from an auxiliary index; ``blob_count_source`` says where a count came from.
+
+    Rows that need no help are not shuffled.
+    """
+    needs = (F.col("tx_type").eqNullSafe(3)) & F.col("blob_count").isNull()
+    filled = (
+        tx.filter(needs)
+        .drop("blob_count")
+        .join(index.select("tx_hash", F.col("index_blob_count").cast("int").alias("blob_count")), "tx_hash", "left")
+        .withColumn("blob_count_source", F.when(F.col("blob_count").isNotNull(), "index"))
     )
+    rest = tx.filter(~needs).withColumn("blob_count_source", F.when(F.col("blob_count").isNotNull(), "chain"))
+    return rest.unionByName(filled)
 
 
 def fee_parts(tx: DataFrame) -> DataFrame:

@@ -400,33 +400,54 @@ def trimmed(series: DataFrame, low: float, high: float) -> DataFrame:
 def robustness_grid(panels: dict[str, DataFrame], excluded: dict[str, DataFrame | None], trims: dict[str, tuple | None]):
     """Trend and elasticity of the ecosystem take rate per (source, rollup set, trimming).
 
-    Each panel is summed to days per rollup set first; the scenarios then share one aggregate.
+    A panel row carries the rollup sets it belongs to and is summed to days in one pass per source;
+    trimming then works on those days.
     """
     from settlelens.operators.metrics import exact_sum
 
     daily = None
     for source, panel in panels.items():
+        sets = []
         for name, drop in excluded.items():
-            p = panel if drop is None else panel.join(drop.select("rollup_id"), "rollup_id", "left_anti")
-            d = p.groupBy(F.unix_date("date_utc").cast("bigint").alias("t")).agg(
-                exact_sum("rent_paid_eth").cast("double").alias("rent"),
-                exact_sum("l2_fees_eth").cast("double").alias("fees"),
-            ).select(
-                F.lit(f"{source}/{name}").alias("series_id"),
-                "t",
-                "rent",
-                "fees",
-                X.ratio_or_nan("rent", "fees").alias("y"),
-            ).filter(~F.isnan("y"))
-            daily = d if daily is None else daily.unionByName(d)
-    out = None
-    for name, cut in trims.items():
-        s = daily if cut is None else trimmed(daily, *cut)
-        s = s.withColumn("series_id", F.concat("series_id", F.lit(f"/{name}")))
-        out = s if out is None else out.unionByName(s)
-    trend = linear_trend(out).select("series_id", "slope", "n")
-    beta = elasticity(out, "rent", "fees").select("series_id", "beta")
-    return trend.join(beta, "series_id")
+            label = F.lit(f"{source}/{name}")
+            if drop is None:
+                sets.append(label)
+                continue
+            flag = f"_out_{name}"
+            panel = panel.join(drop.select("rollup_id").distinct().withColumn(flag, F.lit(True)), "rollup_id", "left")
+            sets.append(F.when(F.col(flag).isNull(), label))
+        d = (
+            panel.select(
+                F.explode(F.array_compact(F.array(*sets))).alias("series_id"),
+                F.unix_date("date_utc").cast("bigint").alias("t"),
+                "rent_paid_eth",
+                "l2_fees_eth",
+            )
+            .groupBy("series_id", "t")
+            .agg(exact_sum("rent_paid_eth").cast("double").alias("rent"), exact_sum("l2_fees_eth").cast("double").alias("fees"))
+            .withColumn("y", X.ratio_or_nan("rent", "fees"))
+            .filter(~F.isnan("y"))
+        )
+        daily = d if daily is None else daily.unionByName(d)
+    bounds = {name: cut for name, cut in trims.items() if cut is not None}
+    v = X.not_nan("y")
+    cuts = daily.groupBy("series_id").agg(
+        F.count(F.lit(1)).alias("_n"),
+        *[F.percentile(v, F.lit(p)).alias(f"_{name}_{i}") for name, cut in bounds.items() for i, p in enumerate(cut)],
+    )
+    labels = [
+        F.lit(name) if cut is None else F.when(F.col("y").between(F.col(f"_{name}_0"), F.col(f"_{name}_1")), F.lit(name))
+        for name, cut in trims.items()
+    ]
+    out = (
+        daily.join(cuts, "series_id")
+        .select("series_id", "t", "rent", "fees", "y", F.explode(F.array_compact(F.array(*labels))).alias("_trim"))
+        .withColumn("series_id", F.concat_ws("/", "series_id", "_trim"))
+    )
+    lr, lf = X.log_positive("rent"), X.log_positive("fees")
+    return out.groupBy("series_id").agg(
+        F.regr_slope("y", "t").alias("slope"), F.count(F.lit(1)).alias("n"), F.regr_slope(lr, lf).alias("beta")
+    )
 
 
 def grade(

@@ -171,17 +171,22 @@ def t5(spark, d):
 
 
 def snapshot(spark: SparkSession, d: str) -> str:
-    """A snapshot folder of the metrics with one sub-folder per metric."""
-    root = fresh_dir(spark, "snapshot")
-    fx.metrics(spark, d).select("metric_key", "origin_key", iso("date_utc"), "value").write.partitionBy("metric_key").json(f"{root}/{RUN}")
-    return f"{root}/{RUN}"
+    """A dated snapshot folder with one file per document text, in one sub-folder per language."""
+    folder = f"{fresh_dir(spark, 'snapshot')}/{RUN}"
+    name = F.concat(F.col("lang"), F.lit("/doc-"), F.col("doc_id").cast("string"), F.lit(".txt"))
+    MF.write_documents(fx.table(spark, d, "documents").select(name.alias("name"), F.col("text").alias("document")), folder)
+    return folder
 
 
 def snapshot_files(spark: SparkSession, d: str) -> DataFrame:
     return SN.scan_snapshot_files(spark, snapshot(spark, d))
 
 
-@query("s11_snapshot_files")
+FILES = ("files_", """SELECT lang || '/doc-' || CAST(doc_id AS VARCHAR) || '.txt' AS path, sha256(text || chr(10)) AS sha256,
+  CAST(octet_length(encode(text)) + 1 AS BIGINT) AS bytes FROM documents""")
+
+
+@query("s11_snapshot_files", sql("SELECT path, sha256, bytes FROM files_", extra=(FILES,)))
 def s11(spark, d):
     return snapshot_files(spark, d)
 
@@ -217,20 +222,22 @@ def q3(spark, d):
     return Q.manifest_failures(documents(spark, d)).groupBy("failure").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("s10_manifests")
-def s10(spark, d):
-    """Manifests of snapshot files written one document per file, and read with their entries."""
-    root = fresh_dir(spark, "manifests")
-    MF.write_documents(MF.raw_manifests(tagged_files(spark, d), "collect --all"), root)
-    m = SN.read_manifests(spark, root)
-    entries = SN.manifest_entries(m).select(F.element_at(F.split("manifest", "/"), -1).alias("manifest"), "path", "sha256", "bytes")
-    return entries
-
-
 def tagged_files(spark, d):
     return snapshot_files(spark, d).withColumns({"source": F.lit("vendor"), "as_of_utc_date": F.lit(RUN).cast("date")})
 
 
+def stored_entries(spark: SparkSession, root: str, field: str = "files") -> DataFrame:
+    """Entries of the manifests below ``root``, read from their files."""
+    return SN.manifest_entries(SN.read_manifests(spark, root), field).select("path", "sha256", "bytes")
+
+
+@query("s10_manifests", sql("SELECT path, sha256, bytes FROM files_", extra=(FILES,)))
+def s10(spark, d):
+    root = fresh_dir(spark, "manifests")
+    MF.write_documents(MF.raw_manifests(tagged_files(spark, d), "collect --all", 500), root)
+    return stored_entries(spark, root)
+
+
 @query("s13_snapshot_date",
        """SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN CAST(o_orderdate AS DATE) END AS as_of FROM orders""", dates=("as_of",))
 def s13(spark, d):
@@ -290,36 +297,54 @@ def k3(spark, d):
     return functools.reduce(lambda a, b: a.unionByName(b), parts)
 
 
-@query("k4_raw_manifest")
+@query("k4_raw_manifest", sql(
+    """SELECT 'vendor' AS source, '2024-02-01' AS as_of_utc_date, 'collect --all' AS command, COUNT(*) AS n_files,
+    CAST(SUM(bytes) AS BIGINT) AS bytes, TRUE AS sorted FROM files_""", extra=(FILES,)))
 def k4(spark, d):
-    return MF.raw_manifests(tagged_files(spark, d), "collect --all")
-
-
-@query("k5_processed_manifest")
+    docs = MF.raw_manifests(tagged_files(spark, d), "collect --all")
+    doc = F.from_json(
+        "document", "source STRING, as_of_utc_date STRING, command STRING, files ARRAY<STRUCT<path: STRING, sha256: STRING, bytes: BIGINT>>")
+    m = docs.select(doc.alias("m")).select("m.*")
+    order = F.transform("files", lambda f: F.split(f.path, "/"))
+    per_doc = m.select("source", "as_of_utc_date", "command", F.size("files").alias("n"),
+                       F.aggregate("files", F.lit(0).cast("bigint"), lambda t, f: t + f.bytes).alias("b"),
+                       (F.sort_array(order) == order).alias("s"))
+    return per_doc.groupBy("source", "as_of_utc_date", "command").agg(
+        F.sum("n").alias("n_files"), F.sum("b").alias("bytes"), F.bool_and("s").alias("sorted"))
+
+
+@query("k5_processed_manifest", sql("SELECT path, sha256, bytes FROM files_", extra=(FILES,)))
 def k5(spark, d):
-    out = fresh_dir(spark, "processed")
-    fx.panel(spark, d).write.parquet(out)
-    files = SN.scan_snapshot_files(spark, out).withColumn("name", F.lit("panel"))
-    docs = MF.processed_manifest(files, [f"vendor_{RUN}.json"], RUN, "settlelens/operators/normalize.py", "0" * 40, "build panel")
+    files = snapshot_files(spark, d).withColumn("name", F.lit("texts"))
+    docs = MF.processed_manifest(files, [f"vendor_{RUN}.json"], RUN, "settlelens/operators/normalize.py", "0" * 40, "build texts")
     root = fresh_dir(spark, "processed-manifests")
     MF.write_documents(docs, root)
-    return SN.read_manifests(spark, root).select(F.element_at(F.split("path", "/"), -1).alias("name"), "content")
+    return stored_entries(spark, root, "outputs")
 
 
-@query("k6_run_manifest")
+@query("k6_run_manifest", sql(
+    """SELECT 'run' AS section, 1::BIGINT AS n UNION ALL SELECT 'source_snapshots', COUNT(*) FROM files_
+    UNION ALL SELECT 'coverage_metrics', COUNT(*) FROM fx_universe WHERE in_scope
+    UNION ALL SELECT 'reconciliation_metrics', COUNT(*) FROM pairs_""",
+    "fx_universe", "fx_panel", "fx_costs", extra=(FILES, PQ.COSTS2, KQ.PAIRS)))
 def k6(spark, d):
+    root = fresh_dir(spark, "run-manifest")
     rec = R.reconcile_months(KQ.pairs(spark, d)).select("key", "observed", "status")
-    return MF.run_manifest("run-1", RUN, "0" * 40, snapshot_files(spark, d), PQ.vendor_coverage(spark, d), rec)
+    doc = MF.run_manifest("run-1", RUN, "0" * 40, snapshot_files(spark, d), PQ.vendor_coverage(spark, d), rec)
+    doc.write.json(root)
+    stored = spark.read.schema(doc.schema).json(root)
+    return stored.groupBy("section").agg(F.count("document").alias("n"))
 
 
-@query("k7_checksum_ledger")
+@query("k7_checksum_ledger", sql(
+    """SELECT path, sha256, bytes, CAST(run_date AS VARCHAR) AS run_date FROM files_,
+    (SELECT UNNEST([DATE '2024-02-01', DATE '2024-02-02']) AS run_date)""", extra=(FILES,)))
 def k7(spark, d):
     ledger = fresh_dir(spark, "ledger")
     files = snapshot_files(spark, d)
     TB.append_ledger(files, ledger, "2024-02-01")
     TB.append_ledger(files, ledger, "2024-02-02")
-    return spark.read.parquet(ledger).groupBy("run_date", F.length("sha256").alias("digest_length")).agg(
-        F.count(F.lit(1)).alias("n_files"), F.sum("bytes").alias("bytes"))
+    return spark.read.parquet(ledger)
 
 
 @query("k8_validation_summary", sql(
@@ -419,8 +444,11 @@ def n6(spark, d):
     return spark.read.schema(m.schema).parquet(target).select(*PQ.CELL, "value")
 
 
-@query("q18_snapshot_rehash")
+@query("q18_snapshot_rehash", sql(
+    """SELECT 'snapshot_hash' AS "check", path AS key, 'pass' AS status FROM files_""", extra=(FILES,)))
 def q18_rehash(spark, d):
-    folder = snapshot(spark, d)
-    want, got = SN.scan_snapshot_files(spark, folder), SN.scan_snapshot_files(spark, folder)
-    return Q.rehash(want, got)
+    folder, root = snapshot(spark, d), fresh_dir(spark, "manifests")
+    files = SN.scan_snapshot_files(spark, folder)
+    tagged = files.withColumns({"source": F.lit("vendor"), "as_of_utc_date": F.lit(RUN).cast("date")})
+    MF.write_documents(MF.raw_manifests(tagged, "collect --all"), root)
+    return Q.rehash(stored_entries(spark, root), files).select("check", "key", "status")

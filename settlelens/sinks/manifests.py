@@ -130,8 +130,9 @@ def write_documents(docs: DataFrame, folder: str, overwrite: bool = False) -> No
         from settlelens.sources.snapshots import _open_fs
 
         system, base = _open_fs(folder)
-        system.create_dir(base, recursive=True)
         for pdf in batches:
+            for folder_of in {f"{base.rstrip('/')}/{n}".rpartition("/")[0] for n in pdf["name"]}:
+                system.create_dir(folder_of, recursive=True)
             for name, text in zip(pdf["name"], pdf["document"]):
                 target, body = f"{base.rstrip('/')}/{name}", (text + "\n").encode()
                 if system.get_file_info(target).type != fs.FileType.NotFound and not overwrite:

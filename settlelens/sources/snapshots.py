@@ -90,8 +90,7 @@ def read_manifests(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def manifest_entries(manifests: DataFrame) -> DataFrame:
-    """(manifest, path, sha256, bytes) of valid manifests."""
-    schema = "files ARRAY<STRUCT<path: STRING, sha256: STRING, bytes: BIGINT>>"
-    doc = F.from_json("content", schema)
-    return manifests.select(F.col("path").alias("manifest"), F.inline(doc.files))
+def manifest_entries(manifests: DataFrame, field: str = "files") -> DataFrame:
+    """(manifest, path, sha256, bytes) of valid manifests; processed ones list them under ``outputs``."""
+    doc = F.from_json("content", f"{field} ARRAY<STRUCT<path: STRING, sha256: STRING, bytes: BIGINT>>")
+    return manifests.select(F.col("path").alias("manifest"), F.inline(doc[field]))

@@ -49,10 +49,16 @@ def full_rebuild(build: Callable[[dt.date | None], DataFrame], path: str) -> Non
 
 
 def append_new(new: DataFrame, path: str, keys: list[str], version: str) -> None:
-    """Append only keys not stored yet, one row per key; running it twice adds nothing."""
+    """Append only keys not stored yet, one row per key; running it twice adds nothing.
+
+    Of the stored table only the key columns are read, and only days the new rows touch.
+    """
     spark = new.sparkSession
     stored = spark.read.schema(T.StructType([new.schema[k] for k in keys])).parquet(path)
     once = latest_version(new, keys, version)
+    if "date_utc" in keys:
+        low, high = new.agg(F.min("date_utc")).scalar(), new.agg(F.max("date_utc")).scalar()
+        stored = stored.filter(F.col("date_utc").between(low, high))
     once.join(stored.select(*keys), keys, "left_anti").select(*new.columns).write.mode("append").parquet(path)
 
 
