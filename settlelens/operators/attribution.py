@@ -23,29 +23,49 @@ def disjoint_windows(mappings: DataFrame, key: str) -> DataFrame:
     """One winning mapping per address and instant: overlapping windows are cut at their bounds.
 
     The tie-break (confidence, then rollup_id) is settled here, on the registry, so the join to the
-    transactions can match at most one row and needs no de-duplicating shuffle of the fact.
+    transactions can match at most one row and needs no de-duplicating shuffle of the fact. One
+    shuffle of the registry brings the windows of an address together; the cuts are array work on
+    that curated list.
     """
     far = F.lit("9999-12-31").cast("timestamp")
-    m = mappings.select(
-        F.col(key).alias("_key"),
-        F.col("valid_from_utc").alias("_from"),
-        F.coalesce("valid_to_utc", far).alias("_to"),
+    window = F.struct(
+        confidence_rank(F.col("confidence")).alias("rank"),
+        _natural(F.col("rollup_id")).alias("order"),
+        F.col("valid_from_utc").alias("start"),
+        F.coalesce("valid_to_utc", far).alias("stop"),
         "rollup_id",
         "confidence",
-    ).filter("_from < _to")
-    points = m.select("_key", F.explode(F.array("_from", "_to")).alias("_start")).distinct()
-    pieces = points.withColumn("_stop", F.lead("_start").over(W.partitionBy("_key").orderBy("_start"))).filter(
-        "_stop IS NOT NULL"
     )
-    order = F.struct(confidence_rank(F.col("confidence")), _natural(F.col("rollup_id")))
-    best = (
-        pieces.join(m, "_key")
-        .filter("_from <= _start AND _start < _to")
-        .groupBy("_key", "_start", "_stop")
-        .agg(F.min_by(F.struct("rollup_id", "confidence"), order).alias("_best"))
+    grouped = (
+        mappings.filter(F.col("valid_from_utc") < F.coalesce("valid_to_utc", far))
+        .groupBy(F.col(key))
+        .agg(F.sort_array(F.collect_list(window)).alias("_w"))
     )
-    return best.select(
-        F.col("_key").alias(key), "_start", "_stop", F.col("_best.rollup_id"), F.col("_best.confidence")
+    bounds = F.array_sort(
+        F.array_distinct(F.concat(F.transform("_w", lambda w: w.start), F.transform("_w", lambda w: w.stop)))
+    )
+    pieces = grouped.withColumn("_p", bounds).select(
+        key,
+        "_w",
+        F.explode(
+            F.transform(
+                F.sequence(F.lit(1), F.size("_p") - 1),
+                lambda i: F.struct(F.element_at("_p", i).alias("start"), F.element_at("_p", i + 1).alias("stop")),
+            )
+        ).alias("_s"),
+    )
+    # The list is in winning order, so the first window that covers a piece is its winner.
+    winner = F.get(F.filter("_w", lambda w: (w.start <= F.col("_s.start")) & (F.col("_s.start") < w.stop)), F.lit(0))
+    return (
+        pieces.withColumn("_best", winner)
+        .filter("_best IS NOT NULL")
+        .select(
+            key,
+            F.col("_s.start").alias("_start"),
+            F.col("_s.stop").alias("_stop"),
+            F.col("_best.rollup_id").alias("rollup_id"),
+            F.col("_best.confidence").alias("confidence"),
+        )
     )
 
 

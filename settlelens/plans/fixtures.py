@@ -23,8 +23,23 @@ METRIC_OF_EVENT = {
 }
 
 
+# The supplied files are one row group each, which one task reads. Below this many splits per core a
+# table is spread by its key; a table of many splits is left as it is.
+SPREAD_KEYS = {"lineitem": "l_orderkey", "orders": "o_orderkey", "events": "event_id"}
+_schemas: dict = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    path = f"{sf_dir}/{name}.parquet"
+    if path not in _schemas:
+        df = spark.read.parquet(path)
+        _schemas[path] = (df.schema, df.rdd.getNumPartitions() if name in SPREAD_KEYS else 0)
+    schema, splits = _schemas[path]
+    df = spark.read.schema(schema).parquet(path)
+    cores = spark.sparkContext.defaultParallelism
+    if name in SPREAD_KEYS and splits < cores:
+        return df.repartition(cores, SPREAD_KEYS[name])
+    return df
 
 
 def _dec(name: str, scale: int = 2):
