@@ -187,12 +187,17 @@ def profit_identity(panel: DataFrame) -> DataFrame:
 
 
 def total_identity(decomposition: DataFrame) -> DataFrame:
-    """Daily total equals the sum of its parts, compared as decimals."""
-    parts = F.col("l1_base_fee_burn_eth") + F.col("l1_blob_fee_burn_eth") + F.col("l1_priority_fee_eth")
-    gap = F.abs(F.col("l1_total_rent_eth") - parts)
-    return decomposition.select(
-        *result("l1_total_identity", F.col("date_utc"), gap, F.lit(0), gap == 0)
+    """Daily total equals the sum of its parts, to the last wei.
+
+    DECIMAL(38,18) + DECIMAL(38,18) would drop a place, so the parts are narrowed first.
+    """
+    base, blob, tips, total = (
+        F.col(c).cast("decimal(36,18)")
+        for c in ("l1_base_fee_burn_eth", "l1_blob_fee_burn_eth", "l1_priority_fee_eth", "l1_total_rent_eth")
     )
+    same = base + blob + tips == total
+    gap = F.when(same, 0.0).otherwise(F.abs((total - base - blob - tips).cast("double")))
+    return decomposition.select(*result("l1_total_identity", F.col("date_utc"), gap, F.lit(0), same))
 
 
 def execution_identity(tx: DataFrame) -> DataFrame:

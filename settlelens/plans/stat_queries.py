@@ -258,8 +258,9 @@ def cf_burn(num: int, den: int) -> str:
 
 
 @query("x11_fee_floor", sql(
-    f"""SELECT c.date_utc, rent_eth, rent_cf_eth, burn_blob_eth, burn_blob_cf_eth, ROUND(rent_eth / fees * 1e6, 9) AS str_ppm,
-    ROUND(rent_cf_eth / fees * 1e6, 9) AS str_cf_ppm FROM (SELECT date_utc, {CQ.eth('SUM(execution_fee_wei + COALESCE(burn_blob_wei, 0))')} AS rent_eth,
+    f"""SELECT c.date_utc, rent_eth, rent_cf_eth, burn_blob_eth, burn_blob_cf_eth, ROUND(raw / fees * 1e6, 6) AS str_ppm,
+    ROUND(raw_cf / fees * 1e6, 6) AS str_cf_ppm FROM (SELECT date_utc, CAST(SUM(execution_fee_wei + COALESCE(burn_blob_wei, 0)) AS DOUBLE) / 1e18 AS raw,
+    CAST(SUM(execution_fee_wei + COALESCE({cf_burn(1, 16)}, 0)) AS DOUBLE) / 1e18 AS raw_cf, {CQ.eth('SUM(execution_fee_wei + COALESCE(burn_blob_wei, 0))')} AS rent_eth,
     {CQ.eth(f"SUM(execution_fee_wei + COALESCE({cf_burn(1, 16)}, 0))")} AS rent_cf_eth, {CQ.eth('SUM(COALESCE(burn_blob_wei, 0))')} AS burn_blob_eth,
     {CQ.eth(f"SUM(COALESCE({cf_burn(1, 16)}, 0))")} AS burn_blob_cf_eth FROM fx_tx_costs WHERE {NAMED} GROUP BY 1) c
     JOIN (SELECT date_utc, CAST(SUM(CAST(l2_fees_eth AS {PQ.DEC})) AS DOUBLE) AS fees FROM fx_panel GROUP BY 1) f ON f.date_utc = c.date_utc""",
@@ -267,8 +268,8 @@ def cf_burn(num: int, den: int) -> str:
 def x11(spark, d):
     out = CF.counterfactual_daily(CQ.named(CQ.tx_costs(spark, d)), fx.panel(spark, d))
     amounts = ["rent_eth", "rent_cf_eth", "burn_blob_eth", "burn_blob_cf_eth"]
-    return out.select("date_utc", *[F.round(c, 12).alias(c) for c in amounts], F.round(F.col("str") * 1e6, 9).alias("str_ppm"),
-                      F.round(F.col("str_cf") * 1e6, 9).alias("str_cf_ppm"))
+    return out.select("date_utc", *[F.round(c, 12).alias(c) for c in amounts], F.round(F.col("str") * 1e6, 6).alias("str_ppm"),
+                      F.round(F.col("str_cf") * 1e6, 6).alias("str_cf_ppm"))
 
 
 RATIOS = [Decimal("0"), Decimal("0.03125"), Decimal("0.0625"), Decimal("0.125")]
