@@ -101,49 +101,53 @@ def newey_west(series: DataFrame, lags: int = 7) -> DataFrame:
     )
 
 
-def pair_signs(series: DataFrame, max_bits: int = 17) -> DataFrame:
-    """Rising, falling and tied pairs of days per series, counted without forming pairs.
+def _pair_counts(series: DataFrame, max_bits: int) -> DataFrame:
+    """Rising and falling pairs, and the tie term of the variance, per series.
 
-    Values become dense ranks. Two ranks first differ at one bit, where the larger has a one. So for
-    each bit, rows that share the higher bits are walked in time order, and each row counts the
-    earlier rows with the opposite bit: n x log2(n) rows instead of n x n. ``max_bits`` allows
-    131,072 distinct values, more than any calendar-day series has.
+    All windows partition by the series first, so one shuffle serves them and the final sum.
     """
-    by_value = W.partitionBy("series_id").orderBy("y")
-    ranked = series.filter(~F.isnan("y") & F.col("y").isNotNull()).select(
-        "series_id", "t", (F.dense_rank().over(by_value) - 1).cast("bigint").alias("r")
-    )
-    top = ranked.groupBy("series_id").agg(
-        F.count(F.lit(1)).alias("n"), F.ceil(F.log2(F.max("r") + 1.0)).cast("int").alias("bits")
-    )
-    levels = ranked.join(top.select("series_id", "bits"), "series_id").select(
-        "series_id",
-        "t",
-        "r",
-        F.explode(F.sequence(F.lit(0), F.greatest(F.least("bits", F.lit(max_bits)), F.lit(1)) - 1)).alias("k"),
-    )
-    split = levels.select(
-        "series_id",
-        "t",
-        "k",
-        F.expr("shiftright(r, k + 1)").alias("prefix"),
-        F.expr("shiftright(r, k) & 1").alias("bit"),
+    by_series = W.partitionBy("series_id")
+    ranked = (
+        series.filter(~F.isnan("y") & F.col("y").isNotNull())
+        .select(
+            "series_id",
+            "t",
+            (F.dense_rank().over(by_series.orderBy("y")) - 1).cast("bigint").alias("r"),
+            F.count(F.lit(1)).over(W.partitionBy("series_id", "y")).alias("m"),
+        )
+        .withColumns({"n": F.count(F.lit(1)).over(by_series), "top": F.max("r").over(by_series)})
     )
+    bits = F.greatest(F.least(F.ceil(F.log2(F.col("top") + 1.0)).cast("int"), F.lit(max_bits)), F.lit(1))
+    split = ranked.select(
+        "series_id", "t", "r", "m", "n", F.explode(F.sequence(F.lit(0), bits - 1)).alias("k")
+    ).withColumns({"prefix": F.expr("shiftright(r, k + 1)"), "bit": F.expr("shiftright(r, k) & 1")})
     w = W.partitionBy("series_id", "k", "prefix").orderBy("t").rowsBetween(W.unboundedPreceding, -1)
     seen = split.select(
         "series_id",
+        "n",
         F.when(F.col("bit") == 1, F.sum(1 - F.col("bit")).over(w)).alias("up"),
         F.when(F.col("bit") == 0, F.sum("bit").over(w)).alias("down"),
+        F.when(F.col("k") == 0, (F.col("m") - 1) * (2 * F.col("m") + 5)).alias("tie"),
     )
-    counts = seen.groupBy("series_id").agg(
-        F.coalesce(F.sum("up"), F.lit(0)).alias("rising"), F.coalesce(F.sum("down"), F.lit(0)).alias("falling")
+    return seen.groupBy("series_id").agg(
+        F.max("n").alias("n"),
+        F.coalesce(F.sum("up"), F.lit(0)).alias("rising"),
+        F.coalesce(F.sum("down"), F.lit(0)).alias("falling"),
+        F.sum("tie").alias("tie_sum"),
     )
-    return counts.join(top.select("series_id", "n"), "series_id").select(
-        "series_id",
-        "n",
-        "rising",
-        "falling",
-        ((F.col("n") * (F.col("n") - 1) / 2).cast("bigint") - F.col("rising") - F.col("falling")).alias("tied"),
+
+
+def pair_signs(series: DataFrame, max_bits: int = 17) -> DataFrame:
+    """Rising, falling and tied pairs of days per series, counted without forming pairs.
+
+    Values become dense ranks. Two ranks first differ at one bit, where the larger has a one. So for
+    each bit, rows that share the higher bits are walked in time order, and each row counts the
+    earlier rows with the opposite bit: n x log2(n) rows instead of n x n. ``max_bits`` allows
+    131,072 distinct values, more than any calendar-day series has.
+    """
+    pairs = (F.col("n") * (F.col("n") - 1) / 2).cast("bigint")
+    return _pair_counts(series, max_bits).select(
+        "series_id", "n", "rising", "falling", (pairs - F.col("rising") - F.col("falling")).alias("tied")
     )
 
 
@@ -159,22 +163,14 @@ def normal_two_sided(z: Column) -> Column:
     return F.lit(2.0) * F.exp(-x * x / 2) / F.lit((2 * 3.141592653589793) ** 0.5) * poly
 
 
-def mann_kendall(series: DataFrame) -> DataFrame:
+def mann_kendall(series: DataFrame, max_bits: int = 17) -> DataFrame:
     """S, tie-corrected variance, Z with continuity correction and its p-value."""
-    signs = pair_signs(series)
-    ties = (
-        series.filter(~F.isnan("y") & F.col("y").isNotNull())
-        .groupBy("series_id", "y")
-        .agg(F.count(F.lit(1)).alias("m"))
-        .groupBy("series_id")
-        .agg(F.sum(F.col("m") * (F.col("m") - 1) * (2 * F.col("m") + 5)).alias("tie_sum"))
-    )
     n = F.col("n")
     s = F.col("rising") - F.col("falling")
     var = (n * (n - 1) * (2 * n + 5) - F.col("tie_sum")) / 18.0
     z = F.when((s == 0) | (var <= 0), 0.0).otherwise((s - F.signum(s)) / F.sqrt(var))
     return (
-        signs.join(ties, "series_id")
+        _pair_counts(series, max_bits)
         .select("series_id", "n", s.alias("s"), var.alias("var_s"), z.alias("z"))
         .withColumn("p_value", normal_two_sided(F.col("z")))
     )
