@@ -24,7 +24,8 @@ def exact_percentiles(
 
     Equal values collapse to counts first. Counts are then summed per value bucket, the few bucket
     totals are accumulated per key, and ranks inside one (key, bucket) are accumulated on their own,
-    so a key with a third of all rows is still spread over ``buckets`` partitions.
+    so a key with a third of all rows is still spread over ``buckets`` partitions. Values are compared
+    as doubles, which hold whole numbers up to 2^53.
     """
     if not keys:
         one = exact_percentiles(df.withColumn("_all", F.lit(1)), ["_all"], value, probs, buckets)

@@ -152,7 +152,8 @@ def rolling_ratio(series: DataFrame, num: str, den: str, days: int) -> DataFrame
 
 def true_runs(df: DataFrame, keys: list[str], date: str, flag: Column, min_days: int) -> DataFrame:
     """Runs of at least ``min_days`` consecutive calendar days with a true flag. A null flag or an
-    absent day ends a run. Rows are unique per key and day."""
+    absent day ends a run. Rows are unique per key and day, so the window of a key, or the single one
+    without keys, holds calendar days only."""
     hit = df.filter(flag).select(*keys, F.col(date).alias("_d"))
     w = W.partitionBy(*keys).orderBy("_d") if keys else W.partitionBy(F.lit(1)).orderBy("_d")
     island = F.date_sub("_d", F.row_number().over(w)).alias("_island")
@@ -268,6 +269,7 @@ def trailing_fees(panel: DataFrame, days: int = 30) -> DataFrame:
 
 
 def rank_rollups(panel: DataFrame, days: int = 30) -> DataFrame:
+    """Rank by trailing fees; the one window holds a row per rollup."""
     w = W.partitionBy(F.lit(1)).orderBy(F.desc("l2_fees_eth"))
     return trailing_fees(panel, days).withColumn("fee_rank", F.rank().over(w))
 

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from settlelens.session import require_utc
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -26,6 +28,7 @@ def query(key: str, oracle: str | None = None, dates: tuple[str, ...] = ()):
 
     def wrap(fn: Query) -> Query:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            require_utc(spark)
             return portable(fn(spark, sf_dir))
 
         text = oracle

@@ -15,6 +15,7 @@ from settlelens.operators import costs as K
 from settlelens.operators import metrics as M
 from settlelens.operators import normalize as N
 from settlelens.operators import reconcile as R
+from settlelens.session import require_utc
 from settlelens.sinks import tables as TB
 from settlelens.streaming import refresh as RF
 
@@ -76,6 +77,7 @@ def wide_panel(i: Inputs, onchain: DataFrame) -> DataFrame:
 def run(i: Inputs, root: str, run_date: dt.date, full: bool = False) -> dict[str, str]:
     """Refresh the stored tables, then check what was stored. ``full`` rebuilds every day."""
     spark = i.receipts.sparkSession
+    require_utc(spark)
     paths = {n: f"{root}/{n}" for n in ("onchain_daily_rollup_costs", "daily_rollup_panel", "daily_rollup_panel_wide", "qa")}
 
     def store(name: str, df: DataFrame, days: int) -> DataFrame:

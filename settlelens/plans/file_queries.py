@@ -438,7 +438,7 @@ def n6(spark, d):
     raw, target = fresh_dir(spark, "incoming"), fresh_dir(spark, "store")
     m = fx.metrics(spark, d).withColumn("version", F.lit(1).cast("bigint"))
     m.write.json(raw)
-    m.limit(0).write.parquet(target)
+    spark.createDataFrame([], m.schema).write.parquet(target)
     for _ in range(2):
         RF.follow_files(spark, raw, m.schema, target, PQ.CELL, "version", fresh_dir(spark, "offsets"))
     return spark.read.schema(m.schema).parquet(target).select(*PQ.CELL, "value")

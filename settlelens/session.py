@@ -30,6 +30,12 @@ def build_session(app: str = "settlelens", master: str | None = None, **conf: st
     return builder.getOrCreate()
 
 
+def require_utc(spark: SparkSession) -> None:
+    """Days are UTC days; a session in another zone would shift them."""
+    if spark.conf.get("spark.sql.session.timeZone") != "UTC":
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``; a temporary one only on a local master."""
     global _local_scratch

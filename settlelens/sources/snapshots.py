@@ -21,8 +21,8 @@ def scan_snapshot_files(spark: SparkSession, root: str, partitions: int | None =
     """(path, sha256, bytes) of every file under ``root``; paths are relative to it.
 
     Built-in file sources skip empty files and names starting with '.' or '_', and hold a whole file
-    in one row. Here the driver lists only the top folder; tasks walk the folders, the paths are
-    spread anew, and tasks hash files in chunks.
+    in one row. Here the driver only checks the top folder. Tasks list it, walk the folders below,
+    and, after the paths are spread anew, hash the files in chunks.
     """
     from pyarrow import fs as pafs
 
@@ -32,10 +32,17 @@ def scan_snapshot_files(spark: SparkSession, root: str, partitions: int | None =
         raise ValueError(f"snapshot folder does not exist: {root}")
     if info.type != pafs.FileType.Directory:
         raise ValueError(f"snapshot folder is not a directory: {root}")
-    entries = [
-        (e.path, e.type == pafs.FileType.Directory)
-        for e in system.get_file_info(pafs.FileSelector(top, recursive=False))
-    ]
+
+    def children(batches):
+        import pandas as pd
+        from pyarrow import fs
+
+        for pdf in batches:
+            system, _ = _open_fs(root)
+            for path in pdf["path"]:
+                found = system.get_file_info(fs.FileSelector(path, recursive=False))
+                rows = [(e.path, e.type == fs.FileType.Directory) for e in found]
+                yield pd.DataFrame(rows, columns=["path", "is_dir"])
 
     def walk(batches):
         import pandas as pd
@@ -73,8 +80,9 @@ def scan_snapshot_files(spark: SparkSession, root: str, partitions: int | None =
             yield pd.DataFrame(out, columns=["path", "sha256", "bytes"])
 
     n = partitions or spark.sparkContext.defaultParallelism * 4
-    top_entries = spark.createDataFrame(entries, "path string, is_dir boolean")
-    paths = top_entries.repartition(max(1, min(n, len(entries)))).mapInPandas(walk, "path string")
+    start = spark.createDataFrame([(top,)], "path string")
+    entries = start.mapInPandas(children, "path string, is_dir boolean").repartition(n)
+    paths = entries.mapInPandas(walk, "path string")
     return paths.repartition(n).mapInPandas(digest, "path string, sha256 string, bytes bigint")
 
 
