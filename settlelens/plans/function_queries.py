@@ -23,7 +23,7 @@ def f2(spark, d):
     return fx.table(spark, d, "customer").select("c_custkey", sig(X.log_positive("c_acctbal"), 9).alias("log_balance"))
 
 
-@query("f3_blob_gas", """SELECT l_orderkey, l_linenumber, CAST(l_linenumber AS BIGINT) * 131072 AS gas, CAST(l_linenumber AS BIGINT) AS blobs,
+@query("f3_blob_gas", """SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, CAST(l_linenumber AS BIGINT) * 131072 AS gas, CAST(l_linenumber AS BIGINT) AS blobs,
 CAST(FLOOR(l_quantity * 21000 / 131072) AS BIGINT) AS blobs_of_gas FROM lineitem""")
 def f3(spark, d):
     li = fx.table(spark, d, "lineitem")
@@ -94,7 +94,7 @@ def f10(spark, d):
                     F.map_contains_key(m, "k").alias("has_k"), F.map_contains_key(m, "z").alias("has_z"))
 
 
-@query("f11_json_array", """SELECT l_orderkey, l_linenumber, l_partkey, UNNEST([CAST(l_partkey AS VARCHAR), CAST(l_suppkey AS VARCHAR)]) AS item FROM lineitem""")
+@query("f11_json_array", """SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, l_partkey, UNNEST([CAST(l_partkey AS VARCHAR), CAST(l_suppkey AS VARCHAR)]) AS item FROM lineitem""")
 def f11(spark, d):
     li = fx.table(spark, d, "lineitem")
     text = F.concat(F.lit('["'), F.col("l_partkey").cast("string"), F.lit('","'), F.col("l_suppkey").cast("string"), F.lit('"]'))
@@ -106,7 +106,7 @@ def f12(spark, d):
     return fx.table(spark, d, "events").select("event_id", F.explode(X.json_object("props")).alias("key", "value"))
 
 
-@query("f13_blob_count", """SELECT l_orderkey, l_linenumber, l_partkey, CAST(CASE l_linenumber % 3 WHEN 1 THEN 0 WHEN 2 THEN l_linenumber END AS BIGINT)
+@query("f13_blob_count", """SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, l_partkey, CAST(CASE l_linenumber % 3 WHEN 1 THEN 0 WHEN 2 THEN l_linenumber END AS BIGINT)
 AS blob_count FROM lineitem""")
 def f13(spark, d):
     k = F.col("l_linenumber")

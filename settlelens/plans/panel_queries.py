@@ -301,11 +301,10 @@ def a19(spark, d):
     return M.nonzero_denominator_days(contract_rows(spark, d))
 
 
-@query("a20_duplicate_keys", """SELECT l_orderkey, l_linenumber, COUNT(*) AS n_rows FROM lineitem
+@query("a20_duplicate_keys", """SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, COUNT(*) AS n_rows FROM lineitem
 GROUP BY 1, 2 HAVING COUNT(*) > 1""")
 def a20(spark, d):
-    rows = M.duplicate_keys(fx.table(spark, d, "lineitem"), ["l_orderkey", "l_linenumber"])
-    return rows.withColumn("l_linenumber", F.col("l_linenumber").cast("int"))
+    return M.duplicate_keys(fx.table(spark, d, "lineitem"), ["l_orderkey", "l_linenumber"])
 
 
 @query("a21_distinct_stitch", sql(

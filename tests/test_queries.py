@@ -18,6 +18,12 @@ def test_every_oracle_has_a_query():
     assert set(oracle_sql()) <= set(queries()) and len(queries()) > 150
 
 
+def test_sql_gives_portable_types():
+    con = connect(SF)
+    kinds = {(k, r[0]): r[1] for k, q in oracle_sql().items() for r in con.execute("DESCRIBE " + q).fetchall()}
+    assert {c: t for c, t in kinds.items() if t not in ("BIGINT", "DOUBLE", "VARCHAR", "BOOLEAN")} == {}
+
+
 @pytest.mark.parametrize("key", sorted(queries()) if os.environ.get("SETTLELENS_ALL") else SAMPLE)
 def test_query_matches_sql(spark, key):
     df = queries()[key](spark, SF)
