@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import Window as W
 
 from settlelens import contracts as C
 from settlelens.functions import columns as X
@@ -80,16 +81,28 @@ def read_universe(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, schema=schema, header=True, escape='"', enforceSchema=False)
 
 
-def read_panel_csv(spark: SparkSession, path: str) -> DataFrame:
+def read_panel_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """A panel CSV with every cell as text, its file and the row's 0-based position in that file.
 
-    Quoted cells may hold line breaks, so a file is read by one task; many files are read in
-    parallel. Rows of a file have consecutive ids, hence the position is the distance to the least.
+    Quoted cells may hold line breaks, and such a file is read by one task. ``multi_line=False`` lets
+    Spark split large files without them. Rows of one split have consecutive ids, so the position is
+    the distance to the least id of the split plus the rows of the file's earlier splits.
     """
-    raw = spark.read.csv(path, header=True, inferSchema=False, multiLine=True, escape='"')
-    rows = raw.select("*", F.col("_metadata.file_path").alias("path"), F.monotonically_increasing_id().alias("_id"))
-    first = rows.groupBy("path").agg(F.min("_id").alias("_first"))
-    return rows.join(first, "path").withColumn("row_index", F.col("_id") - F.col("_first")).drop("_id", "_first")
+    raw = spark.read.csv(path, header=True, inferSchema=False, multiLine=multi_line, escape='"')
+    rows = raw.select(
+        "*",
+        F.col("_metadata.file_path").alias("path"),
+        F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_id"),
+    )
+    splits = rows.groupBy("path", "_block").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    earlier = F.sum("_n").over(W.partitionBy("path").orderBy("_block")) - F.col("_n")
+    offsets = splits.select("path", "_block", (earlier - F.col("_first")).alias("_shift"))
+    return (
+        rows.join(offsets, ["path", "_block"])
+        .withColumn("row_index", F.col("_id") + F.col("_shift"))
+        .drop("_id", "_block", "_shift")
+    )
 
 
 def missing_columns(df: DataFrame, required: list[str]) -> str | None:

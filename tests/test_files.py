@@ -49,6 +49,20 @@ def test_panel_text(spark, tmp_path):
     assert SV.missing_columns(p.select("path", "row_index"), Q.PANEL_REQUIRED) == "missing_header"
 
 
+def test_row_positions_in_split_files(spark, tmp_path):
+    for name in ("a", "b"):
+        lines = "".join(f"2024-01-01,{name}{i},1,1\n" for i in range(200))
+        (tmp_path / f"{name}.csv").write_text("date_utc,rollup_id,l2_fees_eth,rent_paid_eth\n" + lines)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    try:
+        p = SV.read_panel_csv(spark, str(tmp_path), multi_line=False)
+        assert p.count() == 400
+        assert all(r.rollup_id[1:] == str(r.row_index) for r in p.collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_manifest_failures(spark):
     sha = "a" * 64
     base = {"source": "s", "fetched_at_utc": "t", "command": None, "files": []}
