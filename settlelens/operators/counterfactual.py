@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from settlelens import contracts as C
 from settlelens.functions import columns as X
-from settlelens.operators.costs import daily_costs, fee_parts
+from settlelens.operators.costs import fee_parts
 from settlelens.operators.metrics import exact_sum
 
 
@@ -74,6 +74,3 @@ def floor_grid(tx: DataFrame, ratios: list[Decimal]) -> DataFrame:
         ]
     )
     return sums.select(F.inline(rows))
-
-
-__all__ = ["counterfactual_daily", "daily_costs", "floor_fee", "floor_grid", "with_floor"]

@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from settlelens import contracts as C
-from settlelens.functions import columns as X
 from settlelens.operators import metrics as M
 from settlelens.operators import normalize as N
 from settlelens.operators import sets as S
