@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -18,9 +17,6 @@ SESSION_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
-_local_scratch: str | None = None
-
-
 def build_session(app: str = "settlelens", master: str | None = None, **conf: str) -> SparkSession:
     builder = SparkSession.builder.appName(app)
     if master:
@@ -37,16 +33,9 @@ def require_utc(spark: SparkSession) -> None:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a temporary one only on a local master."""
-    global _local_scratch
-    shared = spark.conf.get("spark.checkpoint.dir", "")
-    if shared:
-        return shared.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-    if _local_scratch is None:
-        _local_scratch = tempfile.mkdtemp(prefix="settlelens-")
-    return _local_scratch
+    """The shared folder named by ``spark.checkpoint.dir``; where it is unset, a folder of the warehouse, shared as well."""
+    shared = spark.conf.get("spark.checkpoint.dir", "") or spark.conf.get("spark.sql.warehouse.dir")
+    return shared.rstrip("/")
 
 
 def fresh_dir(spark: SparkSession, label: str) -> str:
