@@ -8,6 +8,7 @@ from settlelens.llm.common import documents
 from settlelens.llm.exact import exact_duplicates
 from settlelens.llm.quality import quality_verdicts
 from settlelens.llm.quality_sql import quality_sql
+from settlelens.llm.simhash import near_duplicates
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +19,10 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(documents(spark, sf_dir))
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(documents(spark, sf_dir))
+
+
 OP7_SQL = """
 SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
   coalesce(doc_id = max(doc_id) OVER same, false) AS kept, sha256(coalesce(text, '')) AS text_sha256
@@ -25,7 +30,7 @@ FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))"""
 
 
 def queries():
-    return {f.__name__: f for f in (op2_quality_rules, op7_exact_dedup)}
+    return {f.__name__: f for f in (op2_quality_rules, op7_exact_dedup, op9_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
