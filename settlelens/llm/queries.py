@@ -3,14 +3,32 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from settlelens.llm.common import documents
+from settlelens.llm import sentencepiece as spm
+from settlelens.llm.common import documents, null_safe_text
 from settlelens.llm.exact import exact_duplicates
 from settlelens.llm.quality import quality_verdicts
 from settlelens.llm.quality_sql import quality_sql
 from settlelens.llm.simhash import near_duplicates
 
 
+TOKENIZERS = "/opt/tokenizers"  # where every executor has the vocabulary files
+
+
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every whole text, and whether decoding them gives the text back."""
+    return piece_ids(documents(spark, sf_dir)).select(
+        "doc_id", F.size("ids").cast("bigint").alias("n_ids"), "ids", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+        (F.col("decoded") == null_safe_text()).alias("exact"),
+    )
+
+
+def piece_ids(docs: DataFrame, model: str = f"{TOKENIZERS}/piece_bpe_32k.model") -> DataFrame:
+    encoded = docs.withColumn("ids", spm.encode(null_safe_text(), model))
+    return encoded.withColumn("decoded", spm.decode(F.col("ids"), model))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_verdicts(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -30,7 +48,7 @@ FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))"""
 
 
 def queries():
-    return {f.__name__: f for f in (op2_quality_rules, op7_exact_dedup, op9_simhash)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_quality_rules, op7_exact_dedup, op9_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
