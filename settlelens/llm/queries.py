@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from settlelens.llm import sentencepiece as spm
 from settlelens.llm.common import documents, null_safe_text
 from settlelens.llm.exact import exact_duplicates
+from settlelens.llm.mixing import mixed, mixing_sql
 from settlelens.llm.quality import quality_verdicts
 from settlelens.llm.quality_sql import quality_sql
 from settlelens.llm.simhash import near_duplicates
@@ -33,6 +34,12 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_verdicts(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = {"source": "source", "lang": "lang", "topic": "topic", "tokens": "n_tokens", "probability": "probability", "kept": "kept"}
+    out = mixed(documents(spark, sf_dir))
+    return out.select("doc_id", *[F.col(f"mix_{a}").alias(b) for a, b in names.items()])
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(documents(spark, sf_dir))
 
@@ -48,8 +55,8 @@ FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))"""
 
 
 def queries():
-    return {f.__name__: f for f in (op1_sentencepiece, op2_quality_rules, op7_exact_dedup, op9_simhash)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_quality_rules, op3_mixing, op7_exact_dedup, op9_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": quality_sql(), "op7_exact_dedup": OP7_SQL}
+    return {"op2_quality_rules": quality_sql(), "op3_mixing": mixing_sql(), "op7_exact_dedup": OP7_SQL}
