@@ -12,6 +12,7 @@ from settlelens.llm.mixing import mixed, mixing_sql
 from settlelens.llm.quality import quality_verdicts
 from settlelens.llm.quality_sql import quality_sql
 from settlelens.llm.simhash import near_duplicates
+from settlelens.llm.tokenfiles import token_digests
 
 
 TOKENIZERS = "/opt/tokenizers"  # where every executor has the vocabulary files
@@ -48,6 +49,10 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
 
 
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_digests(documents(spark, sf_dir), f"{TOKENIZERS}/byte_bpe_50k.json")
+
+
 OP7_SQL = """
 SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
   coalesce(doc_id = max(doc_id) OVER same, false) AS kept, sha256(coalesce(text, '')) AS text_sha256
@@ -55,7 +60,7 @@ FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))"""
 
 
 def queries():
-    return {f.__name__: f for f in (op1_sentencepiece, op2_quality_rules, op3_mixing, op7_exact_dedup, op9_simhash)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_quality_rules, op3_mixing, op7_exact_dedup, op9_simhash, op10_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
