@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from settlelens.llm import sentencepiece as spm
 from settlelens.llm.common import documents, null_safe_text
 from settlelens.llm.exact import exact_duplicates
+from settlelens.llm.hierarchy import quality_scores
+from settlelens.llm.linededup import LINES_SQL, without_boilerplate
 from settlelens.llm.mixing import mixed, mixing_sql
 from settlelens.llm.quality import quality_verdicts
 from settlelens.llm.quality_sql import quality_sql
@@ -41,6 +43,15 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *[F.col(f"mix_{a}").alias(b) for a, b in names.items()])
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = without_boilerplate(documents(spark, sf_dir))
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(documents(spark, sf_dir))
 
@@ -60,8 +71,8 @@ FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))"""
 
 
 def queries():
-    return {f.__name__: f for f in (op1_sentencepiece, op2_quality_rules, op3_mixing, op7_exact_dedup, op9_simhash, op10_token_files)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_quality_rules, op3_mixing, op4_line_dedup, op5_quality_classifier, op7_exact_dedup, op9_simhash, op10_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": quality_sql(), "op3_mixing": mixing_sql(), "op7_exact_dedup": OP7_SQL}
+    return {"op2_quality_rules": quality_sql(), "op3_mixing": mixing_sql(), "op4_line_dedup": LINES_SQL, "op7_exact_dedup": OP7_SQL}
