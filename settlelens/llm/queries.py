@@ -11,6 +11,7 @@ from settlelens.llm.exact import exact_duplicates
 from settlelens.llm.hierarchy import quality_scores
 from settlelens.llm.linededup import LINES_SQL, without_boilerplate
 from settlelens.llm.mixing import mixed, mixing_sql
+from settlelens.llm.pii import personal_data_digests
 from settlelens.llm.quality import quality_verdicts
 from settlelens.llm.quality_sql import quality_sql
 from settlelens.llm.simhash import near_duplicates
@@ -52,6 +53,10 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data_digests(documents(spark, sf_dir))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(documents(spark, sf_dir))
 
@@ -71,7 +76,7 @@ FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))"""
 
 
 def queries():
-    return {f.__name__: f for f in (op1_sentencepiece, op2_quality_rules, op3_mixing, op4_line_dedup, op5_quality_classifier, op7_exact_dedup, op9_simhash, op10_token_files)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_quality_rules, op3_mixing, op4_line_dedup, op5_quality_classifier, op6_personal_data, op7_exact_dedup, op9_simhash, op10_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
