@@ -15,6 +15,7 @@ from settlelens.llm.pii import personal_data_digests
 from settlelens.llm.quality import quality_verdicts
 from settlelens.llm.quality_sql import quality_sql
 from settlelens.llm.simhash import near_duplicates
+from settlelens.llm.suffix import without_repeats
 from settlelens.llm.tokenfiles import token_digests
 
 
@@ -61,6 +62,11 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(documents(spark, sf_dir))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = without_repeats(documents(spark, sf_dir))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
 
@@ -76,7 +82,7 @@ FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))"""
 
 
 def queries():
-    return {f.__name__: f for f in (op1_sentencepiece, op2_quality_rules, op3_mixing, op4_line_dedup, op5_quality_classifier, op6_personal_data, op7_exact_dedup, op9_simhash, op10_token_files)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_quality_rules, op3_mixing, op4_line_dedup, op5_quality_classifier, op6_personal_data, op7_exact_dedup, op8_suffix_dedup, op9_simhash, op10_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
