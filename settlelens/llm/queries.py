@@ -31,8 +31,9 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def piece_ids(docs: DataFrame, model: str = f"{TOKENIZERS}/piece_bpe_32k.model") -> DataFrame:
-    encoded = docs.withColumn("ids", spm.encode(null_safe_text(), model))
-    return encoded.withColumn("decoded", spm.decode(F.col("ids"), model))
+    """``docs`` with ``ids`` and ``decoded``."""
+    both = docs.withColumn("pieces", spm.encode_and_decode(null_safe_text(), model))
+    return both.withColumns({"ids": F.col("pieces.ids"), "decoded": F.col("pieces.decoded")}).drop("pieces")
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,9 +22,9 @@ rows, rows without an id and clashing further columns are passed through unchang
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -33,7 +33,9 @@ from pyspark.sql.functions import pandas_udf
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0  # fixed value: below the least score of a piece by so much
-CACHE = 200_000  # chunks known to one Python worker
+CACHE = 120_000  # chunks in each of the two tables of known ones of a Python worker
+SLICE = 500  # rows of a batch of results
+_PUNCTUATION = ".,;:!?%$&#*|"
 
 
 class Pieces:
@@ -72,6 +74,9 @@ class Pieces:
         self.automaton.make_automaton()
         self.penalty = min(scores, default=0.0) - UNKNOWN_PENALTY
         self.chunked = not any(re.search(f"[^{MARK}]{MARK}", t) for t in usable)
+        self.lines = not any("\n" in t for t in usable)
+        # Marks that no piece has after a letter: a path always breaks between the two.
+        self.tails = "".join(c for c in _PUNCTUATION if not any(a.isalpha() and b == c for t in usable for a, b in zip(t, t[1:], strict=False)))
         surface = [t.replace(MARK, " ").encode() for t in self.texts]
         for i in self.silent:
             surface[i] = b""
@@ -80,6 +85,7 @@ class Pieces:
         surface[self.unknown] = " ⁇ ".encode()
         self.surface = surface
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def viterbi(self, marked: str) -> list[int]:
         """Ids of the best path over one marked text or chunk."""
@@ -123,26 +129,30 @@ class Pieces:
         if not self.chunked:
             return np.array(self.viterbi(marked), np.int32)
         chunks = self._chunks(marked)
+        if len(self.known) > CACHE:  # the chunks of late go on; older ones are looked up once more before they go
+            self.older, self.known = self.known, {}
         known = self.known
         for chunk in set(chunks).difference(known):
-            if len(known) >= CACHE:
-                known.clear()
-                return self._encode_chunks(chunks)
-            known[chunk] = np.array(self.viterbi(chunk), np.int32).tobytes()
+            stem = chunk.rstrip(self.tails)
+            if len(stem) < len(chunk) and stem[-1:].isalpha():
+                known[chunk] = self._ids(stem) + self._ids(chunk[len(stem) :])
+            else:
+                self._ids(chunk)
         return np.frombuffer(b"".join(map(known.__getitem__, chunks)), np.int32)
 
-    def _encode_chunks(self, chunks: list[str]) -> np.ndarray:
-        """As encode, for a text that met a full cache: its own chunks alone."""
-        own = {c: np.array(self.viterbi(c), np.int32).tobytes() for c in set(chunks)}
-        return np.frombuffer(b"".join(map(own.__getitem__, chunks)), np.int32)
+    def _ids(self, chunk: str) -> bytes:
+        found = self.known.get(chunk) or self.older.get(chunk) or array("i", self.viterbi(chunk)).tobytes()
+        self.known[chunk] = found
+        return found
 
-    @staticmethod
-    def _chunks(marked: str) -> list[str]:
-        """Parts of the text, cut wherever a space mark follows another character."""
-        parts = marked.split(MARK)
-        if "" not in parts[1:]:
-            return [parts[0], *[MARK + p for p in parts[1:]]] if parts[0] else [MARK + p for p in parts[1:]]
-        return re.findall(f"{MARK}+[^{MARK}]*|[^{MARK}]+", marked)
+    def _chunks(self, marked: str) -> list[str]:
+        """Parts of the text, cut wherever a space mark follows another character, and at line ends if no piece has one."""
+        if MARK + MARK in marked or marked[-1:] == MARK or "\0" in marked:
+            return re.findall(f"{MARK}+[^{MARK}]*|[^{MARK}]+", marked)
+        parts = marked.replace(MARK, "\0" + MARK)
+        if self.lines:
+            parts = parts.replace("\n", "\0\n\0").replace("\0\0", "\0")
+        return parts.strip("\0").split("\0")
 
     def decode(self, ids) -> str:
         """The text of a sequence of ids; bytes that are no UTF-8 become replacement characters."""
@@ -159,14 +169,21 @@ def load_pieces(path: str) -> Pieces:
     return Pieces(path)
 
 
+def _in_slices(series: pd.Series) -> Iterator[pd.Series]:
+    """Results leave a worker in small batches, whatever the size of those that come in."""
+    for at in range(0, len(series), SLICE):
+        yield series.iloc[at : at + SLICE]
+
+
 def encode(text: Column, model_path: str) -> Column:
     """array<int> of piece ids."""
 
     @pandas_udf("array<int>")
     def spm_encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         pieces = load_pieces(model_path)
-        for texts in batches:
-            yield pd.Series([pieces.encode(t) for t in texts])
+        for batch in batches:
+            for texts in _in_slices(batch):
+                yield pd.Series([pieces.encode(t) for t in texts])
 
     return spm_encode(text)
 
@@ -177,7 +194,22 @@ def decode(ids: Column, model_path: str) -> Column:
     @pandas_udf("string")
     def spm_decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         pieces = load_pieces(model_path)
-        for lists in batches:
-            yield pd.Series([pieces.decode(() if x is None else x.tolist()) for x in lists])
+        for batch in batches:
+            for lists in _in_slices(batch):
+                yield pd.Series([pieces.decode(() if x is None else x.tolist()) for x in lists])
 
     return spm_decode(ids)
+
+
+def encode_and_decode(text: Column, model_path: str) -> Column:
+    """struct(ids, decoded): the ids of a text and the text decoded from them, in one worker."""
+
+    @pandas_udf("ids array<int>, decoded string")
+    def spm_both(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        pieces = load_pieces(model_path)
+        for batch in batches:
+            for texts in _in_slices(batch):
+                ids = [pieces.encode(t) for t in texts]
+                yield pd.DataFrame({"ids": ids, "decoded": [pieces.decode(x.tolist()) for x in ids]})
+
+    return spm_both(text)
