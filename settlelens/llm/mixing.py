@@ -49,8 +49,8 @@ def tempered(cells: DataFrame, margin: str, temper: float) -> DataFrame:
     """(value, share) of one margin."""
     sums = cells.groupBy(F.col(margin).alias("value")).agg(F.sum("tokens").alias("t")).where("t > 0")
     raised = sums.select("value", F.pow(F.col("t"), F.lit(temper)).alias("p"))
-    whole = raised.agg(F.sum("p").alias("whole"))
-    return raised.join(whole).select("value", (F.col("p") / F.col("whole")).alias("share"))
+    whole = raised.agg(F.sum("p")).first()[0] or 1.0
+    return raised.select("value", (F.col("p") / F.lit(whole)).alias("share"))
 
 
 def rake(cells: DataFrame, targets: dict[str, DataFrame], budget: float = BUDGET, sweeps: int = SWEEPS) -> DataFrame:
