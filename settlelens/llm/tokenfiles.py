@@ -28,6 +28,7 @@ import json
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -44,11 +45,12 @@ BLOCK = 65_536  # ids in a chunk
 LEVEL = 3
 UNIT = 8  # bits of a plane: bytes of ids compress better than single bits, which zstandard cannot model
 END_ID = 0
-CACHE = 400_000  # parts of text known to one Python worker
+CACHE = 300_000  # parts of text in each of the two tables of known ones of a Python worker
 GROUP = 256  # documents whose unknown parts are encoded in one call
 
 _DOUBLE_SPACE = re.compile(r"\s\s")
-_CUT = re.compile(r"(?<=\S) (?=\S)")
+_CUT = re.compile(r"(?<=\S)(?= \S)")
+_LINE = re.compile(r"(?<=\S)(?=\n\S)|(?<=\S\n)(?=\S)")
 _PUNCTUATION = ".,;:!?%$&#*|"
 
 
@@ -190,54 +192,54 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         kind = json.loads(self.tokenizer.to_str())["pre_tokenizer"]
         plain = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
         self.parted = self.tokenizer.normalizer is None and all(kind.get(k, v) == v for k, v in plain.items())
 
     def _raw(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, dtype=np.uint32).tobytes() for e in found]
+        return [array("I", e.ids).tobytes() for e in found]
 
     @staticmethod
     def cut(text: str) -> list[str]:
-        """Parts before whose leading space the pattern always breaks."""
-        if _DOUBLE_SPACE.search(text) or text[:1] == " " or text[-1:] == " ":
-            parts = _CUT.split(text)
-        else:
-            parts = text.split(" ")
-        return [parts[0], *[" " + p for p in parts[1:]]]
+        """Parts at whose edges the pattern always breaks: words with the space before them, and line breaks."""
+        if _DOUBLE_SPACE.search(text) or text[:1].isspace() or text[-1:].isspace() or "\0" in text:
+            return [p for part in _CUT.split(text) for p in _LINE.split(part)]
+        return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
 
     @staticmethod
-    def finer(part: str) -> list[str]:
-        """Smaller parts of a part: lines, words and the plain punctuation after them."""
-        lines = [part]
-        if "\n" in part and not _DOUBLE_SPACE.search(part) and part[0] != "\n" and part[-1] != "\n":
-            first, *rest = part.split("\n")
-            lines = [first]
-            for line in rest:
-                lines += ["\n", line]
-        out = []
-        for line in lines:
-            stem = line.rstrip(_PUNCTUATION)
-            if stem and stem is not line and len(stem) < len(line) and stem[-1].isalpha():
-                out += [stem, line[len(stem) :]]
-            else:
-                out.append(line)
-        return out
+    def finer(part: str) -> tuple[str, str] | None:
+        """A word and the plain punctuation after it, if that is what the part is."""
+        stem = part.rstrip(_PUNCTUATION)
+        if len(stem) < len(part) and stem[-1:].isalpha():
+            return stem, part[len(stem) :]
+        return None
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if not self.parted:
             return [np.frombuffer(b, np.uint32) for b in self._raw(texts)]
-        known = self.known
-        if len(known) > CACHE:
-            known.clear()
+        if len(self.known) > CACHE:  # the parts of late go on; older ones are looked up once more before they go
+            self.older, self.known = self.known, {}
+        known, older = self.known, self.older
         cut = [self.cut(t) if t else [] for t in texts]
-        fresh = {p: self.finer(p) for p in set().union(*cut).difference(known)}
-        lacking = list({q for parts in fresh.values() for q in parts}.difference(known))
+        lacking, halves = [], []
+        for p in set().union(*cut).difference(known):
+            if p in older:
+                known[p] = older[p]
+            elif pair := self.finer(p):
+                halves.append((p, pair))
+            else:
+                lacking.append(p)
+        for q in {q for _, pair in halves for q in pair}.difference(known):
+            if q in older:
+                known[q] = older[q]
+            else:
+                lacking.append(q)
+        lacking = list(dict.fromkeys(lacking))
         known.update(zip(lacking, self._raw(lacking), strict=True))
-        for p, parts in fresh.items():
-            if len(parts) > 1:
-                known[p] = b"".join([known[q] for q in parts])
+        for p, (stem, tail) in halves:
+            known[p] = known[stem] + known[tail]
         return [np.frombuffer(b"".join(map(known.__getitem__, parts)), np.uint32) for parts in cut]
 
 
