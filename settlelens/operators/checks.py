@@ -351,21 +351,24 @@ def blob_burn_check(tx: DataFrame) -> DataFrame:
 
 
 def table_digest(df: DataFrame) -> DataFrame:
-    """Order-free digest of a table: sum of row hashes and the row count. Floats hash by bits."""
-    return df.select(F.xxhash64(*sorted(df.columns)).alias("_h")).agg(
-        F.coalesce(F.sum(F.col("_h").cast("decimal(38,0)")), F.lit(0)).cast("string").alias("digest"),
-        F.count(F.lit(1)).alias("n_rows"),
+    """Order-free digest of a table: sums of two row hashes and the row count. Floats hash by bits.
+
+    Hashes skip nulls, so each column stands next to a mark of its nulls.
+    """
+    marked = [c for name in sorted(df.columns) for c in (F.col(f"`{name}`"), F.col(f"`{name}`").isNull())]
+    total = lambda h: F.coalesce(F.sum(F.col(h).cast("decimal(38,0)")), F.lit(0)).cast("string")
+    return df.select(F.xxhash64(*marked).alias("_h"), F.xxhash64(F.lit("second"), *marked).alias("_g")).agg(
+        F.concat_ws("/", total("_h"), total("_g")).alias("digest"), F.count(F.lit(1)).alias("n_rows")
     )
 
 
 def compare_builds(first: DataFrame, second: DataFrame) -> DataFrame:
     """Whether two builds hold the same rows."""
-    a = table_digest(first).withColumnsRenamed({"digest": "digest_a", "n_rows": "n_a"}).withColumn("_one", F.lit(1))
-    b = table_digest(second).withColumnsRenamed({"digest": "digest_b", "n_rows": "n_b"}).withColumn("_one", F.lit(1))
-    same = (F.col("digest_a") == F.col("digest_b")) & (F.col("n_a") == F.col("n_b"))
-    return a.join(b, "_one").select(
-        *result("rebuild", F.lit("table"), F.col("n_b"), F.col("n_a"), same)
-    )
+    both = table_digest(first).withColumn("_build", F.lit("a")).unionByName(table_digest(second).withColumn("_build", F.lit("b")))
+    of = lambda name, build: F.max(F.when(F.col("_build") == build, F.col(name)))
+    one = both.agg(*[of(n, b).alias(f"{n}_{b}") for n in ("digest", "n_rows") for b in "ab"])
+    same = (F.col("digest_a") == F.col("digest_b")) & (F.col("n_rows_a") == F.col("n_rows_b"))
+    return one.select(*result("rebuild", F.lit("table"), F.col("n_rows_b"), F.col("n_rows_a"), same))
 
 
 def rehash(manifest_files: DataFrame, snapshot_files: DataFrame) -> DataFrame:
@@ -386,18 +389,21 @@ def rehash(manifest_files: DataFrame, snapshot_files: DataFrame) -> DataFrame:
     )
 
 
-def lineage_closure(edges: DataFrame, max_depth: int = 50) -> DataFrame:
-    """All (artifact, input, depth) pairs reachable through ``edges`` (artifact, input).
+def lineage_closure(edges: DataFrame, roots: DataFrame | None = None) -> DataFrame:
+    """(artifact, input, depth) pairs reachable through ``edges`` (artifact, input).
 
-    Each round joins the newest pairs to the edges and writes the result to the shared folder, so
-    the plan stays short and a lost executor costs one round. A cycle ends when no new pair appears.
+    ``roots`` (artifact) names the artifacts asked about; without it every artifact is one. Each round
+    joins the newest pairs to the edges and writes the result to the shared folder, so the plan stays
+    short and a lost executor costs one round. Rounds go on until no new pair appears, so a cycle ends.
     """
     from settlelens.session import materialize
 
-    base = edges.select("artifact", "input").distinct()
-    seen = materialize(base.withColumn("depth", F.lit(1)), "lineage")
-    frontier = seen
-    for depth in range(2, max_depth + 1):
+    base = materialize(edges.select("artifact", "input").distinct(), "lineage-edges")
+    first = base if roots is None else base.join(roots.select("artifact").distinct(), "artifact", "left_semi")
+    seen = frontier = materialize(first.withColumn("depth", F.lit(1)), "lineage")
+    depth = 1
+    while not frontier.isEmpty():
+        depth += 1
         step = (
             frontier.select("artifact", F.col("input").alias("_mid"))
             .join(base.select(F.col("artifact").alias("_mid"), "input"), "_mid")
@@ -407,10 +413,8 @@ def lineage_closure(edges: DataFrame, max_depth: int = 50) -> DataFrame:
             .withColumn("depth", F.lit(depth))
         )
         frontier = materialize(step, "lineage")
-        if frontier.isEmpty():
-            return seen
         seen = seen.unionByName(frontier)
-    raise ValueError(f"lineage deeper than {max_depth}")
+    return seen
 
 
 def lineage_check(edges: DataFrame, known: DataFrame) -> DataFrame:

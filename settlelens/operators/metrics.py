@@ -278,13 +278,22 @@ def top_rollups(panel: DataFrame, n: int, days: int = 30) -> DataFrame:
     return trailing_fees(panel, days).orderBy(F.desc("l2_fees_eth"), "rollup_id").limit(n)
 
 
-def first_rows(df: DataFrame, order: list[str], cap: int | None) -> DataFrame:
-    """The first ``cap`` rows in a stated order with their 0-based position; ``None`` keeps all rows
-    and gives no position. The cap is a feature of the sample check only."""
-    if cap is None:
-        return df
-    w = W.partitionBy(F.lit(1)).orderBy(*order)
-    return df.orderBy(*order).limit(cap).withColumn("row_index", (F.row_number().over(w) - 1).cast("bigint"))
+def numbered(df: DataFrame, *order: Column | str) -> DataFrame:
+    """All rows with their 0-based position in a stated order.
+
+    The rows are sorted by ranges and written once; a position is the place within its range plus the
+    rows of the ranges before, of which there is one count each. No task sees more than its range.
+    """
+    from settlelens.session import materialize
+
+    placed = df.orderBy(*order).withColumn("_id", F.monotonically_increasing_id())
+    placed = materialize(placed, "numbered").withColumn("_range", F.shiftright("_id", 33))
+    sizes = placed.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select("_range", before.alias("_before"))
+    return placed.join(starts, "_range").withColumn(
+        "row_index", F.col("_before") + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
+    ).drop("_id", "_range", "_before")
 
 
 # ---- assembly ---------------------------------------------------------------------------------

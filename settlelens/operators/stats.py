@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from settlelens.functions import columns as X
+from settlelens.operators.metrics import EXACT
 
 
 def linear_trend(series: DataFrame) -> DataFrame:
@@ -101,7 +102,7 @@ def newey_west(series: DataFrame, lags: int = 7) -> DataFrame:
     )
 
 
-def _pair_counts(series: DataFrame, max_bits: int) -> DataFrame:
+def _pair_counts(series: DataFrame) -> DataFrame:
     """Rising and falling pairs, and the tie term of the variance, per series.
 
     All windows partition by the series first, so one shuffle serves them and the final sum.
@@ -117,7 +118,7 @@ def _pair_counts(series: DataFrame, max_bits: int) -> DataFrame:
         )
         .withColumns({"n": F.count(F.lit(1)).over(by_series), "top": F.max("r").over(by_series)})
     )
-    bits = F.greatest(F.least(F.ceil(F.log2(F.col("top") + 1.0)).cast("int"), F.lit(max_bits)), F.lit(1))
+    bits = F.length(F.bin("top"))  # as many as the largest rank has
     split = ranked.select(
         "series_id", "t", "r", "m", "n", F.explode(F.sequence(F.lit(0), bits - 1)).alias("k")
     ).withColumns({"prefix": F.expr("shiftright(r, k + 1)"), "bit": F.expr("shiftright(r, k) & 1")})
@@ -137,16 +138,15 @@ def _pair_counts(series: DataFrame, max_bits: int) -> DataFrame:
     )
 
 
-def pair_signs(series: DataFrame, max_bits: int = 17) -> DataFrame:
+def pair_signs(series: DataFrame) -> DataFrame:
     """Rising, falling and tied pairs of days per series, counted without forming pairs.
 
     Values become dense ranks. Two ranks first differ at one bit, where the larger has a one. So for
     each bit, rows that share the higher bits are walked in time order, and each row counts the
-    earlier rows with the opposite bit: n x log2(n) rows instead of n x n. ``max_bits`` allows
-    131,072 distinct values, more than any calendar-day series has.
+    earlier rows with the opposite bit: n x log2(n) rows instead of n x n.
     """
     pairs = (F.col("n") * (F.col("n") - 1) / 2).cast("bigint")
-    return _pair_counts(series, max_bits).select(
+    return _pair_counts(series).select(
         "series_id", "n", "rising", "falling", (pairs - F.col("rising") - F.col("falling")).alias("tied")
     )
 
@@ -163,14 +163,14 @@ def normal_two_sided(z: Column) -> Column:
     return F.lit(2.0) * F.exp(-x * x / 2) / F.lit((2 * 3.141592653589793) ** 0.5) * poly
 
 
-def mann_kendall(series: DataFrame, max_bits: int = 17) -> DataFrame:
+def mann_kendall(series: DataFrame) -> DataFrame:
     """S, tie-corrected variance, Z with continuity correction and its p-value."""
     n = F.col("n")
     s = F.col("rising") - F.col("falling")
     var = (n * (n - 1) * (2 * n + 5) - F.col("tie_sum")) / 18.0
     z = F.when((s == 0) | (var <= 0), 0.0).otherwise((s - F.signum(s)) / F.sqrt(var))
     return (
-        _pair_counts(series, max_bits)
+        _pair_counts(series)
         .select("series_id", "n", s.alias("s"), var.alias("var_s"), z.alias("z"))
         .withColumn("p_value", normal_two_sided(F.col("z")))
     )
@@ -291,52 +291,46 @@ def elasticity(series: DataFrame, y: str, x: str) -> DataFrame:
 
 
 def multiple_regression(series: DataFrame, y: str, xs: list[str], keys: list[str]) -> DataFrame:
-    """OLS of y on several regressors. Spark sums the centred cross moments in two aggregates; each
-    group then leaves one small symmetric system, solved in Arrow batches."""
-    complete = series.select(*keys, *[F.col(c).cast("double").alias(c) for c in (y, *xs)])
-    for c in (y, *xs):
-        complete = complete.filter(F.col(c).isNotNull() & ~F.isnan(c))
-    means = complete.groupBy(*keys).agg(
-        *[F.avg(c).alias(f"_m_{c}") for c in (y, *xs)], F.count(F.lit(1)).alias("n")
-    )
-    centred = complete.join(means, keys)
-
-    def d(c):
-        return F.col(c) - F.col(f"_m_{c}")
+    """OLS of y on several regressors: intercept, b_<x> and r2, null where a regressor is a mix of others.
 
-    moments = centred.groupBy(*keys).agg(
-        F.first("n").alias("n"),
-        F.array(*[F.sum(d(a) * d(b)) for a in xs for b in xs]).alias("sxx"),
-        F.array(*[F.sum(d(a) * d(y)) for a in xs]).alias("sxy"),
-        F.sum(d(y) * d(y)).alias("syy"),
-        F.array(*[F.first(f"_m_{c}") for c in (*xs, y)]).alias("means"),
-    )
+    One aggregate gives the centred cross moments of each group; the symmetric system is solved by
+    elimination on columns, one step per regressor.
+    """
+    complete = series.select(*keys, *[X.not_nan(F.col(c).cast("double")).alias(c) for c in (y, *xs)]).dropna(subset=[y, *xs])
     p = len(xs)
-    names = ["intercept", *[f"b_{c}" for c in xs], "r2"]
-    schema = T.StructType(
-        [*[moments.schema[k] for k in keys], T.StructField("n", T.LongType())]
-        + [T.StructField(c, T.DoubleType()) for c in names]
+    moments = complete.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"),
+        *[F.covar_pop(xs[i], xs[j]).alias(f"_a{i}{j}") for i in range(p) for j in range(i, p)],
+        *[F.covar_pop(x, y).alias(f"_b{i}") for i, x in enumerate(xs)],
+        F.var_pop(y).alias("_syy"),
+        *[F.avg(c).alias(f"_m{i}") for i, c in enumerate((*xs, y))],
+    )
+    system = moments.withColumns({f"_s{i}": F.col(f"_b{i}") for i in range(p)} | {f"_d{i}": F.col(f"_a{i}{i}") for i in range(p)})
+    a = lambda i, j: F.col(f"_a{min(i, j)}{max(i, j)}")
+    sound = F.col("n") > p + 1
+    for k in range(p):  # elimination below the diagonal; the rest stays symmetric
+        sound = sound & (F.col(f"_a{k}{k}") > F.col(f"_d{k}") * 1e-12)
+        share = {i: F.try_divide(a(k, i), a(k, k)) for i in range(k + 1, p)}
+        system = system.withColumns(
+            {f"_a{i}{j}": a(i, j) - share[i] * a(k, j) for i in share for j in range(i, p)}
+            | {f"_b{i}": F.col(f"_b{i}") - share[i] * F.col(f"_b{k}") for i in share}
+        )
+    for k in reversed(range(p)):
+        rest = F.col(f"_b{k}")
+        for j in range(k + 1, p):
+            rest = rest - a(k, j) * F.col(f"_x{j}")
+        system = system.withColumn(f"_x{k}", F.try_divide(rest, a(k, k)))
+    fitted, level = F.lit(0.0), F.col(f"_m{p}")
+    for i in range(p):
+        fitted = fitted + F.col(f"_x{i}") * F.col(f"_s{i}")
+        level = level - F.col(f"_x{i}") * F.col(f"_m{i}")
+    return system.select(
+        *keys,
+        "n",
+        F.when(sound, level).alias("intercept"),
+        *[F.when(sound, F.col(f"_x{i}")).alias(f"b_{x}") for i, x in enumerate(xs)],
+        F.when(sound, F.try_divide(fitted, "_syy")).alias("r2"),
     )
-
-    def solve(batches):
-        import numpy as np
-        import pandas as pd
-
-        for pdf in batches:
-            rows = []
-            for r in pdf.itertuples(index=False):
-                a, b, m = np.array(r.sxx).reshape(p, p), np.array(r.sxy), np.array(r.means)
-                if r.n > p + 1 and np.linalg.matrix_rank(a) == p:
-                    beta = np.linalg.solve(a, b)
-                    r2 = float(beta @ b / r.syy) if r.syy > 0 else None
-                    rows.append([float(m[-1] - beta @ m[:-1]), *map(float, beta), r2])
-                else:
-                    rows.append([None] * (p + 2))
-            yield pd.concat(
-                [pdf[[*keys, "n"]].reset_index(drop=True), pd.DataFrame(rows, columns=names, dtype="float64")], axis=1
-            )
-
-    return moments.mapInPandas(solve, schema)
 
 
 def block_bootstrap(series: DataFrame, block: int = 14, reps: int = 200, seed: int = 7) -> DataFrame:
@@ -350,8 +344,8 @@ def block_bootstrap(series: DataFrame, block: int = 14, reps: int = 200, seed: i
     blocks = series.select(
         "series_id",
         (F.row_number().over(order) - 1).cast("bigint").alias("start"),
-        F.sum("rent").over(span).alias("rent"),
-        F.sum("fees").over(span).alias("fees"),
+        F.sum(F.col("rent").cast(EXACT)).over(span).alias("rent"),
+        F.sum(F.col("fees").cast(EXACT)).over(span).alias("fees"),
     )
     sizes = series.groupBy("series_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= block)
     draws = sizes.select(
@@ -373,7 +367,7 @@ def block_bootstrap(series: DataFrame, block: int = 14, reps: int = 200, seed: i
     estimates = (
         starts.join(blocks, ["series_id", "start"])
         .groupBy("series_id", "rep")
-        .agg(X.ratio_or_nan(F.sum("rent"), F.sum("fees")).alias("estimate"))
+        .agg(X.ratio_or_nan(F.sum("rent").cast("double"), F.sum("fees").cast("double")).alias("estimate"))
     )
     v = X.not_nan("estimate")
     return estimates.groupBy("series_id").agg(

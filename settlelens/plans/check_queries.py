@@ -317,8 +317,8 @@ def q19(spark, d):
 
 
 @query("q19_lineage_check", sql(
-    """SELECT 'lineage' AS "check", artifact || '<-' || input AS key, 'unknown_input' AS detail FROM edges_
-    WHERE input NOT IN (SELECT artifact FROM edges_)""", extra=(EDGES,)))
+    """SELECT 'lineage' AS "check", artifact || '<-' || input AS key, 'unknown_input' AS detail FROM edges_ e
+    WHERE NOT EXISTS (SELECT 1 FROM edges_ k WHERE k.artifact = e.input)""", extra=(EDGES,)))
 def q19_check(spark, d):
     e = edges(spark, d)
     return Q.lineage_check(e, e).select("check", "key", "detail")

@@ -163,11 +163,16 @@ def q2(spark, d):
     return Q.panel_text_failures(panel_csv(spark, d)).groupBy("column", "failure").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
+# All rows come back; whether a sample check of the first rows would have looked at one is a column.
+SAMPLE_ROWS = 2000
+
+
 @query("t5_row_cap", sql(
-    """SELECT i AS row_index, date_utc, rollup_id FROM (SELECT *, ROW_NUMBER() OVER (ORDER BY date_utc, rollup_id) - 1 AS i FROM fx_panel)
-    WHERE i < 2000""", "fx_panel"), dates=("date_utc",))
+    f"""SELECT i AS row_index, date_utc, rollup_id, i < {SAMPLE_ROWS} AS in_sample FROM
+    (SELECT *, ROW_NUMBER() OVER (ORDER BY date_utc, rollup_id) - 1 AS i FROM fx_panel)""", "fx_panel"), dates=("date_utc",))
 def t5(spark, d):
-    return M.first_rows(fx.panel(spark, d), ["date_utc", "rollup_id"], 2000).select("row_index", "date_utc", "rollup_id")
+    return M.numbered(fx.panel(spark, d).select("date_utc", "rollup_id"), "date_utc", "rollup_id").withColumn(
+        "in_sample", F.col("row_index") < SAMPLE_ROWS)
 
 
 def snapshot(spark: SparkSession, d: str) -> str:
@@ -249,12 +254,12 @@ def s13(spark, d):
 
 
 @query("t4_path_order",
-       """SELECT path FROM (SELECT 'raw/' || CASE WHEN o_custkey % 2 = 0 THEN 'a' ELSE 'a-b' END || '/' || CAST(o_orderkey AS VARCHAR) AS path
-       FROM orders) ORDER BY string_split(path, '/') LIMIT 50""")
+       """SELECT path, ROW_NUMBER() OVER (ORDER BY string_split(path, '/')) - 1 AS row_index FROM (SELECT 'raw/' || CASE WHEN o_custkey % 2 = 0 THEN 'a' ELSE 'a-b' END || '/' || CAST(o_orderkey AS VARCHAR) AS path
+       FROM orders)""")
 def t4(spark, d):
     o = fx.table(spark, d, "orders")
     path = F.concat(F.lit("raw/"), F.when(F.col("o_custkey") % 2 == 0, "a").otherwise("a-b"), F.lit("/"), F.col("o_orderkey").cast("string"))
-    return SN.by_path(o.select(path.alias("path"))).limit(50)
+    return M.numbered(o.select(path.alias("path")), *SN.path_order())
 
 
 # ---- sinks --------------------------------------------------------------------------------------

@@ -136,9 +136,20 @@ def x5(spark, d):
     return b.select("series_id", "n_breaks", "break_no", "break_t", sig("ssr").alias("ssr"))
 
 
-@query("x5_chosen_breaks")
+RANKED = ("ranked_", """SELECT series_id, m, first_t, second_t, n * ln(greatest(ssr, 1e-300) / n) + (2 * m + 1) * ln(n) AS bic FROM (
+  SELECT series_id, 0 AS m, NULL AS first_t, NULL AS second_t, s2 - s1 * s1 / n AS ssr, n FROM prefix_ WHERE i = n AND n >= 30
+  UNION ALL SELECT o.series_id, 1, arg_min(break_t, ssr), NULL, MIN(ssr), any_value(f.n) FROM one_ o JOIN fit_ f ON f.series_id = o.series_id GROUP BY 1
+  UNION ALL SELECT t.series_id, 2, arg_min(first_t, ssr), arg_min(second_t, ssr), MIN(ssr), any_value(f.n) FROM two_ t
+    JOIN fit_ f ON f.series_id = t.series_id GROUP BY 1)""")
+
+
+@query("x5_chosen_breaks", sql(
+    f"""SELECT series_id, m::BIGINT AS n_breaks, UNNEST(CASE m WHEN 0 THEN [0] WHEN 1 THEN [1] ELSE [1, 2] END)::BIGINT AS break_no,
+    UNNEST(CASE m WHEN 0 THEN [NULL] WHEN 1 THEN [first_t] ELSE [first_t, second_t] END)::BIGINT AS break_t, {sig_sql('bic')} AS bic
+    FROM (SELECT * FROM ranked_ QUALIFY ROW_NUMBER() OVER (PARTITION BY series_id ORDER BY bic, m) = 1)""",
+    "fx_series", extra=(FIT, PREFIX, ONE_BREAK, TWO_BREAKS, RANKED)))
 def x5_chosen(spark, d):
-    return ST.chosen_breaks(ST.break_dates(fx.series(spark, d), 5)).select(
+    return ST.chosen_breaks(ST.break_dates(fx.series(spark, d), 2)).select(
         "series_id", "n_breaks", "break_no", "break_t", sig("bic").alias("bic"))
 
 

@@ -86,9 +86,13 @@ def scan_snapshot_files(spark: SparkSession, root: str, partitions: int | None =
     return paths.repartition(n).mapInPandas(digest, "path string, sha256 string, bytes bigint")
 
 
+def path_order(path: str = "path"):
+    """Sort keys that order paths part by part, so that a/b comes before a-b/c."""
+    return (F.split(path, "/"),)
+
+
 def by_path(df: DataFrame, path: str = "path") -> DataFrame:
-    """Ordered part by part, so that a/b comes before a-b/c."""
-    return df.orderBy(F.split(path, "/"))
+    return df.orderBy(*path_order(path))
 
 
 def read_manifests(spark: SparkSession, folder: str) -> DataFrame:

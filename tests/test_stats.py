@@ -114,6 +114,13 @@ def test_bootstrap_is_repeatable_and_narrows(spark):
     assert one["n960"][1] - one["n960"][0] < one["n60"][1] - one["n60"][0]
 
 
+def test_pair_signs_of_more_than_2_to_the_17_ranks(spark):
+    n = (1 << 17) + 3
+    s = spark.range(n).selectExpr("'s' AS series_id", "id AS t", "CAST(CASE WHEN id = 0 THEN -1 ELSE id END AS DOUBLE) AS y")
+    r = ST.pair_signs(s).first()
+    assert (r.rising, r.falling, r.tied) == (n * (n - 1) // 2, 0, 0)
+
+
 def test_grade(spark):
     t = spark.createDataFrame([("a", 1.0, 0.5), ("b", 1.0, 0.5), ("c", -1.0, -3.0), ("d", 1.0, 0.5)], "series_id string, slope double, t_stat double")
     e = spark.createDataFrame([("a", 0.9), ("b", 0.3), ("c", 0.9), ("d", 0.0)], "series_id string, beta double")
