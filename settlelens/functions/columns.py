@@ -50,12 +50,27 @@ def blobs_from_gas(gas: Column | str) -> Column:
 
 
 def blob_base_fee(given: Column | str, excess: Column | str, fraction: Column | str) -> Column:
-    """The given fee, else the closed form of the fee rule on excess blob gas (an approximation)."""
-    derived = F.greatest(
-        F.lit(C.MIN_BLOB_BASE_FEE_WEI).cast("double"),
-        F.floor(F.exp(col(excess).cast("double") / col(fraction).cast("double"))).cast("double"),
-    )
-    return F.coalesce(col(given).cast(C.WEI), derived.cast(C.WEI))
+    """The given fee, else the fee rule on excess blob gas: minimum x e^(excess / fraction) by its integer series.
+
+    Term i is the one before times excess over fraction x i, rounded down, until a term is zero; the sum
+    is divided by the fraction and rounded down. All of it is whole-number work in decimals. A fee that
+    does not fit 38 digits is null, and so is one without excess gas.
+    """
+    wide = "decimal(38,0)"
+    x, over = col(excess).cast(wide), col(fraction).cast(wide)
+    # e^r needs under 3 r + 40 terms for any fraction below 10^9.
+    terms = F.sequence(F.lit(1), (F.ceil(x.cast("double") / over.cast("double")) * 3 + 40).cast("int"))
+
+    def whole(num: Column, den: Column) -> Column:
+        return ((num - num % den) / den).cast(wide)
+
+    def step(a: Column, i: Column) -> Column:
+        product = F.try_multiply(a["term"], x).cast(wide)
+        return F.struct((a["sum"] + a["term"]).cast(wide).alias("sum"), whole(product, (over * i.cast(wide)).cast(wide)).alias("term"))
+
+    start = F.struct(F.lit(0).cast(wide).alias("sum"), (F.lit(C.MIN_BLOB_BASE_FEE_WEI) * over).cast(wide).alias("term"))
+    derived = F.aggregate(terms, start, step, lambda a: whole(a["sum"], over))
+    return F.coalesce(col(given).cast(C.WEI), F.when(x.isNotNull(), derived.cast(C.WEI)))
 
 
 # ---- guarded arithmetic -----------------------------------------------------------------------

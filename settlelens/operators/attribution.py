@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 
 from settlelens import contracts as C
 from settlelens.functions.joins import lookup
+from settlelens.operators.costs import total_spend
 
 
 def confidence_rank(confidence: Column) -> Column:
@@ -141,7 +142,7 @@ def new_sender_candidates(attributed: DataFrame, min_days: int = 2) -> DataFrame
     per_day = (
         attributed.filter("attribution_rule = 'to_match'")
         .groupBy("from_address", F.col("to_rollup").alias("rollup_id"), "date_utc")
-        .agg(F.count(F.lit(1)).alias("n_tx"), F.sum("execution_fee_wei").alias("spend_wei"))
+        .agg(F.count(F.lit(1)).alias("n_tx"), F.sum(total_spend()).alias("spend_wei"))
     )
     return (
         per_day.groupBy("from_address", "rollup_id")

@@ -12,15 +12,32 @@ from settlelens.functions import columns as X
 from settlelens.functions.joins import exact_percentiles
 
 
+def with_blob_fee(blocks: DataFrame) -> DataFrame:
+    """Blocks with a blob base fee where their header allows one: the given fee, else the fee rule on excess gas.
+
+    ``blob_fee_derived`` tells which. The raw block table may lack the fee on some rows or altogether.
+    """
+    given = F.col("base_fee_per_blob_gas_wei") if "base_fee_per_blob_gas_wei" in blocks.columns else F.lit(None)
+    _, fraction = blob_limits(X.epoch_date("timestamp"))
+    fee = X.blob_base_fee(given.cast(C.PRICE_WEI), "excess_blob_gas", fraction).cast(C.PRICE_WEI)
+    return blocks.withColumns(
+        {"blob_fee_derived": given.isNull() & F.col("excess_blob_gas").isNotNull(), "base_fee_per_blob_gas_wei": fee}
+    )
+
+
 def with_block_fees(tx: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Base fees and time of each transaction's block; only the needed block columns are shuffled."""
-    b = blocks.select(
+    """Base fees and time of each transaction's block; only the needed block columns are shuffled.
+
+    A transaction whose block is absent stays, with ``block_missing`` and no date.
+    """
+    b = with_blob_fee(blocks).select(
         "block_number",
         F.timestamp_seconds("timestamp").alias("ts"),
         "base_fee_per_gas_wei",
         "base_fee_per_blob_gas_wei",
     )
-    return tx.join(b, "block_number").withColumn("date_utc", F.col("ts").cast("date"))
+    joined = tx.join(b, "block_number", "left")
+    return joined.withColumns({"date_utc": F.col("ts").cast("date"), "block_missing": F.col("ts").isNull()})
 
 
 def with_blob_detail(tx: DataFrame, blob_tx: DataFrame) -> DataFrame:
@@ -55,7 +72,7 @@ def fill_blob_count(tx: DataFrame, index: DataFrame) -> DataFrame:
 
 
 def fee_parts(tx: DataFrame) -> DataFrame:
-    """Per-transaction parts. Type 3 without a blob count has an unknown blob burn, kept apart.
+    """Per-transaction parts. Type 3 without a blob count or a blob fee has an unknown blob burn, kept apart.
 
     Failed transactions pay too, so status is not looked at.
     """
@@ -70,15 +87,18 @@ def fee_parts(tx: DataFrame) -> DataFrame:
             "tips_wei": (gas * (price - base)).cast("decimal(30,0)"),
             "execution_fee_wei": (gas * price).cast("decimal(30,0)"),
             "burn_blob_wei": F.when(F.col("tx_type") == 3, burn_blob).otherwise(F.lit(0).cast("decimal(30,0)")),
-            "blob_count_missing": (F.col("tx_type") == 3) & F.col("blob_count").isNull(),
+            "blob_burn_unknown": (F.col("tx_type") == 3) & burn_blob.isNull(),
             "price_below_base": price < base,
         }
     )
 
 
 def quarantine(tx: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(usable rows, rows whose price is below the base fee)."""
-    return tx.filter("NOT price_below_base"), tx.filter("price_below_base")
+    """(usable rows, rows whose price is below the base fee or whose block is absent)."""
+    bad = F.coalesce("price_below_base", F.lit(False))
+    if "block_missing" in tx.columns:
+        bad = bad | F.col("block_missing")
+    return tx.filter(~bad), tx.filter(bad)
 
 
 def _sum(name: str) -> Column:
@@ -97,8 +117,8 @@ def daily_costs(tx: DataFrame, keys: tuple[str, ...] = ("date_utc", "rollup_id")
         _sum("burn_base_wei").alias("burn_base_wei"),
         _sum("tips_wei").alias("tips_wei"),
         _sum("burn_blob_wei").alias("burn_blob_wei"),
-        F.count_if("blob_count_missing").alias("missing_blob_tx"),
-        F.coalesce(F.sum(F.when(F.col("blob_count_missing"), F.col("execution_fee_wei"))), F.lit(0))
+        F.count_if("blob_burn_unknown").alias("missing_blob_tx"),
+        F.coalesce(F.sum(F.when(F.col("blob_burn_unknown"), F.col("execution_fee_wei"))), F.lit(0))
         .cast(C.WEI)
         .alias("missing_blob_execution_wei"),
         F.count(F.lit(1)).alias("n_tx"),
@@ -116,8 +136,16 @@ def daily_costs(tx: DataFrame, keys: tuple[str, ...] = ("date_utc", "rollup_id")
     )
 
 
-def decomposition(tx: DataFrame) -> DataFrame:
-    """Daily burn and tips of attributed transactions; the total is the sum of its parts."""
+def total_spend() -> Column:
+    """Execution fee plus blob burn; an unknown burn counts nothing here and is counted apart in the costs."""
+    return (F.col("execution_fee_wei") + F.coalesce("burn_blob_wei", F.lit(0))).cast("decimal(31,0)")
+
+
+def decomposition(tx: DataFrame, blob_state: DataFrame) -> DataFrame:
+    """Daily burn and tips of attributed transactions; the total is the sum of its parts.
+
+    The blob fee is the level of the day, the mean over its blocks in ``blob_state``.
+    """
     d = (
         tx.groupBy("date_utc")
         .agg(
@@ -125,8 +153,8 @@ def decomposition(tx: DataFrame) -> DataFrame:
             _sum("burn_blob_wei").alias("_blob"),
             _sum("tips_wei").alias("_tips"),
             F.sum(X.blob_gas("blob_count")).alias("l1_blob_gas_used"),
-            exact_mean("base_fee_per_blob_gas_wei").alias("_fee"),
         )
+        .join(blob_state.select("date_utc", F.col("blob_base_fee_wei_avg").alias("_fee")), "date_utc", "left")
     )
     return d.select(
         "date_utc",
@@ -154,7 +182,7 @@ def blob_limits(date: Column) -> tuple[Column, Column]:
 
 
 def blob_market_daily(blocks: DataFrame, tx: DataFrame) -> DataFrame:
-    """Blob gas of blocks with type-3 transaction and blob counts, per day."""
+    """Blob gas of blocks with type-3 transaction and blob counts, per day. ``tx`` needs block_number and tx_type only."""
     gas = (
         blocks.withColumn("date_utc", X.epoch_date("timestamp"))
         .groupBy("date_utc")
@@ -166,15 +194,16 @@ def blob_market_daily(blocks: DataFrame, tx: DataFrame) -> DataFrame:
         )
         .withColumn("blobs_count", X.blobs_from_gas("blob_gas_used"))
     )
-    txs = tx.groupBy("date_utc").agg(
-        F.count_if(F.col("tx_type") == 3).alias("blob_tx_count"),
-    )
+    # Only type-3 rows are looked up; days without any count zero below.
+    dates = blocks.select("block_number", X.epoch_date("timestamp").alias("date_utc"))
+    typed = tx.filter("tx_type = 3").select("block_number").join(dates, "block_number")
+    txs = typed.groupBy("date_utc").agg(F.count(F.lit(1)).alias("blob_tx_count"))
     return gas.join(txs, "date_utc", "left").withColumn("blob_tx_count", F.coalesce("blob_tx_count", F.lit(0)))
 
 
 def blob_fee_state(blocks: DataFrame) -> DataFrame:
     """Daily average and exact median blob fee, and utilization = used / maximum."""
-    b = blocks.withColumn("date_utc", X.epoch_date("timestamp"))
+    b = with_blob_fee(blocks).withColumn("date_utc", X.epoch_date("timestamp"))
     limit, _ = blob_limits(F.col("date_utc"))
     means = b.groupBy("date_utc").agg(
         exact_mean("base_fee_per_blob_gas_wei").alias("blob_base_fee_wei_avg"),
@@ -199,9 +228,15 @@ def header_presence(blocks: DataFrame, activation: dt.datetime = C.DENCUN_INSTAN
     return blocks.withColumns({"active": active, "header_ok": F.when(active, present).otherwise(absent)})
 
 
-def attribution_coverage(tx: DataFrame, spend: str, boundary: dt.date = C.DENCUN_DATE) -> DataFrame:
-    """Share of spend attributed to a rollup by sender, per regime."""
+def attribution_coverage(tx: DataFrame, boundary: dt.date = C.DENCUN_DATE) -> DataFrame:
+    """Share of settlement spend attributed to a rollup by sender, per regime.
+
+    Before the boundary settlement is paid as calldata, by the execution fee; after it, as blobs.
+    """
     named = ~F.col("rollup_id").isin(C.OTHER, C.ROLLUP_LIKE)
+    post = X.post_regime("date_utc", boundary)
+    spend = "_spend"
+    tx = tx.withColumn(spend, F.when(post, F.coalesce("burn_blob_wei", F.lit(0))).otherwise(F.col("execution_fee_wei")).cast(C.WEI))
     return (
         tx.groupBy(X.post_regime("date_utc", boundary).alias("post_regime"))
         .agg(
@@ -222,7 +257,7 @@ def top_unattributed(tx: DataFrame, n: int = 20) -> DataFrame:
     return (
         tx.filter(F.col("rollup_id").isin(C.OTHER, C.ROLLUP_LIKE))
         .groupBy("from_address")
-        .agg(F.sum("execution_fee_wei").cast(C.WEI).alias("spend_wei"), F.count(F.lit(1)).alias("n_tx"))
+        .agg(F.sum(total_spend()).cast(C.WEI).alias("spend_wei"), F.count(F.lit(1)).alias("n_tx"))
         .orderBy(F.desc("spend_wei"), "from_address")
         .limit(n)
     )

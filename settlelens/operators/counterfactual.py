@@ -44,7 +44,7 @@ def counterfactual_daily(tx: DataFrame, fees: DataFrame, ratio: Column | Decimal
         X.eth_double("_burn_cf").alias("burn_blob_cf_eth"),
     )
     daily_fees = fees.groupBy("date_utc").agg(exact_sum("l2_fees_eth").cast("double").alias("l2_fees_eth"))
-    return d.join(daily_fees, "date_utc").withColumns(
+    return d.join(daily_fees, "date_utc", "left").withColumns(
         {"str": X.ratio_or_nan("rent_eth", "l2_fees_eth"), "str_cf": X.ratio_or_nan("rent_cf_eth", "l2_fees_eth")}
     )
 

@@ -6,6 +6,7 @@ import datetime as dt
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from settlelens import contracts as C
@@ -71,11 +72,11 @@ def profit_margin(panel: DataFrame) -> DataFrame:
 
 
 def burn_share_of_issuance(costs: DataFrame, issuance: DataFrame) -> DataFrame:
-    """(base burn + blob burn) / issuance per day, summed per day before the join."""
+    """(base burn + blob burn) / issuance per day, summed per day before the join; no issuance, no share."""
     burns = costs.groupBy("date_utc").agg(
         (F.sum("burn_base_eth") + F.sum("burn_blob_eth")).cast("double").alias("rollup_burn_eth")
     )
-    return burns.join(issuance.select("date_utc", "issuance_eth"), "date_utc").withColumn(
+    return burns.join(issuance.select("date_utc", "issuance_eth"), "date_utc", "left").withColumn(
         "burn_share", X.ratio_or_nan("rollup_burn_eth", "issuance_eth")
     )
 
@@ -323,11 +324,13 @@ def add_macro(panel: DataFrame, prices: DataFrame, issuance: DataFrame) -> DataF
 
 def latest_version(df: DataFrame, keys: list[str], version: str) -> DataFrame:
     """Latest row per key. ``max_by`` combines on the map side, where a row_number would sort every
-    version of a key in one task."""
+    version of a key in one task. Rows of one version are told apart by their values, so the winner
+    does not depend on the order of rows."""
     rest = [c for c in df.columns if c not in keys]
+    ties = [F.col(c) for c in rest if c != version and not isinstance(df.schema[c].dataType, T.MapType)]
     return (
         df.groupBy(*keys)
-        .agg(F.max_by(F.struct(*rest), F.col(version)).alias("_row"))
+        .agg(F.max_by(F.struct(*rest), F.struct(F.col(version), *ties)).alias("_row"))
         .select(*keys, *[F.col(f"_row.{c}").alias(c) for c in rest])
     )
 

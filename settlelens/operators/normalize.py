@@ -72,8 +72,15 @@ def panel_rows(df: DataFrame, fees: str = "l2_fees_eth", rent: str = "rent_paid_
 
 
 def active_in_scope(panel: DataFrame, registry: DataFrame) -> DataFrame:
-    """Rows of in-scope rollups on days inside [start_date_utc, end_date_utc], both included."""
-    r = registry.filter("in_scope").select(
+    """Rows of in-scope rollups on days inside [start_date_utc, end_date_utc], both included.
+
+    Where the registry has a ``status``, a rollup that is not active and has no end date has no known
+    active period and is left out; one with an end date counts up to it.
+    """
+    known = registry.filter("in_scope")
+    if "status" in registry.columns:
+        known = known.filter("status IS NULL OR lower(trim(status)) = 'active' OR end_date_utc IS NOT NULL")
+    r = known.select(
         F.col("rollup_id").alias("_rollup"), F.col("start_date_utc").alias("_start"), F.col("end_date_utc").alias("_end")
     )
     inside = (F.col("_start").isNull() | (F.col("date_utc") >= F.col("_start"))) & (

@@ -23,7 +23,7 @@ ACTIVATION = dt.datetime(1998, 3, 13, 13, 55, tzinfo=dt.timezone.utc)
 
 
 def timed_tx(spark: SparkSession, d: str) -> DataFrame:
-    return K.with_block_fees(fx.receipts(spark, d), fx.blocks(spark, d))
+    return K.with_block_fees(fx.receipts(spark, d), fx.raw_blocks(spark, d))
 
 
 def attributed(spark: SparkSession, d: str) -> DataFrame:
@@ -61,8 +61,8 @@ def rounded(df: DataFrame, digits: int = 12) -> DataFrame:
 DAILY = ("daily_", f"""SELECT date_utc, rollup_id,
   {eth('SUM(execution_fee_wei) + SUM(COALESCE(burn_blob_wei, 0))')} AS l1_total_cost_eth,
   {eth('SUM(burn_base_wei)')} AS burn_base_eth, {eth('SUM(COALESCE(burn_blob_wei, 0))')} AS burn_blob_eth,
-  {eth('SUM(tips_wei)')} AS tips_eth, CAST(SUM(CASE WHEN blob_count_missing THEN 1 ELSE 0 END) AS BIGINT) AS missing_blob_tx,
-  {eth('SUM(CASE WHEN blob_count_missing THEN execution_fee_wei ELSE 0 END)')} AS missing_blob_execution_eth,
+  {eth('SUM(tips_wei)')} AS tips_eth, CAST(SUM(CASE WHEN blob_burn_unknown THEN 1 ELSE 0 END) AS BIGINT) AS missing_blob_tx,
+  {eth('SUM(CASE WHEN blob_burn_unknown THEN execution_fee_wei ELSE 0 END)')} AS missing_blob_execution_eth,
   COUNT(*) AS n_tx FROM fx_tx_costs GROUP BY 1, 2""")
 
 
@@ -181,7 +181,7 @@ def p18(spark, d):
                       F.col("base_fee_per_gas_wei").cast("bigint").alias("base_fee_wei"))
 
 
-@query("p22_blob_count_missing", sql(
+@query("p22_blob_burn_unknown", sql(
     f"""SELECT date_utc, rollup_id, missing_blob_tx, missing_blob_execution_eth, burn_blob_eth FROM daily_""",
     "fx_tx_costs", extra=(DAILY,)), dates=("date_utc",))
 def p22(spark, d):
@@ -293,15 +293,16 @@ DECOMP = ("decomp_", f"""SELECT date_utc, {eth('SUM(burn_base_wei)')} AS l1_base
   {eth('SUM(COALESCE(burn_blob_wei, 0))')} AS l1_blob_fee_burn_eth, {eth('SUM(tips_wei)')} AS l1_priority_fee_eth,
   {eth('SUM(burn_base_wei + COALESCE(burn_blob_wei, 0) + tips_wei)')} AS l1_total_rent_eth,
   CAST(SUM(CAST(blob_count AS BIGINT) * 131072) AS BIGINT) AS l1_blob_gas_used,
-  CAST(SUM(base_fee_per_blob_gas_wei) AS DOUBLE) / COUNT(*) / 1e9::DOUBLE AS l1_blob_base_fee_gwei
-  FROM fx_tx_costs WHERE rollup_id NOT IN ('other', 'unattributed_rollup_like') GROUP BY 1""")
+  ANY_VALUE(day_fee) / 1e9::DOUBLE AS l1_blob_base_fee_gwei
+  FROM fx_tx_costs JOIN (SELECT date_utc AS day, CAST(SUM(base_fee_per_blob_gas_wei) AS DOUBLE) / COUNT(base_fee_per_blob_gas_wei) AS day_fee
+    FROM fx_blocks GROUP BY 1) ON day = date_utc WHERE rollup_id NOT IN ('other', 'unattributed_rollup_like') GROUP BY 1""")
 
 
 @query("a6_l1_decomposition", sql(
     """SELECT date_utc, l1_base_fee_burn_eth, l1_blob_fee_burn_eth, l1_priority_fee_eth, l1_total_rent_eth, l1_blob_gas_used,
     l1_blob_base_fee_gwei FROM decomp_""", "fx_tx_costs", extra=(DECOMP,)), dates=("date_utc",))
 def a6(spark, d):
-    out = K.decomposition(named(tx_costs(spark, d))).drop("l1_calldata_gas_used")
+    out = K.decomposition(named(tx_costs(spark, d)), K.blob_fee_state(fx.raw_blocks(spark, d))).drop("l1_calldata_gas_used")
     parts = [c for c in out.columns if c.endswith("_eth")]
     return out.withColumns({c: F.round(F.col(c).cast("double"), 12) for c in parts})
 
@@ -313,7 +314,7 @@ def a6(spark, d):
     LEFT JOIN (SELECT x.date_utc, COUNT(*) AS blob_tx_count FROM fx_receipts r JOIN fx_blocks x ON x.block_number = r.block_number
     WHERE tx_type = 3 GROUP BY 1) t ON t.date_utc = b.date_utc""", "fx_receipts"), dates=("date_utc",))
 def a7(spark, d):
-    return K.blob_market_daily(fx.blocks(spark, d), timed_tx(spark, d))
+    return K.blob_market_daily(fx.blocks(spark, d), fx.receipts(spark, d))
 
 
 @query("a8_blob_fee_state", sql(
@@ -369,16 +370,17 @@ def a14_share(spark, d):
 
 
 COVER = ("cover_", f"""SELECT date_utc >= DATE '{REGIME_DATE}' AS post_regime,
-  {eth("SUM(CASE WHEN rollup_id NOT IN ('other', 'unattributed_rollup_like') THEN execution_fee_wei ELSE 0 END)", 6)} AS attributed_eth,
-  {eth('SUM(execution_fee_wei)', 6)} AS total_eth,
-  CAST(SUM(CASE WHEN rollup_id NOT IN ('other', 'unattributed_rollup_like') THEN execution_fee_wei ELSE 0 END) AS DOUBLE)
-    / CAST(SUM(execution_fee_wei) AS DOUBLE) AS coverage FROM fx_tx_costs GROUP BY 1""")
+  {eth("SUM(CASE WHEN rollup_id NOT IN ('other', 'unattributed_rollup_like') THEN spend ELSE 0 END)", 6)} AS attributed_eth,
+  {eth('SUM(spend)', 6)} AS total_eth,
+  CAST(SUM(CASE WHEN rollup_id NOT IN ('other', 'unattributed_rollup_like') THEN spend ELSE 0 END) AS DOUBLE)
+    / CAST(SUM(spend) AS DOUBLE) AS coverage FROM
+  (SELECT *, CASE WHEN date_utc >= DATE '{REGIME_DATE}' THEN COALESCE(burn_blob_wei, 0) ELSE execution_fee_wei END AS spend FROM fx_tx_costs) GROUP BY 1""")
 
 
 @query("a16_attribution_coverage", sql(
     "SELECT post_regime, attributed_eth, total_eth, ROUND(coverage, 9) AS coverage FROM cover_", "fx_tx_costs", extra=(COVER,)))
 def a16(spark, d):
-    c = K.attribution_coverage(tx_costs(spark, d), "execution_fee_wei", REGIME_DATE)
+    c = K.attribution_coverage(tx_costs(spark, d), REGIME_DATE)
     return c.select("post_regime", F.round("attributed_eth", 6).alias("attributed_eth"),
                     F.round("total_eth", 6).alias("total_eth"), F.round("coverage", 9).alias("coverage"))
 
@@ -393,8 +395,8 @@ def a17(spark, d):
 
 
 @query("a24_missing_blob_bucket", sql(
-    f"""SELECT date_utc, CAST(SUM(CASE WHEN blob_count_missing THEN 1 ELSE 0 END) AS BIGINT) AS missing_blob_tx,
-    {eth('SUM(CASE WHEN blob_count_missing THEN execution_fee_wei ELSE 0 END)')} AS missing_blob_execution_eth,
+    f"""SELECT date_utc, CAST(SUM(CASE WHEN blob_burn_unknown THEN 1 ELSE 0 END) AS BIGINT) AS missing_blob_tx,
+    {eth('SUM(CASE WHEN blob_burn_unknown THEN execution_fee_wei ELSE 0 END)')} AS missing_blob_execution_eth,
     COUNT(*) AS n_tx FROM fx_tx_costs GROUP BY 1""", "fx_tx_costs"), dates=("date_utc",))
 def a24(spark, d):
     c = K.daily_costs(K.fee_parts(timed_tx(spark, d)), ("date_utc",))
@@ -403,7 +405,7 @@ def a24(spark, d):
 
 @query("a25_new_senders", sql(
     f"""SELECT from_address, to_rollup AS rollup_id, COUNT(DISTINCT date_utc) AS active_days, COUNT(*) AS n_tx,
-    {eth('SUM(execution_fee_wei)')} AS spend_eth FROM fx_tx_costs WHERE from_rollup IS NULL AND to_rollup IS NOT NULL
+    {eth('SUM(execution_fee_wei + COALESCE(burn_blob_wei, 0))')} AS spend_eth FROM fx_tx_costs WHERE from_rollup IS NULL AND to_rollup IS NOT NULL
     GROUP BY 1, 2 HAVING COUNT(DISTINCT date_utc) >= 2""", "fx_tx_costs"))
 def a25(spark, d):
     c = A.new_sender_candidates(tx_costs(spark, d))
@@ -497,8 +499,8 @@ def w12(spark, d):
 
 
 @query("t3_top_unattributed", sql(
-    f"""SELECT from_address, {eth('SUM(execution_fee_wei)')} AS spend_eth, COUNT(*) AS n_tx FROM fx_tx_costs
-    WHERE rollup_id IN ('other', 'unattributed_rollup_like') GROUP BY 1 ORDER BY SUM(execution_fee_wei) DESC, 1 LIMIT 20""", "fx_tx_costs"))
+    f"""SELECT from_address, {eth('SUM(execution_fee_wei + COALESCE(burn_blob_wei, 0))')} AS spend_eth, COUNT(*) AS n_tx FROM fx_tx_costs
+    WHERE rollup_id IN ('other', 'unattributed_rollup_like') GROUP BY 1 ORDER BY SUM(execution_fee_wei + COALESCE(burn_blob_wei, 0)) DESC, 1 LIMIT 20""", "fx_tx_costs"))
 def t3(spark, d):
     return K.top_unattributed(tx_costs(spark, d), 20).select(
         "from_address", F.round(X.eth_double("spend_wei"), 12).alias("spend_eth"), "n_tx")
@@ -533,7 +535,7 @@ def brief(df: DataFrame, digits: int = 9) -> DataFrame:
     CASE WHEN SUM(execution_fee_wei) = SUM(burn_base_wei) + SUM(tips_wei) THEN 'pass' ELSE 'fail' END AS status
     FROM fx_tx_costs WHERE rollup_id NOT IN ('other', 'unattributed_rollup_like') GROUP BY date_utc""", "fx_tx_costs"))
 def q5(spark, d):
-    return brief(Q.total_identity(K.decomposition(named(tx_costs(spark, d)))))
+    return brief(Q.total_identity(K.decomposition(named(tx_costs(spark, d)), K.blob_fee_state(fx.raw_blocks(spark, d)))))
 
 
 @query("q6_execution_identity", sql(
@@ -570,7 +572,7 @@ def q13(spark, d):
     CASE WHEN post_regime THEN 0.9::DOUBLE ELSE 0.8::DOUBLE END AS threshold, CASE WHEN coverage >= CASE WHEN post_regime THEN 0.9
     ELSE 0.8 END THEN 'pass' ELSE 'fail' END AS status FROM cover_""", "fx_tx_costs", extra=(COVER,)))
 def q14(spark, d):
-    return brief(Q.attribution_target(K.attribution_coverage(tx_costs(spark, d), "execution_fee_wei", REGIME_DATE)))
+    return brief(Q.attribution_target(K.attribution_coverage(tx_costs(spark, d), REGIME_DATE)))
 
 
 @query("q15_registry_audit", sql(

@@ -12,6 +12,8 @@ from decimal import Decimal
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from settlelens.operators.costs import with_blob_fee
+
 # Stand-in for the activation date on the 1995-2001 chain data.
 REGIME_DATE = dt.date(1998, 3, 13)
 METRIC_OF_EVENT = {
@@ -96,6 +98,12 @@ def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks with their blob fee, derived where the raw rows have none."""
+    return with_blob_fee(raw_blocks(spark, sf_dir))
+
+
+def raw_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Block headers; every third one after activation comes without a blob fee."""
     o = table(spark, sf_dir, "orders")
     day = F.to_date("o_orderdate")
     post = day >= F.lit(REGIME_DATE)
@@ -112,9 +120,11 @@ def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(30000000).cast("bigint").alias("gas_limit"),
         F.when(present, (F.col("o_custkey") % 7) * 131072).cast("bigint").alias("blob_gas_used"),
         F.when(present, (F.col("o_custkey") % 400) * 131072).cast("bigint").alias("excess_blob_gas"),
-        F.when(quiet, F.lit(1)).otherwise(1 + F.col("o_custkey") % 50).cast("decimal(17,0)").alias(
-            "base_fee_per_blob_gas_wei"
-        ),
+        F.when(present & (F.col("o_orderkey") % 3 == 0), F.lit(None))
+        .when(quiet, F.lit(1))
+        .otherwise(1 + F.col("o_custkey") % 50)
+        .cast("decimal(17,0)")
+        .alias("base_fee_per_blob_gas_wei"),
     )
 
 
@@ -128,7 +138,7 @@ def _contract_address(number):
 
 def receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
-    base = blocks(spark, sf_dir).select("block_number", "base_fee_per_gas_wei")
+    base = raw_blocks(spark, sf_dir).select("block_number", "base_fee_per_gas_wei")
     tip = F.round(F.col("l_discount") * 100).cast("decimal(7,0)") * F.lit(1000000000).cast("decimal(10,0)")
     return (
         li.withColumn(
@@ -339,8 +349,15 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
           COUNT(*) AS txcount
           FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2)""",
     ),
-    "fx_blocks": (
+    # The fee rule's integer series for every excess value of the adapter, step by step.
+    "fx_fee_steps": (
         (),
+        """SELECT CAST(k AS HUGEINT) * 131072 AS excess, 1::HUGEINT AS i, 0::HUGEINT AS total, 3338477::HUGEINT AS term FROM range(400) r(k)
+        UNION ALL SELECT excess, i + 1, total + term, term * excess // (3338477 * i) FROM fx_fee_steps WHERE term > 0""",
+    ),
+    "fx_fee": (("fx_fee_steps",), "SELECT excess, CAST(total // 3338477 AS BIGINT) AS fee FROM fx_fee_steps WHERE term = 0"),
+    "fx_blocks": (
+        ("fx_fee",),
         f"""SELECT o_orderkey AS block_number, '0x' || md5(CAST(o_orderkey AS VARCHAR)) AS block_hash,
         CAST(o_orderdate AS DATE) AS date_utc,
         CAST(datediff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) AS BIGINT) * 86400 + o_custkey % 86400
@@ -351,9 +368,10 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
           THEN (o_custkey % 7) * 131072 END AS blob_gas_used,
         CASE WHEN CAST(o_orderdate AS DATE) >= DATE '{REGIME_DATE}' AND o_orderkey % 97 <> 0
           THEN (o_custkey % 400) * 131072 END AS excess_blob_gas,
-        CASE WHEN month(o_orderdate) IN (1, 2) OR (month(o_orderdate) = 6 AND day(o_orderdate) <= 4)
+        CASE WHEN CAST(o_orderdate AS DATE) >= DATE '{REGIME_DATE}' AND o_orderkey % 97 <> 0 AND o_orderkey % 3 = 0 THEN fee
+          WHEN month(o_orderdate) IN (1, 2) OR (month(o_orderdate) = 6 AND day(o_orderdate) <= 4)
           THEN 1 ELSE 1 + o_custkey % 50 END AS base_fee_per_blob_gas_wei
-        FROM orders""",
+        FROM orders JOIN fx_fee ON excess = (o_custkey % 400) * 131072""",
     ),
     "fx_receipts": (
         ("fx_blocks",),
@@ -410,7 +428,7 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
         gas_used * effective_gas_price_wei AS execution_fee_wei,
         CASE WHEN tx_type = 3 THEN CAST(blob_count AS HUGEINT) * 131072 * base_fee_per_blob_gas_wei
           ELSE CAST(0 AS HUGEINT) END AS burn_blob_wei,
-        tx_type = 3 AND blob_count IS NULL AS blob_count_missing
+        tx_type = 3 AND blob_count IS NULL AS blob_burn_unknown
         FROM fx_attributed""",
     ),
     "fx_prices": (
@@ -468,4 +486,4 @@ def sql(body: str, *needs: str, extra: tuple[tuple[str, str], ...] = ()) -> str:
     for name in needs:
         visit(name)
     parts = [f"{n} AS ({CTES[n][1]})" for n in order] + [f"{n} AS ({b})" for n, b in extra]
-    return ("WITH " + ",\n".join(parts) + "\n" if parts else "") + body
+    return ("WITH RECURSIVE " + ",\n".join(parts) + "\n" if parts else "") + body

@@ -32,8 +32,8 @@ def f3(spark, d):
                      X.blobs_from_gas(F.col("l_quantity") * 21000).alias("blobs_of_gas"))
 
 
-@query("f4_blob_base_fee", """SELECT o_orderkey, CAST(CASE WHEN o_orderkey % 2 = 0 THEN 1 + o_custkey % 50
-ELSE GREATEST(1, FLOOR(EXP(CAST((o_custkey % 400) * 131072 AS DOUBLE) / 3338477))) END AS BIGINT) AS fee_wei, o_orderkey % 2 <> 0 AS derived FROM orders""")
+@query("f4_blob_base_fee", fx.sql("""SELECT o_orderkey, CAST(CASE WHEN o_orderkey % 2 = 0 THEN 1 + o_custkey % 50 ELSE fee END AS BIGINT) AS fee_wei,
+    o_orderkey % 2 <> 0 AS derived FROM orders JOIN fx_fee ON excess = (o_custkey % 400) * 131072""", "fx_fee"))
 def f4(spark, d):
     o = fx.table(spark, d, "orders")
     given = F.when(F.col("o_orderkey") % 2 == 0, 1 + F.col("o_custkey") % 50)

@@ -274,7 +274,7 @@ def cf_burn(num: int, den: int) -> str:
     CAST(SUM(execution_fee_wei + COALESCE({cf_burn(1, 16)}, 0)) AS DOUBLE) / 1e18 AS raw_cf, {CQ.eth('SUM(execution_fee_wei + COALESCE(burn_blob_wei, 0))')} AS rent_eth,
     {CQ.eth(f"SUM(execution_fee_wei + COALESCE({cf_burn(1, 16)}, 0))")} AS rent_cf_eth, {CQ.eth('SUM(COALESCE(burn_blob_wei, 0))')} AS burn_blob_eth,
     {CQ.eth(f"SUM(COALESCE({cf_burn(1, 16)}, 0))")} AS burn_blob_cf_eth FROM fx_tx_costs WHERE {NAMED} GROUP BY 1) c
-    JOIN (SELECT date_utc, CAST(SUM(CAST(l2_fees_eth AS {PQ.DEC})) AS DOUBLE) AS fees FROM fx_panel GROUP BY 1) f ON f.date_utc = c.date_utc""",
+    LEFT JOIN (SELECT date_utc, CAST(SUM(CAST(l2_fees_eth AS {PQ.DEC})) AS DOUBLE) AS fees FROM fx_panel GROUP BY 1) f ON f.date_utc = c.date_utc""",
     "fx_tx_costs", "fx_panel"), dates=("date_utc",))
 def x11(spark, d):
     out = CF.counterfactual_daily(CQ.named(CQ.tx_costs(spark, d)), fx.panel(spark, d))
@@ -329,7 +329,7 @@ def x13_scatter(spark, d):
     """SELECT date_utc, l1_base_fee_burn_eth + 0 AS base_burn_eth, l1_blob_fee_burn_eth AS blob_burn_eth, l1_priority_fee_eth AS tips_eth
     FROM decomp_""", "fx_tx_costs", extra=(CQ.DECOMP,)), dates=("date_utc",))
 def x13_decomposition(spark, d):
-    return CQ.rounded(K.decomposition(CQ.named(CQ.tx_costs(spark, d))).select(
+    return CQ.rounded(K.decomposition(CQ.named(CQ.tx_costs(spark, d)), K.blob_fee_state(fx.raw_blocks(spark, d))).select(
         "date_utc", F.col("l1_base_fee_burn_eth").alias("base_burn_eth"), F.col("l1_blob_fee_burn_eth").alias("blob_burn_eth"),
         F.col("l1_priority_fee_eth").alias("tips_eth")))
 

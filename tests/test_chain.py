@@ -89,7 +89,7 @@ def test_fee_parts(spark):
     got = {r.tx_hash: r for r in tx.collect()}
     assert got["plain"].burn_base_wei == 147000 and got["plain"].tips_wei == 63000 and got["failed"].tips_wei == 63000
     assert got["blob"].burn_blob_wei == 2 * 131072 * 3 and got["plain"].burn_blob_wei == 0
-    assert got["unknown"].burn_blob_wei is None and got["unknown"].blob_count_missing
+    assert got["unknown"].burn_blob_wei is None and got["unknown"].blob_burn_unknown
     assert got["huge"].execution_fee_wei == 30_000_000 * 10**12 > 2**63
     ok, bad = K.quarantine(tx)
     assert [r.tx_hash for r in bad.collect()] == ["below"] and ok.count() == 5
@@ -101,7 +101,8 @@ def test_fee_parts(spark):
 
 
 def test_identity_fails_by_one_wei(spark):
-    d = K.decomposition(parts(spark, [row("a"), row("b", kind=3, count=1)]))
+    state = spark.createDataFrame([], "date_utc date, blob_base_fee_wei_avg double")
+    d = K.decomposition(parts(spark, [row("a"), row("b", kind=3, count=1)]), state)
     assert Q.total_identity(d).first().status == "pass"
     off = d.withColumn("l1_total_rent_eth", F.col("l1_total_rent_eth").cast("decimal(36,18)") + F.lit(Decimal("1E-18")))
     assert Q.total_identity(off).first().status == "fail"
