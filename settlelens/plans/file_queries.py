@@ -378,11 +378,21 @@ def stale(df: DataFrame) -> DataFrame:
     return df.withColumn("value", F.col("value") * 2)
 
 
-@query("n1_refresh_chain", sql(REFRESHED.format(days=7), "fx_metrics"), dates=("date_utc",))
+# One day inside the refreshed spans and one before them that the source has no more.
+GONE = (dt.date(2024, 1, 27), dt.date(2024, 1, 5))
+KEPT_SQL = f"date_utc NOT IN (DATE '{GONE[0]}', DATE '{GONE[1]}')"
+INSIDE_SQL = f"date_utc <> DATE '{GONE[0]}'"
+
+
+def without_gone(df: DataFrame) -> DataFrame:
+    return df.filter(~F.col("date_utc").isin(*GONE))
+
+
+@query("n1_refresh_chain", sql(REFRESHED.format(days=7) + f" WHERE {INSIDE_SQL}", "fx_metrics"), dates=("date_utc",))
 def n1(spark, d):
     root, m = fresh_dir(spark, "refresh"), fx.metrics(spark, d)
     TB.write_partitions(stale(m), root, ["date_utc"])
-    RF.refresh_chain(m, root, RUN_DAY)
+    RF.refresh_chain(without_gone(m), root, RUN_DAY)
     return spark.read.schema(m.schema).parquet(root).select(*m.columns)
 
 
@@ -390,36 +400,38 @@ def daily_sums(rows: DataFrame) -> DataFrame:
     return rows.groupBy("date_utc").agg(M.exact_sum("value").cast("double").alias("value"), F.count(F.lit(1)).alias("n"))
 
 
-SUMS = """SELECT date_utc, CAST(SUM(CAST(value AS DECIMAL(38,6))) AS DOUBLE) * {factor} AS value, COUNT(*) AS n FROM fx_metrics GROUP BY 1"""
+SUMS = """SELECT date_utc, CAST(SUM(CAST(value AS DECIMAL(38,6))) AS DOUBLE) * {factor} AS value, COUNT(*) AS n FROM fx_metrics
+WHERE {kept} GROUP BY 1"""
 
 
-@query("n2_refresh_costs", sql(SUMS.format(factor="CASE WHEN date_utc > DATE '2024-01-30' - 7 THEN 1 ELSE 2 END"), "fx_metrics"),
+@query("n2_refresh_costs", sql(SUMS.format(factor="CASE WHEN date_utc > DATE '2024-01-30' - 7 THEN 1 ELSE 2 END", kept=INSIDE_SQL), "fx_metrics"),
        dates=("date_utc",))
 def n2(spark, d):
     root, m = fresh_dir(spark, "refresh"), fx.metrics(spark, d)
     TB.write_partitions(stale(daily_sums(m)), root, ["date_utc"])
-    RF.refresh_costs(m, daily_sums, root, RUN_DAY)
+    RF.refresh_costs(without_gone(m), daily_sums, root, RUN_DAY)
     return spark.read.schema(daily_sums(m).schema).parquet(root).select("date_utc", "value", "n")
 
 
-def panel_builder(spark, d):
+def panel_builder(spark, d, all_days=False):
     m = fx.metrics(spark, d)
+    m = m if all_days else without_gone(m)
     return lambda first: daily_sums(m if first is None else m.filter(F.col("date_utc") >= F.lit(first)))
 
 
-@query("n3_refresh_panel", sql(SUMS.format(factor="CASE WHEN date_utc > DATE '2024-01-30' - 14 THEN 1 ELSE 2 END"), "fx_metrics"),
+@query("n3_refresh_panel", sql(SUMS.format(factor="CASE WHEN date_utc > DATE '2024-01-30' - 14 THEN 1 ELSE 2 END", kept=INSIDE_SQL), "fx_metrics"),
        dates=("date_utc",))
 def n3(spark, d):
     root, build = fresh_dir(spark, "refresh"), panel_builder(spark, d)
-    TB.write_partitions(stale(build(None)), root, ["date_utc"])
+    TB.write_partitions(stale(panel_builder(spark, d, True)(None)), root, ["date_utc"])
     RF.refresh_panel(build, root, RUN_DAY)
     return spark.read.schema(build(None).schema).parquet(root).select("date_utc", "value", "n")
 
 
-@query("n4_full_rebuild", sql(SUMS.format(factor="1"), "fx_metrics"), dates=("date_utc",))
+@query("n4_full_rebuild", sql(SUMS.format(factor="1", kept=KEPT_SQL), "fx_metrics"), dates=("date_utc",))
 def n4(spark, d):
     root, build = fresh_dir(spark, "refresh"), panel_builder(spark, d)
-    TB.write_partitions(stale(build(None)), root, ["date_utc"])
+    TB.write_partitions(stale(panel_builder(spark, d, True)(None)), root, ["date_utc"])
     RF.full_rebuild(build, root)
     return spark.read.schema(build(None).schema).parquet(root).select("date_utc", "value", "n")
 
@@ -439,13 +451,15 @@ def n5(spark, d):
 
 @query("n6_file_pickup", sql("SELECT metric_key, origin_key, date_utc, value FROM fx_metrics", "fx_metrics"), dates=("date_utc",))
 def n6(spark, d):
-    """Raw files delivered by a stream that stops when none are left; run twice, it adds nothing."""
-    raw, target = fresh_dir(spark, "incoming"), fresh_dir(spark, "store")
+    """Raw files delivered by a stream that stops when none are left. It goes on from its offsets when more
+    files have come; from fresh offsets it reads all files again and adds nothing."""
+    raw, target, offsets = fresh_dir(spark, "incoming"), fresh_dir(spark, "store"), fresh_dir(spark, "offsets")
     m = fx.metrics(spark, d).withColumn("version", F.lit(1).cast("bigint"))
-    m.write.json(raw)
+    early = F.col("date_utc") < F.lit(dt.date(2024, 1, 15))
     spark.createDataFrame([], m.schema).write.parquet(target)
-    for _ in range(2):
-        RF.follow_files(spark, raw, m.schema, target, PQ.CELL, "version", fresh_dir(spark, "offsets"))
+    for part, state in ((early, offsets), (~early, offsets), (F.lit(False), fresh_dir(spark, "offsets"))):
+        m.filter(part).write.mode("append").json(raw)
+        RF.follow_files(spark, raw, m.schema, target, PQ.CELL, "version", state)
     return spark.read.schema(m.schema).parquet(target).select(*PQ.CELL, "value")
 
 

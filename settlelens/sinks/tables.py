@@ -2,25 +2,34 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import datetime as dt
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def write_partitions(df: DataFrame, path: str, by: list[str], mode: str = "overwrite") -> None:
-    """Partitioned Parquet; only the partitions present in ``df`` are replaced.
+def write_partitions(df: DataFrame, path: str, by: list[str], mode: str = "overwrite", whole: bool = False) -> None:
+    """Partitioned Parquet; only the partitions present in ``df`` are replaced, with ``whole`` all there are.
 
-    Rows are spread by partition key plus a salt that AQE may merge again, so that a partition with
-    a third of all rows is written by many tasks.
+    Rows are rebalanced by the partition key; AQE splits a partition with very many rows between tasks.
     """
     (
         df.hint("rebalance", *by)
         .write.mode(mode)
-        .option("partitionOverwriteMode", "dynamic")
+        .option("partitionOverwriteMode", "static" if whole else "dynamic")
         .partitionBy(*by)
         .parquet(path)
     )
 
 
+def drop_days(spark: SparkSession, path: str, date: str, days: list[dt.date]) -> None:
+    """Remove the partitions of the given days."""
+    jvm = spark._jvm
+    for day in days:
+        folder = jvm.org.apache.hadoop.fs.Path(f"{path}/{date}={day}")
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def write_metrics(df: DataFrame, path: str) -> None:
     write_partitions(df, path, ["metric_key", "run_date"])
 

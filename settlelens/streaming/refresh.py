@@ -11,7 +11,8 @@ from pyspark.sql import types as T
 
 from settlelens import contracts as C
 from settlelens.operators.metrics import latest_version
-from settlelens.sinks.tables import write_partitions
+from settlelens.session import materialize
+from settlelens.sinks.tables import drop_days, write_partitions
 
 
 def recent(df: DataFrame, run_date: dt.date, days: int, date: str = "date_utc") -> DataFrame:
@@ -21,8 +22,16 @@ def recent(df: DataFrame, run_date: dt.date, days: int, date: str = "date_utc")
 
 
 def refresh_days(df: DataFrame, path: str, run_date: dt.date, days: int, date: str = "date_utc") -> None:
-    """Overwrite only the partitions of the last days. Older corrections wait for the full run."""
-    write_partitions(recent(df, run_date, days, date), path, [date])
+    """Put the last days of ``df`` in place of the stored ones; a day without rows any more goes.
+
+    Older corrections wait for the full run. The days are worked out once, into the shared folder, so
+    that what is written and what is dropped agree.
+    """
+    fresh = materialize(recent(df, run_date, days, date), "refresh")
+    write_partitions(fresh, path, [date])
+    have = {r[0] for r in fresh.select(date).distinct().collect()}  # at most ``days`` rows
+    span = [run_date - dt.timedelta(days=k) for k in range(days)]
+    drop_days(df.sparkSession, path, date, [d for d in span if d not in have])
 
 
 def refresh_chain(raw: DataFrame, path: str, run_date: dt.date, days: int = C.CHAIN_REFRESH_DAYS) -> None:
@@ -33,19 +42,19 @@ def refresh_costs(
     tx: DataFrame, build: Callable[[DataFrame], DataFrame], path: str, run_date: dt.date, days: int = C.CHAIN_REFRESH_DAYS
 ) -> None:
     """Daily costs of the last days only: the date filter reaches the scan before the aggregate."""
-    write_partitions(build(recent(tx, run_date, days)), path, ["date_utc"])
+    refresh_days(build(recent(tx, run_date, days)), path, run_date, days)
 
 
 def refresh_panel(
     build: Callable[[dt.date | None], DataFrame], path: str, run_date: dt.date, days: int = C.PANEL_REFRESH_DAYS
 ) -> None:
     """Panel days again. ``build(first_day)`` makes the panel from that day on."""
-    first = run_date - dt.timedelta(days=days - 1)
-    write_partitions(recent(build(first), run_date, days), path, ["date_utc"])
+    refresh_days(build(run_date - dt.timedelta(days=days - 1)), path, run_date, days)
 
 
 def full_rebuild(build: Callable[[dt.date | None], DataFrame], path: str) -> None:
-    write_partitions(build(None), path, ["date_utc"])
+    """The whole table anew: what the build lacks is stored no more."""
+    write_partitions(build(None), path, ["date_utc"], whole=True)
 
 
 def append_new(new: DataFrame, path: str, keys: list[str], version: str) -> None:

@@ -1,5 +1,6 @@
 """The daily run on the supplied tables: incremental equals full, and parts sum to the total."""
 
+import dataclasses
 import datetime as dt
 import os
 
@@ -18,7 +19,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="supplied tables n
 def inputs(spark):
     u = fx.universe(spark, SF)
     return daily.Inputs(
-        blocks=fx.blocks(spark, SF),
+        blocks=fx.raw_blocks(spark, SF),
         receipts=fx.receipts(spark, SF).drop("blob_count", "part_key"),
         blob_tx=fx.blob_tx(spark, SF),
         blob_index=fx.blob_index(spark, SF),
@@ -33,7 +34,7 @@ def inputs(spark):
 
 
 def test_costs_add_up(inputs):
-    c = daily.costs(inputs)
+    c = daily.costs(daily.K.quarantine(daily.transactions(inputs))[0], "v1")
     total = c.agg(
         F.sum("l1_total_cost_eth").alias("a"), (F.sum("burn_base_eth") + F.sum("burn_blob_eth") + F.sum("tips_eth")).alias("b"), F.sum("n_tx").alias("n")
     ).first()
@@ -46,6 +47,46 @@ def test_incremental_equals_full(spark, inputs, tmp_path):
     again = daily.run(inputs, str(tmp_path / "full"), end)
     assert full == again
     panel = spark.read.parquet(full["daily_rollup_panel"])
-    want = daily.contract_panel(inputs)
+    want = daily.contract_panel(inputs, end)
     assert Q.compare_builds(want, panel.select(*want.columns)).first().status == "pass"
     assert spark.read.json(f"{full['qa']}/validation_{end}/summary.json").filter("check = 'primary_key'").first().n_fail == 0
+
+
+def test_a_vanished_day_goes_and_the_chain_outputs_follow(spark, inputs, tmp_path):
+    end, gone = dt.date(1998, 9, 2), dt.date(1998, 8, 31)
+    day = F.floor(F.col("timestamp") / 86400)
+    number = (gone - dt.date(1970, 1, 1)).days
+    late = inputs.blocks.filter(day > number - 20)
+    inputs = dataclasses.replace(
+        inputs, blocks=late, receipts=inputs.receipts.join(late.select("block_number"), "block_number", "left_semi")
+    )
+    daily.run(inputs, str(tmp_path), end, full=True)
+    less = dataclasses.replace(inputs, blocks=inputs.blocks.filter(day != number))
+    lost = inputs.blocks.filter(day == number).select("block_number")
+    less = dataclasses.replace(less, receipts=inputs.receipts.join(lost, "block_number", "left_anti"))
+    paths = daily.run(less, str(tmp_path), end)
+    for name in ("onchain_daily_rollup_costs", "daily_l1_rent_decomposition"):
+        stored = spark.read.parquet(paths[name])
+        assert stored.filter(F.col("date_utc") == F.lit(gone)).isEmpty() and not stored.filter(F.col("date_utc") == F.lit(end)).isEmpty()
+    usable = daily.K.quarantine(daily.transactions(less))[0]
+    fresh = daily.costs(usable, "v1").filter(F.col("date_utc").between(F.lit(dt.date(1998, 8, 27)), F.lit(end)))
+    stored = spark.read.parquet(paths["onchain_daily_rollup_costs"]).filter(F.col("date_utc").between(F.lit(dt.date(1998, 8, 27)), F.lit(end)))
+    assert Q.compare_builds(fresh, stored.select(*fresh.columns)).first().status == "pass"
+
+
+def test_a_bounded_run_prunes_the_facts(spark, inputs, tmp_path):
+    """Receipts landed by day are cut at the scan."""
+    days = inputs.blocks.select("block_number", F.to_date(F.timestamp_seconds("timestamp")).alias("date_utc"))
+    inputs.receipts.join(days, "block_number").write.partitionBy("date_utc").parquet(f"{tmp_path}/receipts")
+    landed = dataclasses.replace(inputs, receipts=spark.read.parquet(f"{tmp_path}/receipts"))
+    cut = daily.recent_chain(landed, dt.date(1998, 8, 27), dt.date(1998, 9, 2))
+    plan = daily.transactions(cut)._jdf.queryExecution().executedPlan().toString()
+    scans = [line for line in plan.split("\n") if "effective_gas_price_wei" in line and "FileScan" in line]
+    assert scans and all("PartitionFilters: [isnotnull(date_utc" in line for line in scans)
+
+
+def test_the_latest_run_date_wins(spark, inputs):
+    m = inputs.metrics.withColumn("run_date", F.lit(dt.date(2024, 2, 1)))
+    older = m.withColumns({"value": F.col("value") * 9, "run_date": F.lit(dt.date(2024, 1, 31))})
+    both = dataclasses.replace(inputs, metrics=m.unionByName(older))
+    assert Q.compare_builds(daily.vendor_rows(inputs), daily.vendor_rows(both)).first().status == "pass"
