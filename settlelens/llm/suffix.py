@@ -36,6 +36,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 from settlelens.llm.common import materialize, null_safe_text
 
@@ -316,6 +317,20 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(text).alias("text_code"), text.alias("text"))
 
 
+def _packed(keyed: DataFrame) -> DataFrame:
+    """Texts as compressed UTF-8 bytes: what joins shuffle is then less than the input."""
+
+    @pandas_udf("binary")
+    def pack(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        import zstandard
+
+        press = zstandard.ZstdCompressor(level=1)
+        for texts in batches:
+            yield pd.Series([press.compress(t.encode("utf-8", "surrogatepass")) for t in texts])
+
+    return keyed.select("doc_id", "text_code", pack("text").alias("packed"))
+
+
 def _nullable_ids(column: pd.Series) -> pd.Series:
     return column.astype("Int64")
 
@@ -352,13 +367,16 @@ def fetch_contexts(keyed: DataFrame, wanted: DataFrame, length: int = LENGTH) ->
     """The bytes of wanted contexts (gram, c1, c2, run, off and the place of one copy)."""
     lists = wanted.groupBy(*_DOC).agg(F.collect_list(F.struct("gram", "c1", "c2", "n", "run", "off", "start")).alias("list"))
     lists = lists.withColumnsRenamed({"doc_id": "d2", "text_code": "t2"})
-    joined = keyed.join(lists, F.col("doc_id").eqNullSafe(F.col("d2")) & (F.col("text_code") == F.col("t2")))
+    joined = _packed(keyed).join(lists, F.col("doc_id").eqNullSafe(F.col("d2")) & (F.col("text_code") == F.col("t2")))
 
     def fetch(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import zstandard
+
+        unpack = zstandard.ZstdDecompressor().decompress
         for frame in frames:
             rows = []
-            for text, listed in zip(frame["text"], frame["list"], strict=True):
-                data = text.encode("utf-8", "surrogatepass")
+            for packed, listed in zip(frame["packed"], frame["list"], strict=True):
+                data = unpack(packed)
                 for x in listed:
                     at = x["start"]
                     rows.append((x["gram"], x["c1"], x["c2"], x["n"], x["run"], x["off"], data[at : at + x["run"] + length - 1]))
@@ -369,7 +387,7 @@ def fetch_contexts(keyed: DataFrame, wanted: DataFrame, length: int = LENGTH) ->
                 yield pd.DataFrame(rows, columns=[*_KEY, "n", "run", "off", "bytes"])
 
     fields = "gram bigint, c1 bigint, c2 bigint, n bigint, run int, off int, bytes binary"
-    return joined.select("text", "list").mapInPandas(fetch, fields)
+    return joined.select("packed", "list").mapInPandas(fetch, fields)
 
 
 def sorted_groups(contexts: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -478,11 +496,13 @@ def without_repeats(
     keyed = _keyed(docs, id_col, text_col)
     anchors = materialize(anchor_table(keyed, length, gram), "suffix-anchors")
     grams = anchors.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
+    # Written before the join, so that both its sides are plain exchanges and a common gram can be split.
+    grams = materialize(grams, "suffix-grams")
     anchors = materialize(anchors.join(grams, "gram", "left_semi"), "suffix-shared")
     copy = F.struct("doc_id", "text_code", "start")
     contexts = anchors.groupBy(*_KEY, "run", "off").agg(F.count("*").alias("n"), F.min(copy).alias("copy"))
     contexts = materialize(contexts, "suffix-contexts")
-    kinds = contexts.groupBy("gram").agg(F.count("*").alias("kinds")).where("kinds > 1")
+    kinds = materialize(contexts.groupBy("gram").agg(F.count("*").alias("kinds")).where("kinds > 1"), "suffix-kinds")
     wanted = contexts.join(kinds, "gram").select(*_KEY, "run", "off", "n", "kinds", "copy.*")
     wanted = materialize(wanted, "suffix-wanted")
     few = fetch_contexts(keyed, wanted.where(F.col("kinds") <= many), length)
@@ -493,17 +513,22 @@ def without_repeats(
     whole = contexts.where("n > 1").select(*_KEY, F.lit(0).alias("a"), (F.col("run") + length - 1).alias("b"))
     covered = parts.groupBy(*_KEY).agg(F.collect_list(F.struct("a", "b")).alias("s"))
     covered = covered.union(whole.select(*_KEY, F.array(F.struct("a", "b")).alias("s")))
+    covered = materialize(covered, "suffix-covered")
     hits = anchors.select(*_KEY, *_DOC, "start").join(covered, _KEY)
     moved = F.transform("s", lambda x: F.struct((F.col("start") + x["a"]).alias("a"), (F.col("start") + x["b"]).alias("b")))
     holes = hits.groupBy(*_DOC).agg(F.flatten(F.collect_list(moved)).alias("holes"))
     holes = materialize(holes.withColumnsRenamed({"doc_id": "d2", "text_code": "t2"}), "suffix-holes")
-    joined = keyed.join(holes, F.col("doc_id").eqNullSafe(F.col("d2")) & (F.col("text_code") == F.col("t2")), "left")
+    same = F.col("doc_id").eqNullSafe(F.col("d2")) & (F.col("text_code") == F.col("t2"))
+    joined = _packed(keyed).join(holes, same, "left")
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import zstandard
+
+        unpack = zstandard.ZstdDecompressor().decompress
         for frame in frames:
             rows = []
-            for text, holes in zip(frame["text"], frame["holes"], strict=True):
-                data = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+            for packed, holes in zip(frame["packed"], frame["holes"], strict=True):
+                data = np.frombuffer(unpack(packed), np.uint8)
                 if holes is None or not len(holes):
                     rows.append((len(data), 0, 0, data.tobytes()))
                     continue
@@ -518,7 +543,7 @@ def without_repeats(
             yield out
 
     fields = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary"
-    return joined.select("doc_id", "text", "holes").mapInPandas(cut, fields)
+    return joined.select("doc_id", "packed", "holes").mapInPandas(cut, fields)
 
 
 def brute_force(texts: list[str | None], length: int = LENGTH) -> list[tuple[int, int, int, str]]:
