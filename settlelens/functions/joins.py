@@ -18,54 +18,62 @@ def lookup(fact: DataFrame, dim: DataFrame, on, how: str = "left") -> DataFrame:
 
 
 def exact_percentiles(
-    df: DataFrame, keys: list[str], value: str, probs: dict[str, float], buckets: int = 4096
+    df: DataFrame, keys: list[str], value: str, probs: dict[str, float], accuracy: int = 10_000
 ) -> DataFrame:
     """Exact interpolated percentiles per key, with no task holding a whole group.
 
-    Equal values collapse to counts first. Counts are then summed per value bucket, the few bucket
-    totals are accumulated per key, and ranks inside one (key, bucket) are accumulated on their own,
-    so a key with a third of all rows is still spread over ``buckets`` partitions. Values are compared
-    as doubles, which hold whole numbers up to 2^53.
+    A quantile sketch per key brackets each wanted rank. One aggregate counts what lies below each bracket
+    and keeps its two neighbours; the distinct values inside the brackets, some ten-thousandths of a key's
+    rows whatever their distribution, are counted and ranked. Brackets are compared as doubles, which
+    keeps the order of any number; values are ranked and returned from their own type, so whole numbers
+    beyond 2^53 are told apart.
     """
     if not keys:
-        one = exact_percentiles(df.withColumn("_all", F.lit(1)), ["_all"], value, probs, buckets)
+        one = exact_percentiles(df.withColumn("_all", F.lit(1)), ["_all"], value, probs, accuracy)
         return one.drop("_all")
-    v = F.col(value).cast("double")
-    counts = df.filter(v.isNotNull() & ~F.isnan(v)).groupBy(*keys, v.alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
-    span = counts.groupBy(*keys).agg(
-        F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_n").alias("_total")
-    )
-    width = (F.col("_hi") - F.col("_lo")) / F.lit(float(buckets))
-    bucketed = counts.join(span, keys).withColumn(
-        "_b",
-        F.when(width > 0, F.least(F.floor((F.col("_v") - F.col("_lo")) / width), F.lit(buckets - 1))).otherwise(0).cast(
-            "int"
-        ),
+    v = F.col(value)
+    rows = df.select(*keys, v.alias("_v"), v.cast("double").alias("_d")).filter(F.col("_d").isNotNull() & ~F.isnan("_d"))
+    pad = 2.0 / accuracy
+    wanted = [q for p in probs.values() for q in (max(0.0, p - pad), min(1.0, p + pad))]
+    edges = rows.groupBy(*keys).agg(F.percentile_approx("_d", wanted, accuracy).alias("_e"), F.count(F.lit(1)).alias("_total"))
+    placed = lookup(rows, edges, keys, "inner")
+    low = {n: F.col("_e")[2 * i] for i, n in enumerate(probs)}
+    high = {n: F.col("_e")[2 * i + 1] for i, n in enumerate(probs)}
+    inside = {n: (F.col("_d") >= low[n]) & (F.col("_d") <= high[n]) for n in probs}
+
+    around = placed.groupBy(*keys).agg(
+        F.first("_total").alias("_total"),
+        *[F.count_if(F.col("_d") < low[n]).alias(f"_below_{n}") for n in probs],
+        *[F.max(F.when(F.col("_d") < low[n], F.col("_v"))).alias(f"_under_{n}") for n in probs],
+        *[F.min(F.when(F.col("_d") > high[n], F.col("_v"))).alias(f"_over_{n}") for n in probs],
     )
-    totals = bucketed.groupBy(*keys, "_b").agg(F.sum("_n").alias("_bn"))
-    before = totals.select(
-        *keys,
-        "_b",
-        (F.sum("_bn").over(W.partitionBy(*keys).orderBy("_b")) - F.col("_bn")).alias("_before"),
+    any_band = F.lit(False)
+    for n in probs:
+        any_band = any_band | inside[n]
+    counts = placed.filter(any_band).groupBy(*keys, "_v").agg(
+        F.count(F.lit(1)).alias("_n"), *[F.max(inside[n]).alias(f"_in_{n}") for n in probs]
     )
-    ranked = bucketed.join(before, [*keys, "_b"]).withColumn(
-        "_end", F.col("_before") + F.sum("_n").over(W.partitionBy(*keys, "_b").orderBy("_v"))
+    order = W.partitionBy(*keys).orderBy("_v")
+    ranked = counts.withColumns(
+        {f"_end_{n}": F.sum(F.when(F.col(f"_in_{n}"), F.col("_n")).otherwise(0)).over(order) for n in probs}
     )
-    start = F.col("_end") - F.col("_n")
+    both = lookup(ranked, around, keys, "inner")
 
-    def at(rank: Column) -> Column:
-        return F.max(F.when((rank >= start) & (rank < F.col("_end")), F.col("_v")))
+    def at(name: str, rank: Column) -> Column:
+        """The value of a 0-based rank: in the bracket, or its neighbour below or above."""
+        end = F.col(f"_below_{name}") + F.col(f"_end_{name}")
+        hit = F.max(F.when(F.col(f"_in_{name}") & (rank >= end - F.col("_n")) & (rank < end), F.col("_v")))
+        under = F.max(F.when(rank < F.col(f"_below_{name}"), F.col(f"_under_{name}")))
+        return F.coalesce(hit, under, F.max(f"_over_{name}")).cast("double")
 
-    aggs = []
+    picks = []
     for name, p in probs.items():
         pos = (F.col("_total") - 1) * F.lit(float(p))
-        aggs += [at(F.floor(pos)).alias(f"_{name}_lo"), at(F.ceil(pos)).alias(f"_{name}_hi")]
-    picked = ranked.groupBy(*keys).agg(F.max("_total").alias("_total"), *aggs)
+        picks += [at(name, F.floor(pos)).alias(f"_lo_{name}"), at(name, F.ceil(pos)).alias(f"_hi_{name}")]
+    picked = both.groupBy(*keys).agg(F.max("_total").alias("_total"), *picks)
     out = []
     for name, p in probs.items():
         pos = (F.col("_total") - 1) * F.lit(float(p))
-        part = pos - F.floor(pos)
-        lo, hi = F.col(f"_{name}_lo"), F.col(f"_{name}_hi")
-        out.append((lo + (hi - lo) * part).alias(name))
+        lo, hi = F.col(f"_lo_{name}"), F.col(f"_hi_{name}")
+        out.append((lo + (hi - lo) * (pos - F.floor(pos))).alias(name))
     return picked.select(*keys, *out)
-

@@ -7,6 +7,7 @@ import random
 import numpy as np
 import pytest
 
+from settlelens.functions.joins import exact_percentiles
 from settlelens.operators import stats as ST
 
 SCHEMA = "series_id string, t long, y double"
@@ -121,6 +122,19 @@ def test_pair_signs_of_more_than_2_to_the_17_ranks(spark):
     assert (r.rising, r.falling, r.tied) == (n * (n - 1) // 2, 0, 0)
 
 
+def test_percentiles_of_a_heavy_tail_and_of_large_whole_numbers(spark):
+    rng = np.random.default_rng(8)
+    v = 10 ** rng.uniform(0, 10, 60_000)
+    v[:20_000] = 7.0
+    df = spark.createDataFrame([("hot", float(x)) for x in v] + [("few", 3.0), ("few", 1.0), ("one", 5.0)], "k string, v double")
+    probs = {"a": 0.0, "b": 0.25, "c": 0.5, "d": 0.75, "e": 0.999, "f": 1.0}
+    got = {r.k: [r[n] for n in probs] for r in exact_percentiles(df, ["k"], "v", probs).collect()}
+    for k, values in (("hot", v), ("few", [1.0, 3.0]), ("one", [5.0])):
+        assert got[k] == pytest.approx([float(np.quantile(values, p)) for p in probs.values()], rel=1e-12)
+    whole = spark.range(3).selectExpr("CAST(90071992547409930 + id AS DECIMAL(17,0)) AS v")
+    assert exact_percentiles(whole, [], "v", {"m": 0.5}).first().m == float(90071992547409931)
+
+
 def test_grade(spark):
     t = spark.createDataFrame([("a", 1.0, 0.5), ("b", 1.0, 0.5), ("c", -1.0, -3.0), ("d", 1.0, 0.5)], "series_id string, slope double, t_stat double")
     e = spark.createDataFrame([("a", 0.9), ("b", 0.3), ("c", 0.9), ("d", 0.0)], "series_id string, beta double")
