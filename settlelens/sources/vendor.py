@@ -81,7 +81,33 @@ def read_universe(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, schema=schema, header=True, escape='"', enforceSchema=False)
 
 
+def csv_headers(spark: SparkSession, path: str) -> DataFrame:
+    """(header, paths): the distinct first lines of the CSV files under ``path``, and the files that have each."""
+    lines = spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_id"),
+    )
+    first = lines.filter("_block = 0").groupBy("path").agg(F.min_by("value", "_id").alias("header"))
+    return first.groupBy(F.regexp_replace("header", "\\r$", "").alias("header")).agg(F.collect_list("path").alias("paths"))
+
+
 def read_panel_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """As ``_panel_files``, with the columns of every file taken by the names in its own header.
+
+    Files of one header are read together; the driver gets one row per distinct header, with the file names
+    it would list for the scan anyway.
+    """
+    groups = csv_headers(spark, path).collect()
+    if len(groups) < 2:
+        return _panel_files(spark, path, multi_line)
+    parts = [_panel_files(spark, sorted(g["paths"]), multi_line) for g in sorted(groups, key=lambda g: g["header"] or "")]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part, allowMissingColumns=True)
+    return out
+
+
+def _panel_files(spark: SparkSession, path: str | list[str], multi_line: bool) -> DataFrame:
     """A panel CSV with every cell as text, its file and the row's 0-based position in that file.
 
     Quoted cells may hold line breaks, and such a file is read by one task. ``multi_line=False`` lets

@@ -156,3 +156,30 @@ def test_addresses(spark):
     df = spark.createDataFrame([(a,), (f" {a} ",), ("0x12",), (a + "\n",), (None,)], "a string")
     got = [r[0] for r in df.select(X.normalize_address("a")).collect()]
     assert got[0] == got[1] == a.lower() and got[2] is None and got[4] is None
+
+
+def test_blob_fee_rule_is_exact(spark):
+    def series(excess, fraction):
+        i, total, term = 1, 0, fraction
+        while term > 0:
+            total += term
+            term = term * excess // (fraction * i)
+            i += 1
+        return total // fraction
+
+    values = [0, 1, 131072, 10_000_000, 52_298_752, 120_000_000, 150_000_000]
+    df = spark.createDataFrame([(v, f) for v in values for f in (3338477, 5007716)], "excess long, fraction long")
+    rows = df.select("excess", "fraction", X.blob_base_fee(F.lit(None), "excess", "fraction").alias("fee")).collect()
+    assert {(r.excess, r.fraction): int(r.fee) for r in rows} == {(v, f): series(v, f) for v in values for f in (3338477, 5007716)}
+    assert spark.range(1).select(X.blob_base_fee(F.lit(None), F.lit(None).cast("long"), F.lit(3338477))).first()[0] is None
+
+
+def test_a_transaction_without_its_block_stays_apart(spark):
+    tx = spark.createDataFrame([("a", 1, 3, Decimal(10), Decimal(7), 2), ("b", 2, 2, Decimal(10), Decimal(7), None)],
+                               "tx_hash string, block_number long, tx_type int, gas_used decimal(12,0), effective_gas_price_wei decimal(17,0), blob_count int")
+    blocks = spark.createDataFrame([(1, 1710500000, Decimal(5), None, None)],
+                                   "block_number long, timestamp long, base_fee_per_gas_wei decimal(17,0), base_fee_per_blob_gas_wei decimal(17,0), excess_blob_gas long")
+    usable, bad = K.quarantine(K.fee_parts(K.with_block_fees(tx, blocks)))
+    assert [r.tx_hash for r in bad.collect()] == ["b"]
+    row = usable.first()
+    assert row.blob_burn_unknown and row.burn_blob_wei is None  # neither a fee nor excess gas to derive it from

@@ -165,3 +165,11 @@ def test_contract_file(tmp_path):
 
 def test_command_text():
     assert X.shell_text(["python", "a b.py", "--x"]) == "python 'a b.py' --x"
+
+
+def test_each_csv_file_has_its_own_header(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("date_utc,fees,rent\n2024-01-01,5,1\n")
+    (tmp_path / "b.csv").write_text("date_utc,rent,fees\n2024-01-02,2,6\n")
+    (tmp_path / "c.csv").write_text("date_utc,fees\n2024-01-03,7\n")
+    got = {r.date_utc: (r.fees, r.rent) for r in SV.read_panel_csv(spark, str(tmp_path)).collect()}
+    assert got == {"2024-01-01": ("5", "1"), "2024-01-02": ("6", "2"), "2024-01-03": ("7", None)}
