@@ -53,6 +53,7 @@ def main() -> None:
             "spark.ui.enabled": "false",
             "spark.driver.memory": "16g",
             "spark.log.level": "ERROR",
+            "spark.checkpoint.dir": os.environ.get("BENCH_SCRATCH", f"file://{os.getcwd()}/spark-warehouse/scratch"),
         },
     )
     entries = registered()

@@ -9,9 +9,19 @@ from settlelens.session import build_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
+    shared = tmp_path_factory.mktemp("shared")
     s = build_session(
-        "tests", "local[4]", **{"spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false", "spark.log.level": "ERROR"}
+        "tests",
+        "local[4]",
+        **{
+            "spark.sql.shuffle.partitions": "4",
+            "spark.ui.enabled": "false",
+            "spark.ui.showConsoleProgress": "false",
+            "spark.log.level": "ERROR",
+            "spark.checkpoint.dir": f"file://{shared}/scratch",
+            "spark.sql.warehouse.dir": f"{shared}/warehouse",
+        },
     )
     yield s
     s.stop()
