@@ -145,3 +145,65 @@ def quality_scores(
         "probability",
         (F.col("probability") >= cutoff).alias("kept"),
     )
+
+
+def hierarchy_sql(cutoff: float = CUTOFF) -> str:
+    """The SQL of the query over documents and labels."""
+    from settlelens.llm.quality_sql import statistics_ctes
+
+    bins = ", ".join(f"{_bin(value, cuts)} AS bin_{f}" for f, (value, cuts) in FEATURES.items())
+    counts = " UNION ALL ".join(
+        f"SELECT '{f}' AS feature, {len(cuts) + 1} AS n, bin_{f} AS bin, count(*) FILTER (WHERE good = 1) AS g, "
+        f"count(*) FILTER (WHERE good <> 1) AS b FROM held GROUP BY bin_{f}"
+        for f, (_, cuts) in FEATURES.items()
+    )
+    total = " + ".join(f"coalesce(l_{f}.x, 0)" for f in FEATURES)
+    joins = " ".join(f"LEFT JOIN ratios l_{f} ON l_{f}.feature = '{f}' AND l_{f}.bin = b.bin_{f}" for f in FEATURES)
+    u = f"{UNIT}.0::DOUBLE"
+
+    def strength(level: str, table: str, above: str) -> str:
+        n, m = f"n_{level}", f"({above})"
+        gap = f"(s_{level} / {u} / {n} - {m})"
+        return f"""SELECT greatest(1.0::DOUBLE, least(1e6::DOUBLE, CASE WHEN (spread - noise) / {u} / n > 0
+      THEN (mass / {u} / n) / ((spread - noise) / {u} / n) - 1 ELSE 1e6::DOUBLE END)) AS k FROM (
+      SELECT CAST(sum(CAST(round({n} * {gap} * {gap} * {UNIT}) AS BIGINT)) AS DOUBLE) AS spread,
+        CAST(sum(CAST(round({m} * (1 - {m}) * {UNIT}) AS BIGINT)) AS DOUBLE) AS noise,
+        CAST(sum(CAST(round({n} * {m} * (1 - {m}) * {UNIT}) AS BIGINT)) AS DOUBLE) AS mass, CAST(sum({n}) AS DOUBLE) AS n FROM {table})"""
+
+    return (
+        statistics_ctes()
+        + f""", binned AS (
+  SELECT doc_id, source AS host, lang AS path, {bins} FROM stats
+), marks AS (
+  SELECT doc_id, max(quality) AS good FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id
+), held AS (
+  SELECT b.*, m.good FROM binned b JOIN marks m ON m.doc_id = b.doc_id
+), counts AS ({counts}), sums AS (
+  SELECT coalesce(sum(g), 0) AS good, coalesce(sum(b), 0) AS bad FROM counts WHERE feature = 'words'
+), ratios AS (
+  SELECT feature, bin, ln((g + 1) / (good + n)) - ln((b + 1) / (bad + n)) AS x FROM counts, sums
+), alone AS (
+  SELECT doc_id, host, path, {total} AS evidence FROM binned b {joins}
+), owned AS (
+  SELECT *, CAST(round({UNIT} / (1 + exp(-(evidence + (SELECT ln((good + 1) / (bad + 1)) FROM sums))))) AS BIGINT) AS own FROM alone
+), paths AS (
+  SELECT host, path, count(*) AS n_path, sum(own) AS s_path FROM owned GROUP BY ALL
+), hosts AS (
+  SELECT host, sum(n_path) AS n_host, sum(s_path) AS s_host FROM paths GROUP BY host
+), whole AS (
+  SELECT (sum(s_host) + {UNIT}) / {u} / (sum(n_host) + 2) AS m FROM hosts
+), grouped AS (
+  SELECT p.*, n_host, s_host FROM paths p JOIN hosts h ON h.host = p.host
+), k_host AS ({strength('host', 'hosts', '(SELECT m FROM whole)')}), k_path AS ({strength('path', 'grouped', f's_host / {u} / n_host')}),
+levels AS (
+  SELECT o.doc_id, evidence, own, n_path, s_path,
+    ((SELECT k FROM k_host) * (SELECT m FROM whole) + (s_host - own) / {u}) / ((SELECT k FROM k_host) + n_host - 1) AS hp
+  FROM owned o JOIN grouped g ON g.host = o.host AND g.path = o.path
+), posts AS (
+  SELECT *, ((SELECT k FROM k_path) * hp + (s_path - own) / {u}) / ((SELECT k FROM k_path) + n_path - 1) AS pp FROM levels
+), scored AS (
+  SELECT *, round(1 / (1 + exp(-(evidence + ln(least(greatest(pp, 1e-6), 1 - 1e-6) / (1 - least(greatest(pp, 1e-6), 1 - 1e-6)))))), 6) AS p FROM posts
+)
+SELECT doc_id, CAST(round(evidence, 6) AS DOUBLE) AS evidence, CAST(round(hp, 6) AS DOUBLE) AS host_posterior,
+  CAST(round(pp, 6) AS DOUBLE) AS path_posterior, CAST(p AS DOUBLE) AS probability, p >= {cutoff} AS kept FROM scored"""
+    )

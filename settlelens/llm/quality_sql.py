@@ -16,12 +16,12 @@ def _share() -> str:
     return f"CAST({RISK} AS DOUBLE) / {len(RULES)}"
 
 
-def quality_sql() -> str:
-    cuts = ", ".join(f"MAX(CASE WHEN rule = '{r.name}' THEN cutoff END) AS cut_{r.name}" for r in RULES)
-    first = ", ".join(f"CASE WHEN {r.condition(f'cut_{r.name}')} THEN '{r.name}' END" for r in RULES)
-    return f"""
+def statistics_ctes() -> str:
+    """CTEs up to ``stats``: the statistics of each document, with a row number, its language and its source."""
+    return """
 WITH body AS (
-  SELECT row_number() OVER () AS rid, doc_id, coalesce(lang, '') AS lang, coalesce(text, '') AS text FROM documents
+  SELECT row_number() OVER () AS rid, doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text
+  FROM documents
 ), cut AS (
   SELECT *, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS w,
     list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines FROM body
@@ -32,7 +32,7 @@ WITH body AS (
 ), repeats AS (
   SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest(range(i, i + 5)) AS p FROM twice) GROUP BY rid
 ), stats AS (
-  SELECT c.rid, doc_id, lang, CAST(len(w) AS BIGINT) AS n_words,
+  SELECT c.rid, doc_id, lang, source, CAST(len(w) AS BIGINT) AS n_words,
     CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
     CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
     CAST(len(regexp_extract_all(text, '[A-Z]')) AS BIGINT) AS n_upper,
@@ -41,7 +41,13 @@ WITH body AS (
     CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
     CAST(coalesce(r.n, 0) AS BIGINT) AS n_repeat_words
   FROM cut c LEFT JOIN repeats r ON r.rid = c.rid
-), based AS (
+)"""
+
+
+def quality_sql() -> str:
+    cuts = ", ".join(f"MAX(CASE WHEN rule = '{r.name}' THEN cutoff END) AS cut_{r.name}" for r in RULES)
+    first = ", ".join(f"CASE WHEN {r.condition(f'cut_{r.name}')} THEN '{r.name}' END" for r in RULES)
+    return statistics_ctes() + f""", based AS (
   SELECT *, (n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words) AS base_failed FROM stats
 ), marks AS (
   SELECT doc_id, max(quality) AS good FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id

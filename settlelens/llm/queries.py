@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from settlelens.llm import sentencepiece as spm
 from settlelens.llm.common import documents, null_safe_text
 from settlelens.llm.exact import exact_duplicates
-from settlelens.llm.hierarchy import quality_scores
+from settlelens.llm.hierarchy import hierarchy_sql, quality_scores
 from settlelens.llm.linededup import LINES_SQL, without_boilerplate
 from settlelens.llm.mixing import mixed, mixing_sql
 from settlelens.llm.pii import personal_data_digests
@@ -87,4 +87,4 @@ def queries():
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": quality_sql(), "op3_mixing": mixing_sql(), "op4_line_dedup": LINES_SQL, "op7_exact_dedup": OP7_SQL}
+    return {"op2_quality_rules": quality_sql(), "op3_mixing": mixing_sql(), "op4_line_dedup": LINES_SQL, "op5_quality_classifier": hierarchy_sql(), "op7_exact_dedup": OP7_SQL}

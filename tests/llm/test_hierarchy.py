@@ -1,4 +1,5 @@
-from settlelens.llm.hierarchy import quality_scores
+from settlelens.llm.hierarchy import hierarchy_sql, quality_scores
+from tests.llm.conftest import SMALL, duck
 
 
 def test_held_out_accuracy(spark):
@@ -30,3 +31,11 @@ def test_edges(edges, no_labels):
 
 def test_empty(nothing, no_labels):
     assert quality_scores(nothing, no_labels).count() == 0
+
+
+def test_agrees_with_sql(spark):
+    tables = {t: f"{SMALL}/{t}.parquet" for t in ("documents", "labels")}
+    got = quality_scores(*(spark.read.parquet(p) for p in tables.values())).toPandas().sort_values("doc_id").reset_index(drop=True)
+    want = duck(hierarchy_sql(), tables).sort_values("doc_id").reset_index(drop=True)
+    for c in got.columns:
+        assert (got[c] == want[c]).all() if c in ("doc_id", "kept") else (got[c] - want[c]).abs().max() < 2e-6
