@@ -8,7 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from settlelens.operators import checks as Q
-from settlelens.plans import daily
+from settlelens import contracts as C
+from settlelens.plans import daily, landed
 from settlelens.plans import fixtures as fx
 
 SF = "/root/testdata/sf0.001"
@@ -90,3 +91,37 @@ def test_the_latest_run_date_wins(spark, inputs):
     older = m.withColumns({"value": F.col("value") * 9, "run_date": F.lit(dt.date(2024, 1, 31))})
     both = dataclasses.replace(inputs, metrics=m.unionByName(older))
     assert Q.compare_builds(daily.vendor_rows(inputs), daily.vendor_rows(both)).first().status == "pass"
+
+
+def test_landed_folders_give_the_inputs(spark, inputs, tmp_path):
+    root, run = f"{tmp_path}", F.lit(dt.date(2024, 2, 1)).alias("run_date")
+    first = inputs.blocks.agg(F.max("timestamp")).first()[0] - 20 * 86_400
+    blocks = inputs.blocks.filter(F.col("timestamp") >= first)
+    receipts = inputs.receipts.join(blocks.select("block_number"), "block_number", "left_semi")
+    for name, df in (("blocks", blocks), ("receipts", receipts), ("blob_tx", inputs.blob_tx), ("blob_index", inputs.blob_index)):
+        df.select("*", run).write.partitionBy("run_date").parquet(f"{root}/l1/{name}")
+    text = lambda df: df.withColumnRenamed("date_utc", "date").withColumn("date", F.col("date").cast("string"))
+    text(inputs.metrics).write.json(f"{root}/vendor/export/2024-02-01")
+    text(inputs.prices).write.json(f"{root}/vendor/prices/2024-02-01")
+    text(inputs.issuance).write.json(f"{root}/vendor/issuance/2024-02-01")
+    day = lambda c: F.col(c).cast("date").cast("string")
+    senders = inputs.addresses.filter("confidence = 'high'").groupBy("rollup_id", "valid_from_utc", "valid_to_utc").agg(
+        F.to_json(F.collect_list("address")).alias("batcher_addresses_json"))
+    cells = {
+        "rollup_id": F.col("rollup_id"), "batcher_addresses_json": F.col("batcher_addresses_json"), "status": F.lit("active"),
+        "start_date_utc": day("valid_from_utc"), "end_date_utc": F.date_sub("valid_to_utc", 1).cast("string"), "verified_utc": F.lit("2024-01-15"),
+    }
+    columns = [cells.get(c, F.lit(None).cast("string")).alias(c) for c in C.REGISTRY_COLUMNS]
+    senders.select(*columns).write.csv(f"{root}/registry/rollup_registry.csv", header=True, escape='"')
+    u = inputs.universe.select("rollup_id", "origin_key", "display_name", "category", "in_scope", F.lit(None).cast("string").alias("notes"))
+    u.write.csv(f"{root}/registry/universe.csv", header=True, escape='"')
+    contracts = inputs.contracts.select(*[F.col(c).cast("string") for c in landed.CONTRACT_COLUMNS])
+    contracts.write.csv(f"{root}/registry/contract_mappings.csv", header=True, escape='"')
+
+    got = landed.inputs(spark, root, "v1", ("2024-01-31", "2024-02-02"))
+    direct = dataclasses.replace(inputs, blocks=blocks, receipts=receipts, addresses=inputs.addresses.filter("confidence = 'high'"))
+    cost = lambda i: daily.costs(daily.K.quarantine(daily.transactions(i))[0], "v1")
+    assert Q.compare_builds(cost(direct), cost(got)).first().status == "pass"
+    assert Q.compare_builds(inputs.metrics, got.metrics.select(*inputs.metrics.columns)).first().status == "pass"
+    # Rollups of the vendor universe are not in this registry, so they have no bounds.
+    assert got.universe.filter("start_date_utc IS NOT NULL").isEmpty() and got.universe.count() == inputs.universe.count()
