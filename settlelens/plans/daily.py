@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from settlelens import contracts as C
+from settlelens.functions import columns as X
 from settlelens.operators import attribution as A
 from settlelens.operators import checks as Q
 from settlelens.operators import costs as K
@@ -62,6 +63,16 @@ def decomposition(tx: DataFrame, blocks: DataFrame) -> DataFrame:
     return N.to_contract(K.decomposition(named, K.blob_fee_state(blocks)), C.DECOMPOSITION_CONTRACT)
 
 
+def coverages(panel_wide: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Shares held against their thresholds: days after activation with blob headers, panel rows with on-chain cost."""
+    days = blocks.groupBy(X.epoch_date("timestamp").alias("date_utc")).agg(F.max(F.col("blob_gas_used").isNotNull()).alias("_seen"))
+    days = days.filter(X.post_regime("date_utc", C.DENCUN_DATE)).agg(F.avg(F.col("_seen").cast("int")).alias("coverage"))
+    rows = panel_wide.agg(F.avg(F.col("onchain_l1_cost_eth").isNotNull().cast("int")).alias("coverage"))
+    blob = Q.coverage_threshold(days.filter("coverage IS NOT NULL").withColumn("key", F.lit("all")), "key", "blob_days", C.COVERAGE_BLOB_DAYS)
+    chain = Q.coverage_threshold(rows.filter("coverage IS NOT NULL").withColumn("key", F.lit("all")), "key", "onchain_coverage", C.COVERAGE_ONCHAIN)
+    return blob.unionByName(chain)
+
+
 def recent_chain(i: Inputs, first: dt.date, last: dt.date) -> Inputs:
     """Chain tables cut to the days of a bounded run before anything is joined.
 
@@ -142,7 +153,7 @@ def run(i: Inputs, root: str, run_date: dt.date, full: bool = False) -> dict[str
     parts = store("daily_l1_rent_decomposition", decomposition(usable, chain.blocks), C.CHAIN_REFRESH_DAYS)
     panel = store("daily_rollup_panel", contract_panel(vendor, run_date), C.PANEL_REFRESH_DAYS)
     blocks = recent_chain(i, run_date - dt.timedelta(days=C.PANEL_REFRESH_DAYS - 1), run_date).blocks if not full else i.blocks
-    store("daily_rollup_panel_wide", N.clip_window(wide_panel(replace(vendor, blocks=blocks), onchain), end=run_date), C.PANEL_REFRESH_DAYS)
+    wide = store("daily_rollup_panel_wide", N.clip_window(wide_panel(replace(vendor, blocks=blocks), onchain), end=run_date), C.PANEL_REFRESH_DAYS)
     store("daily_str", M.str_daily(panel), C.PANEL_REFRESH_DAYS)
 
     named = onchain.filter(~F.col("rollup_id").isin(C.OTHER, C.ROLLUP_LIKE))
@@ -156,6 +167,7 @@ def run(i: Inputs, root: str, run_date: dt.date, full: bool = False) -> dict[str
         .unionByName(Q.registry_audit(i.addresses, "address"))
         .unionByName(Q.attribution_target(K.attribution_coverage(usable)))
         .unionByName(Q.blob_burn_check(usable))
+        .unionByName(coverages(wide, blocks))
         .unionByName(Q.block_continuity(M.missing_numbers(chain.blocks, "block_number")))
         .unionByName(R.reconcile_months(months, M.top_rollups(panel, 5)))
     )

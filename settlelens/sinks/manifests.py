@@ -121,6 +121,9 @@ def write_documents(docs: DataFrame, folder: str, overwrite: bool = False) -> No
 
     Without ``overwrite`` an existing document is an error: processed manifests are append-only.
     """
+    from settlelens.sources.snapshots import require_shared
+
+    require_shared(docs.sparkSession, folder)
 
     def write(batches):
         import pandas as pd

@@ -17,15 +17,27 @@ def _open_fs(uri: str):
     return fs.LocalFileSystem(), uri
 
 
+def require_shared(spark: SparkSession, uri: str) -> None:
+    """A plain path means the disk of whichever machine runs a task; it is accepted on one machine only."""
+    plain = "://" not in uri and not uri.startswith("file:")
+    master = spark.sparkContext.master
+    if plain and (not master.startswith("local") or master.startswith("local-cluster")):
+        raise ValueError(f"give a URI that every executor can reach instead of {uri}")
+
+
 def scan_snapshot_files(spark: SparkSession, root: str, partitions: int | None = None) -> DataFrame:
     """(path, sha256, bytes) of every file under ``root``; paths are relative to it.
 
     Built-in file sources skip empty files and names starting with '.' or '_', and hold a whole file
-    in one row. Here the driver only checks the top folder. Tasks list it, walk the folders below,
-    and, after the paths are spread anew, hash the files in chunks.
+    in one row. Here the driver only checks the top folder. Folders are listed level by level: those of a
+    level are spread over the tasks and their entries written, so wide and deep trees are both split.
+    The files found are spread anew and hashed in chunks.
     """
     from pyarrow import fs as pafs
 
+    from settlelens.session import materialize
+
+    require_shared(spark, root)
     system, top = _open_fs(root)
     info = system.get_file_info(top)
     if info.type == pafs.FileType.NotFound:
@@ -44,24 +56,6 @@ def scan_snapshot_files(spark: SparkSession, root: str, partitions: int | None =
                 rows = [(e.path, e.type == fs.FileType.Directory) for e in found]
                 yield pd.DataFrame(rows, columns=["path", "is_dir"])
 
-    def walk(batches):
-        import pandas as pd
-        from pyarrow import fs
-
-        for pdf in batches:
-            system, _ = _open_fs(root)
-            for path, is_dir in zip(pdf["path"], pdf["is_dir"]):
-                if not is_dir:
-                    yield pd.DataFrame({"path": [path]})
-                    continue
-                pending = [path]
-                while pending:  # one folder at a time, so a batch is one listing
-                    found = system.get_file_info(fs.FileSelector(pending.pop(), recursive=False))
-                    pending += [e.path for e in found if e.type == fs.FileType.Directory]
-                    files = [e.path for e in found if e.type == fs.FileType.File]
-                    if files:
-                        yield pd.DataFrame({"path": files})
-
     def digest(batches):
         import hashlib
 
@@ -80,10 +74,13 @@ def scan_snapshot_files(spark: SparkSession, root: str, partitions: int | None =
             yield pd.DataFrame(out, columns=["path", "sha256", "bytes"])
 
     n = partitions or spark.sparkContext.defaultParallelism * 4
-    start = spark.createDataFrame([(top,)], "path string")
-    entries = start.mapInPandas(children, "path string, is_dir boolean").repartition(n)
-    paths = entries.mapInPandas(walk, "path string")
-    return paths.repartition(n).mapInPandas(digest, "path string, sha256 string, bytes bigint")
+    level, files = spark.createDataFrame([(top,)], "path string"), None
+    while not level.isEmpty():
+        listed = materialize(level.repartition(n).mapInPandas(children, "path string, is_dir boolean"), "listing")
+        found = listed.filter("NOT is_dir").select("path")
+        files = found if files is None else files.unionByName(found)
+        level = listed.filter("is_dir").select("path")
+    return files.repartition(n).mapInPandas(digest, "path string, sha256 string, bytes bigint")
 
 
 def path_order(path: str = "path"):
