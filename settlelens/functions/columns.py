@@ -157,11 +157,15 @@ def parse_number(text: Column | str) -> Column:
     return F.when(body.rlike(NUMBER_PATTERN), value)
 
 
-def shell_text(tokens: list[str]) -> str:
-    """One command line from its tokens, quoted for a POSIX shell."""
-    import shlex
+def command_line(tokens: Column | str) -> Column:
+    """One POSIX command line from an array of tokens. Tokens of harmless characters stand bare; any other is put
+    between single quotes, which a quote inside leaves for a moment."""
 
-    return " ".join(shlex.quote(t) for t in tokens)
+    def quoted(token: Column) -> Column:
+        inner = F.replace(token, F.lit("'"), F.lit("'\"'\"'"))
+        return F.when(token.rlike(r"\A[\w@%+=:,./-]+\z"), token).otherwise(F.concat(F.lit("'"), inner, F.lit("'")))
+
+    return F.array_join(F.transform(col(tokens), quoted), " ")
 
 
 # ---- json, arrays -----------------------------------------------------------------------------

@@ -86,6 +86,7 @@ def schema_conformance(df: DataFrame, contract: dict) -> DataFrame:
     return fields.unionByName(dup)
 
 
+# Column names of the sample check, and below the labels of its failures and of the manifest's.
 PANEL_REQUIRED = ["date_utc", "rollup_id", "l2_fees_eth", "rent_paid_eth"]
 PANEL_NUMBERS = ["l2_fees_eth", "rent_paid_eth", "profit_eth"]
 

@@ -8,6 +8,7 @@ import sys
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+# Most entries in one document; a longer list goes on in numbered parts, so that no row grows without bound.
 MAX_ENTRIES = 10_000
 _SORTED = {"pretty": "true"}
 

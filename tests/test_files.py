@@ -163,8 +163,12 @@ def test_contract_file(tmp_path):
     assert s.simpleString() == "struct<d:date,n:bigint>" and not s["d"].nullable and s["n"].nullable
 
 
-def test_command_text():
-    assert X.shell_text(["python", "a b.py", "--x"]) == "python 'a b.py' --x"
+def test_command_text(spark):
+    import shlex
+
+    tokens = ["python", "a b.py", "--x", "it's", "", "a$b", "x/y-z.csv"]
+    line = spark.createDataFrame([(tokens,)], "t array<string>").select(X.command_line("t")).first()[0]
+    assert shlex.split(line) == tokens and line.startswith("python 'a b.py' --x")
 
 
 def test_each_csv_file_has_its_own_header(spark, tmp_path):
