@@ -20,6 +20,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from settlelens.llm.common import materialize, null_safe_text
 
@@ -63,17 +64,17 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], budget: float = BUDGET
         scale = present.agg(F.sum("share")).first()[0] or 1.0
         goals[m] = materialize(present.select("value", (F.col("share") * (total * budget / scale)).alias("goal")), f"goal-{m}")
     fitted = cells.withColumn("weight", F.col("tokens") * F.lit(budget))
-    for _ in range(sweeps):
+    for m in margins:
+        fitted = fitted.join(goals[m].select(F.col("value").alias(m), F.col("goal").alias(f"goal_{m}")), m, "left")
+    for sweep in range(sweeps):
         for m in margins:
-            sums = fitted.groupBy(F.col(m).alias("value")).agg(F.sum("weight").alias("have"))
-            factor = sums.join(goals[m], "value", "left").select(
-                "value", F.when(F.col("have") > 0, F.coalesce("goal", F.lit(0.0)) / F.col("have")).otherwise(0.0).alias("factor")
-            )
-            scaled = fitted.join(factor, fitted[m] == factor["value"]).drop("value")
-            fitted = scaled.withColumn("weight", F.least(F.col("weight") * F.col("factor"), F.col("tokens").cast("double")))
-            fitted = fitted.drop("factor")
-        fitted = materialize(fitted, "mix-weights")
-    return fitted
+            # Cells are counts already; a window over a margin is one shuffle of them and no join.
+            have = F.sum("weight").over(W.partitionBy(m))
+            factor = F.when(have > 0, F.coalesce(f"goal_{m}", F.lit(0.0)) / have).otherwise(0.0)
+            fitted = fitted.withColumn("weight", F.least(F.col("weight") * factor, F.col("tokens").cast("double")))
+        if sweep % 5 == 4:  # keeps the plan short
+            fitted = materialize(fitted, "mix-weights")
+    return fitted.drop(*[f"goal_{m}" for m in margins])
 
 
 def mixed(
