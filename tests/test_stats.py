@@ -9,6 +9,7 @@ import pytest
 
 from settlelens.functions.joins import exact_percentiles
 from settlelens.operators import stats as ST
+from settlelens.plans import registered, stat_queries
 
 SCHEMA = "series_id string, t long, y double"
 
@@ -80,6 +81,16 @@ def test_chosen_breaks_find_a_step_and_none_in_noise(spark):
     assert got["step"][0] == 1 and got["step"][1] == 33 and got["flat"][0] == 0
 
 
+def test_registered_query_finds_up_to_five_breaks(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    levels = {"three": [0, 5, 1, 6], "five": [0, 5, 1, 6, 2, 7], "flat": [0, 0]}
+    made = make(spark, **{k: np.repeat(v, 35) + rng.normal(0, 0.1, 35 * len(v)) for k, v in levels.items()})
+    monkeypatch.setattr(stat_queries.fx, "series", lambda spark, d: made)
+    rows = registered()["x5_chosen_breaks"].run(spark, "").collect()
+    got = {k: sorted(r.break_t for r in rows if r.series_id == k and r.break_t is not None) for k in levels}
+    assert got == {"three": [35, 70, 105], "five": [35, 70, 105, 140, 175], "flat": []}
+
+
 def test_chow(spark):
     y = np.concatenate([np.arange(20.0), np.arange(20.0) * -1 + 60]) + np.random.default_rng(0).normal(size=40)
     r = ST.chow(make(spark, a=y), 20).first()
