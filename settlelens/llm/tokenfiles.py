@@ -17,6 +17,10 @@ Encoding looks a chunk of text up before it calls the tokenizer. The byte-level
 before a single space between two visible characters, around a single line break between two, and between
 a letter and a run of plain punctuation, so encoding the parts gives the ids of the whole.
 
+A literal special token of the file in a text, such as ``<|endoftext|>``, becomes its one id in the jobs, as
+the library has it by default. No cut falls inside one; files whose special tokens could be cut, or depend on
+their neighbours, are encoded whole.
+
 Edge cases. A null text counts as empty: it has the end id alone. Rows without an id come first and keep
 a null id. Rows of one id are ordered by their text. An empty table gives no shard and an empty result.
 Further columns are not read. A path that cannot be opened fails the job.
@@ -184,18 +188,26 @@ class ShardReader:
 
 
 class Encoder:
-    """Ids of whole texts by a tokenizer file of the byte-level kind."""
+    """Ids of whole texts by a tokenizer file of the byte-level kind; ``plain`` takes special tokens as plain text."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, plain: bool = True):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = plain
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
-        kind = json.loads(self.tokenizer.to_str())["pre_tokenizer"]
-        plain = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
-        self.parted = self.tokenizer.normalizer is None and all(kind.get(k, v) == v for k, v in plain.items())
+        model = json.loads(self.tokenizer.to_str())
+        kind, usual = model["pre_tokenizer"], {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+        self.parted = self.tokenizer.normalizer is None and all(kind.get(k, v) == v for k, v in usual.items())
+        self.parted = self.parted and all(map(self.stays_whole, model["added_tokens"]))
+
+    @staticmethod
+    def stays_whole(token: dict) -> bool:
+        """Whether no cut falls inside an added token, and none changes how it is found."""
+        text = token["content"]
+        apart = token["single_word"] or token["lstrip"] or token["rstrip"] or "\0" in text
+        return not apart and not re.search(r"\s", text) and text[-1:] not in _PUNCTUATION
 
     def _raw(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -249,7 +261,7 @@ def load_encoder(path: str) -> Encoder:
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    return Encoder(path)
+    return Encoder(path, plain=False)
 
 
 # ---- jobs

@@ -28,6 +28,22 @@ def test_parts_give_the_ids_of_the_whole(library):
     assert own == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_jobs_give_the_librarys_default_ids_of_special_tokens(spark):
+    random.seed(2)
+    pieces = ["<|endoftext|>", "<|endoftext|", " ", "\n", "a", ".", "'s", "|>", "!", "1", "  "]
+    texts = ["<|endoftext|>", "so it ends.<|endoftext|>\nIt goes on", "a <|endoftext|>, b"]
+    texts += ["".join(random.choices(pieces, k=random.randint(1, 10))) for _ in range(2000)]
+    default = Tokenizer.from_file(FILE)
+    want = [e.ids for e in default.encode_batch(texts, add_special_tokens=False)]
+    assert tokenfiles.load_encoder(FILE).parted and 50256 in want[0]
+    assert [x.tolist() for x in tokenfiles.load_encoder(FILE).encode(texts)] == want
+    docs = spark.createDataFrame(list(enumerate(texts[:50])), "doc_id bigint, text string")
+    rows = sorted(tokenfiles.token_digests(docs, FILE).collect(), key=lambda r: r["doc_id"])
+    assert [(r["n_tokens"], r["ids_crc32"]) for r in rows] == [
+        (len(w) + 1, zlib.crc32(np.array([*w, 0], dtype="<u4").tobytes())) for w in want[:50]
+    ]
+
+
 @pytest.mark.parametrize("unit", [1, 8])
 def test_planes_and_files_come_back(unit):
     rng = np.random.default_rng(2)
