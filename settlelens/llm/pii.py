@@ -20,6 +20,7 @@ proportion to the text, also for very long runs of digits or address characters.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from settlelens.llm.common import null_safe_text
+from settlelens.llm.common import materialize, null_safe_text
 
 KINDS = ("email", "ip", "card", "phone")
 # Fixed values of the patterns.
@@ -312,14 +313,19 @@ def _harmless(rng: np.random.Generator) -> str:
 _WORDS = ("home", "work", "noon", "user", "todo")
 
 
+def trains(spans: list[Span], failed: list[tuple[int, int]]) -> bool:
+    """False for a form of a kind without its label, or two readings of one place."""
+    return not failed and not any(p[2] > q[1] for p, q in zip(spans, spans[1:], strict=False))
+
+
 def training_set(windows: list[str], seed: int = SEED) -> list[tuple[str, list[Span]]]:
     """Windows with their labelled spans: as they are, with their spans rewritten, and with harmless numbers instead."""
     rng = np.random.default_rng(seed)
     out = []
     for text in windows:
         spans, failed = pattern_spans(text)
-        if failed or any(p[2] > q[1] for p, q in zip(spans, spans[1:], strict=False)):
-            continue  # a form of a kind without its label, or two readings of one place
+        if not trains(spans, failed):
+            continue
         out.append((text, spans))
         for copy in range(REWRITES + 1 if spans else 0):
             built, moved, at = "", [], 0
@@ -463,17 +469,55 @@ def all_spans(model: Tagger | None, texts: list[str]) -> list[tuple[list[Span],
 # ---- jobs
 
 
+def windows_of(text: str, longest: int = 3 * WINDOW // 2) -> list[str]:
+    """The regions of a text, long ones in several windows cut outside of pattern matches."""
+    out = []
+    for a, b in regions(text):
+        part = text[a:b]
+        good, failed = pattern_spans(part) if b - a > longest else ([], [])
+        merged: list[list[int]] = []
+        for lo, hi in sorted([(lo, hi) for _, lo, hi in good] + failed):
+            if merged and lo < merged[-1][1]:
+                merged[-1][1] = max(hi, merged[-1][1])
+            else:
+                merged.append([lo, hi])
+        starts, at = [m[0] for m in merged], 0
+        while len(part) - at > longest:
+            end = at + longest
+            k = bisect_left(starts, end) - 1
+            if k >= 0 and merged[k][1] > end:
+                end = merged[k][0] if merged[k][0] > at else merged[k][1]
+            out.append(part[at:end])
+            at = end
+        out.append(part[at:])
+    return [w for w in out if 0 < len(w) <= 2 * longest]  # a longer one is a single match
+
+
+def window_kinds(window: str) -> list[str]:
+    """Kinds of the pattern spans of a window, "none" without any; empty if it cannot train."""
+    spans, failed = pattern_spans(window)
+    return sorted({k for k, _, _ in spans}) or ["none"] if trains(spans, failed) else []
+
+
 def sample_windows(docs: DataFrame, text_col: str = "text", limit: int = SAMPLE) -> list[str]:
-    """At most ``limit`` regions of the corpus, those whose text has the smallest digests: the same in every run."""
+    """At most ``limit`` distinct windows of the corpus, those with the smallest digests: the same in every run.
+
+    A fifth is drawn from the windows with a span of each kind and from those without span; what a rare kind
+    leaves is filled from all.
+    """
     text = null_safe_text(text_col)
 
-    @pandas_udf("array<string>")
+    @pandas_udf("array<struct<w:string,kinds:array<string>>>")
     def cut(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            yield pd.Series([[t[a : min(b, a + 3 * WINDOW // 2)] for a, b in regions(t)] for t in texts])
-
-    found = docs.where(text.rlike(CUE)).select(F.explode(cut(text)).alias("w"))
-    return [r["w"] for r in found.orderBy(F.md5("w"), "w").limit(limit).collect()]
+            found = [[(w, window_kinds(w)) for w in dict.fromkeys(windows_of(t))] for t in texts]
+            yield pd.Series([[{"w": w, "kinds": kinds} for w, kinds in ws if kinds] for ws in found])
+
+    rows = docs.where(text.rlike(CUE)).select(F.inline(cut(text)))
+    found = materialize(rows.groupBy("w").agg(F.first("kinds").alias("kinds")), "pii-windows")  # kinds follow from w
+    first = lambda rows, n: [r["w"] for r in rows.orderBy(F.md5("w"), "w").limit(n).collect()]
+    drawn = [w for k in (*KINDS, "none") for w in first(found.where(F.array_contains("kinds", k)), limit // (len(KINDS) + 1))]
+    return list(dict.fromkeys(drawn + first(found, limit)))[:limit]
 
 
 def find_personal_data(docs: DataFrame, model: Tagger | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -99,3 +99,16 @@ def test_base_spans_stay_and_edges(edges, model):
 def test_empty(nothing):
     assert pii.personal_data_digests(nothing).count() == 0
     assert pii.train(["nothing here"]) is None
+
+
+def test_sample_is_distinct_and_holds_rare_spans(spark):
+    texts = [f"General Public License, version {k}." for k in range(3) for _ in range(700)]
+    texts += [f"room {k} of the old house" for k in range(1500)]
+    texts += [f"write to user{k}@mail.example.com today" for k in range(3)]
+    texts += ["page 1 of 2, line 3, " * 12 + "call +1 (555) 010-2030 now"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    windows = pii.sample_windows(docs)
+    assert len(windows) == len(set(windows)) == pii.SAMPLE
+    spans = [s for w in windows for s in pii.pattern_spans(w)[0]]
+    assert sorted(k for k, _, _ in spans) == ["email"] * 3 + ["phone"]
+    assert pii.windows_of("1 " * 30 + "+1 (555) 010-2030 " * 20)[0].endswith(" ")
