@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from settlelens.session import fresh_dir, materialize
 
-__all__ = ["documents", "fresh_dir", "materialize", "components", "null_safe_text"]
+__all__ = ["documents", "fresh_dir", "materialize", "written", "drop", "components", "null_safe_text"]
 
 # Fixed values of the contracts: words are runs of anything but a space and the controls tab to return.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -17,6 +17,20 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def written(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """Like ``materialize``, with the folder, which ``drop`` deletes once nothing reads it any more."""
+    path = fresh_dir(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def drop(spark: SparkSession, *paths: str) -> None:
+    """Delete scratch folders that this run wrote."""
+    for path in paths:
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def null_safe_text(text: str = "text") -> Column:
     return F.coalesce(F.col(text).cast("string"), F.lit(""))
 

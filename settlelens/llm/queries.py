@@ -14,6 +14,7 @@ from settlelens.llm.mixing import mixed, mixing_sql
 from settlelens.llm.pii import personal_data_digests
 from settlelens.llm.quality import quality_verdicts
 from settlelens.llm.quality_sql import quality_sql
+from settlelens.llm.shallot import cluster_table
 from settlelens.llm.simhash import near_duplicates
 from settlelens.llm.suffix import without_repeats
 from settlelens.llm.tokenfiles import token_digests
@@ -22,6 +23,10 @@ from settlelens.llm.tokenfiles import token_digests
 TOKENIZERS = "/opt/tokenizers"  # where every executor has the vocabulary files
 
 
+def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+
+
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every whole text, and whether decoding them gives the text back."""
     return piece_ids(documents(spark, sf_dir)).select(
@@ -76,6 +81,10 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(documents(spark, sf_dir), f"{TOKENIZERS}/byte_bpe_50k.json")
 
 
+def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster_table(embeddings(spark, sf_dir))
+
+
 OP7_SQL = """
 SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
   coalesce(doc_id = max(doc_id) OVER same, false) AS kept, sha256(coalesce(text, '')) AS text_sha256
@@ -83,7 +92,7 @@ FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))"""
 
 
 def queries():
-    return {f.__name__: f for f in (op1_sentencepiece, op2_quality_rules, op3_mixing, op4_line_dedup, op5_quality_classifier, op6_personal_data, op7_exact_dedup, op8_suffix_dedup, op9_simhash, op10_token_files)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_quality_rules, op3_mixing, op4_line_dedup, op5_quality_classifier, op6_personal_data, op7_exact_dedup, op8_suffix_dedup, op9_simhash, op10_token_files, op13_centroid_clusters)}
 
 
 def oracle_sql() -> dict[str, str]:
