@@ -18,6 +18,7 @@ from settlelens.llm.shallot import cluster_table
 from settlelens.llm.simhash import near_duplicates
 from settlelens.llm.suffix import without_repeats
 from settlelens.llm.tokenfiles import token_digests
+from settlelens.llm.toxicity import toxicity
 from settlelens.llm.whitening import whitened
 
 
@@ -86,6 +87,10 @@ def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitened(embeddings(spark, sf_dir))
 
 
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster_table(embeddings(spark, sf_dir))
 
@@ -97,7 +102,7 @@ FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))"""
 
 
 def queries():
-    return {f.__name__: f for f in (op1_sentencepiece, op2_quality_rules, op3_mixing, op4_line_dedup, op5_quality_classifier, op6_personal_data, op7_exact_dedup, op8_suffix_dedup, op9_simhash, op10_token_files, op11_embedding_whitening, op13_centroid_clusters)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_quality_rules, op3_mixing, op4_line_dedup, op5_quality_classifier, op6_personal_data, op7_exact_dedup, op8_suffix_dedup, op9_simhash, op10_token_files, op11_embedding_whitening, op12_toxicity, op13_centroid_clusters)}
 
 
 def oracle_sql() -> dict[str, str]:
