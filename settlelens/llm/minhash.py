@@ -6,8 +6,15 @@ of 5 in a million, and less above. Candidates are verified on the whole shingle
 the similarity, whatever the bands say.
 
 Links are sought until every two members of a bucket are in one component or have been compared: first each
-member against the smallest id of its bucket, then against the largest, then all members that are in
-different components yet. A large group of copies is one component after the first steps and forms no pairs.
+member against the smallest id of its bucket, then against the largest. Buckets whose members still lie in
+different components are then gone through inside tasks: a bucket is cut into chunks of bounded size, each
+pair of chunks is a task, and the task goes through the pairs of its members, in the first band that two
+members share only, and returns a spanning forest of the links it finds. So no join makes pairs, and a large
+group of which many members share bands but are no copies is spread over tasks by its chunks. Within a task
+the MinHash values (eight bits of each) come before the sets: two members that agree in under 168 of the 240
+are not copies; a pair at similarity 0.8 falls under that with a chance of 5 in 100,000.
+
+Links found elsewhere (``given``) count like links of the first step.
 
 Edge cases. A null text counts as empty; texts without words are copies of each other; a text of fewer words
 than a shingle is one shingle. Rows without an id take no part and get a null component. Rows that share an
@@ -24,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import ArrayType, BooleanType, LongType
+from pyspark.sql.types import ArrayType, BinaryType, BooleanType, LongType, StructType
 
 from settlelens.llm.common import components, materialize, null_safe_text
 
@@ -35,6 +42,10 @@ BANDS = 40
 ROWS = 6
 STEP = 256  # shingles that are hashed by all functions at once
 
+AGREE = 168  # of the MinHash values, for two texts to be compared
+CHUNK_BYTES = 4 << 20  # of a chunk of a bucket, two of which make a task
+
+_BANDED = StructType().add("keys", ArrayType(LongType())).add("values", BinaryType())
 _rng = np.random.default_rng(SEED)
 _XOR = _rng.integers(0, 2**64, BANDS * ROWS, dtype=np.uint64)
 _ODD = _rng.integers(0, 2**64, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
@@ -59,22 +70,38 @@ def similar(a: str, b: str, least: float = SIMILAR) -> bool:
     return both >= least * (len(left) + len(right) - both)
 
 
-def band_keys(text: str) -> np.ndarray:
-    """One key per band, different from band to band."""
+def shingle_codes(text: str) -> np.ndarray:
+    import xxhash
+
+    return np.array([xxhash.xxh64_intdigest(s, SEED) for s in shingles(text)], dtype=np.uint64)
+
+
+def band_keys(text: str) -> tuple[np.ndarray, bytes]:
+    """One key per band, different from band to band, and eight bits of each MinHash value."""
     import xxhash
 
-    hashes = np.array([xxhash.xxh64_intdigest(s, SEED) for s in shingles(text)], dtype=np.uint64)
+    hashes = shingle_codes(text)
     least = np.full(BANDS * ROWS, 2**64 - 1, dtype=np.uint64)
     for at in range(0, len(hashes), STEP):
         np.minimum(least, ((hashes[at : at + STEP, None] ^ _XOR) * _ODD).min(axis=0), out=least)
     rows = least.reshape(BANDS, ROWS)
-    return np.array([xxhash.xxh64_intdigest(row.tobytes(), k) for k, row in enumerate(rows)], dtype=np.uint64).astype(np.int64)
+    keys = np.array([xxhash.xxh64_intdigest(row.tobytes(), k) for k, row in enumerate(rows)], dtype=np.uint64).astype(np.int64)
+    return keys, (least >> np.uint64(40)).astype(np.uint8).tobytes()
+
+
+@pandas_udf(_BANDED)
+def _keys(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    for texts in batches:
+        yield pd.DataFrame([band_keys(t) for t in texts], columns=["keys", "values"])
+
 
+@pandas_udf(BinaryType())
+def _pack(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    import zstandard
 
-@pandas_udf(ArrayType(LongType()))
-def _keys(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    press = zstandard.ZstdCompressor(level=1)
     for texts in batches:
-        yield pd.Series([band_keys(t) for t in texts])
+        yield pd.Series([press.compress(t.encode("utf-8", "surrogatepass")) for t in texts])
 
 
 @pandas_udf(BooleanType())
@@ -94,14 +121,73 @@ def _pairs(a: str, b: str) -> list:
     return [F.least(a, b).alias("u"), F.greatest(a, b).alias("v")]
 
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, component_id) of every row; a component's id is its smallest document id."""
+def chunk_links(pair: pd.DataFrame) -> pd.DataFrame:
+    """Links (u, v) between members of two chunks of a bucket, or of one, that join different components.
+
+    A spanning forest: what the links already found hold together is not compared.
+    """
+    import zstandard
+
+    unpack = zstandard.ZstdDecompressor().decompress
+    band = int(pair["band"].iloc[0])
+    own = pair["low"].iloc[0] == pair["high"].iloc[0]
+    ids, side = pair["doc_id"].to_numpy(), pair["part"].to_numpy() == pair["high"].to_numpy()
+    values = np.frombuffer(b"".join(pair["values"]), np.uint8).reshape(len(ids), -1)
+    keys = np.stack(pair["keys"].to_numpy())
+    label = np.unique(pair["root"].to_numpy(), return_inverse=True)[1]
+    codes: dict[int, np.ndarray] = {}
+
+    def code(i: int) -> np.ndarray:
+        if i not in codes:
+            codes[i] = shingle_codes(unpack(pair["packed"].iloc[i]).decode("utf-8", "surrogatepass"))
+        return codes[i]
+
+    links = []
+    for i in range(len(ids)):
+        others = np.flatnonzero(label != label[i])
+        others = others[others > i] if own else others[side[others] & ~side[i]]
+        others = others[(values[others] == values[i]).sum(axis=1) >= AGREE]
+        others = others[(keys[others] == keys[i]).argmax(axis=1) == band]
+        for j in others.tolist():
+            if label[i] == label[j]:
+                continue
+            a, b = code(i), code(j)
+            if min(len(a), len(b)) < SIMILAR * max(len(a), len(b)):
+                continue
+            either = len(np.unique(np.concatenate((a, b))))
+            if len(a) + len(b) - either >= SIMILAR * either:
+                links.append((ids[i], ids[j]))
+                label[label == label[j]] = label[i]
+    return pd.DataFrame(links, columns=["u", "v"], dtype="int64")
+
+
+def _links_within_buckets(open_: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links between members (band, key, doc_id, root) of open buckets, dealt to tasks by pairs of chunks."""
+    used = texts.join(open_.select("doc_id").distinct(), "doc_id", "left_semi")
+    used = materialize(used.select("doc_id", _keys("text").alias("m"), _pack("text").alias("packed")).select("doc_id", "m.*", "packed"), "minhash-packed")
+    rows = open_.join(used, "doc_id").where(F.get("keys", F.col("band")) == F.col("key"))
+    sizes = rows.groupBy("key").agg(F.ceil(F.sum(F.length("packed") + 1000) / CHUNK_BYTES).cast("int").alias("parts"))
+    sizes = materialize(sizes, "minhash-sizes")
+    dealt = rows.join(sizes, "key").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = dealt.withColumns({"low": F.least("part", "other"), "high": F.greatest("part", "other")})
+    return dealt.groupBy("key", "low", "high").applyInPandas(chunk_links, "u bigint, v bigint")
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", given: DataFrame | None = None) -> DataFrame:
+    """(doc_id, component_id) of every row; a component's id is its smallest document id.
+
+    ``given`` are links (u, v) between ids that hold whatever their similarity is.
+    """
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), null_safe_text(text_col).alias("text"))
     texts = rows.where("doc_id IS NOT NULL")
-    bands = materialize(texts.select("doc_id", F.explode(_keys("text")).alias("key")), "minhash-bands")
+    keys = texts.select("doc_id", _keys("text")["keys"].alias("keys"))
+    bands = materialize(keys.select("doc_id", F.posexplode("keys").alias("band", "key")), "minhash-bands")
     shared = bands.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
     members = materialize(bands.join(shared, "key"), "minhash-members")
-    tried, links, roots = None, None, None
+    tried, links, roots = None, given, None
+    if given is not None:
+        roots = materialize(components(given, "minhash-edges").select("node", "root"), "minhash-roots-given")
     for step in ("low", "high", "all"):
         open_ = members
         if roots is not None:
@@ -110,22 +196,23 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             # Buckets that are one component already are done.
             apart = open_.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("key")
             open_ = materialize(open_.join(apart, "key"), f"minhash-open-{step}")
-        if step == "low":
-            pairs = open_.where("doc_id <> low").select(*_pairs("doc_id", "low"))
-        elif step == "high":
-            ends = open_.where("doc_id = high").select("key", F.col("root").alias("high_root")).distinct()
-            pairs = open_.join(ends, "key").where("root <> high_root").select(*_pairs("doc_id", "high"))
+        if step == "all":
+            found = _links_within_buckets(open_.select("band", "key", "doc_id", "root"), texts)
         else:
-            other = open_.select("key", F.col("doc_id").alias("other"), F.col("root").alias("other_root"))
-            pairs = open_.join(other, "key").where("doc_id < other AND root <> other_root").select(*_pairs("doc_id", "other"))
-        pairs = pairs.distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["u", "v"], "left_anti")
-        pairs = materialize(pairs, f"minhash-pairs-{step}")
-        tried = pairs if tried is None else tried.union(pairs)
-        found = _verified(pairs, texts, f"minhash-links-{step}")
+            if step == "low":
+                pairs = open_.where("doc_id <> low").select(*_pairs("doc_id", "low"))
+            else:
+                ends = open_.where("doc_id = high").select("key", F.col("root").alias("high_root")).distinct()
+                pairs = open_.join(ends, "key").where("root <> high_root").select(*_pairs("doc_id", "high"))
+            pairs = pairs.distinct()
+            if tried is not None:
+                pairs = pairs.join(tried, ["u", "v"], "left_anti")
+            tried = materialize(pairs, f"minhash-pairs-{step}")
+            found = _verified(tried, texts, f"minhash-links-{step}")
         links = found if links is None else links.union(found)
         roots = materialize(components(links, "minhash-edges").select("node", "root"), f"minhash-roots-{step}")
+        # The stars around the roots hold the same components as all links so far.
+        links = roots.select(F.col("node").alias("u"), F.col("root").alias("v"))
     return rows.join(roots, F.col("doc_id") == F.col("node"), "left").select(
         "doc_id", F.coalesce("root", "doc_id").alias("component_id")
     )

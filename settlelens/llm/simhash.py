@@ -3,11 +3,11 @@
 Fingerprints: words of the text (A-Z lower-cased) form shingles; a bit is set when over half of the
 shingle hashes have it. Equal fingerprints are collapsed first, so that exact copies cost one row.
 
-Join: two fingerprints within ``budget`` bits have at most half of the budget in one of their 32-bit
-halves. So two tries are joined with themselves, one over the fingerprint and one over its halves
-swapped, each with the smaller allowance for the first 32 levels. A pair of trie nodes is the unit of
-work: fingerprints are dealt to the pairs of nodes of a fixed depth that are within the allowance, and a
-task goes down both nodes together, adds up differing bits and drops a pair as soon as it exceeds the
+Join: the bits are cut into one block more than the ``budget``; two fingerprints within it have at least
+one block equal. So there is a trie for each block, over the fingerprints rotated until the block leads, and
+each is joined with itself along pairs of nodes that are equal down to the end of the block. Fingerprints are
+dealt by trie and by the node they lie under at a depth within the block, one row for each trie. A task
+goes down pairs of nodes together, adds up differing bits and drops a pair as soon as it exceeds the
 budget, or when everything below both nodes is in one component already. Tasks return a spanning forest
 instead of all pairs; the forests are joined to components by distributed star contraction.
 
@@ -16,7 +16,8 @@ more than two chunks.
 
 Edge cases. A null text counts as empty; texts without words share the fingerprint zero, linked like any
 other; a text of fewer words than a shingle is hashed as one shingle. Repeated rows each get a row. Rows
-without an id take part as copies and get the smallest id of their component, null if it has none. An
+without an id take part like any other, also as the only link between others, and get the smallest id of
+their component, null if it has none. An
 empty table gives an empty result. Further columns are not read.
 """
 
@@ -35,10 +36,8 @@ from settlelens.llm.common import components, materialize, null_safe_text
 SEED = 42
 SHINGLE = 4
 BUDGET = 4
-HALF = 32
 NODE_TARGET = 4096  # fingerprints of a trie node that is dealt out whole
 CHUNK = 32_768  # most fingerprints of one side of a task
-MAX_DEPTH = 16  # so the table of node sizes has at most 2 * 2**16 entries
 DIRECT = 32  # pairs under two nodes that are compared at once instead of going further down
 
 
@@ -76,52 +75,37 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), simhash(null_safe_text(text_col)).alias("fp"))
 
 
-def _swap(fp: np.ndarray) -> np.ndarray:
-    return (fp << np.uint64(HALF)) | (fp >> np.uint64(HALF))
+def _blocks(budget: int) -> list[tuple[int, int]]:
+    """(first bit, bits) of each block, as even as can be; any pair within the budget has one of them equal."""
+    n = min(budget + 1, 64)
+    return [(64 * k // n, 64 * (k + 1) // n - 64 * k // n) for k in range(n)]
 
 
-def _allowances(budget: int) -> tuple[int, int]:
-    """For the first half of the trie and of the swapped trie: one of them holds for any pair in the budget."""
-    return budget // 2, (budget - 1) // 2
+def _rotated(fp: np.ndarray, by: int) -> np.ndarray:
+    return (fp << np.uint64(by)) | (fp >> np.uint64(64 - by)) if by else fp
 
 
-def _masks(depth: int, allowance: int) -> np.ndarray:
-    every = np.arange(1 << depth, dtype=np.int64)
-    return every[np.bitwise_count(every) <= allowance]
-
-
-def _deal(depth: int, chunks: list[np.ndarray], allowances):
-    """Rows (trie, pair key, side, fp, rep) for every node pair and chunk pair that a fingerprint belongs to."""
+def _deal(depths: list[int], chunks: dict[tuple[int, int], int], blocks: list[tuple[int, int]]):
+    """Rows (trie, node, p1, p2, side, fp, rep): of each trie one, or one for each pair of chunks of a large node."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             fp, rep = frame["fp"].to_numpy().astype(np.uint64), frame["rep"].to_numpy()
-            for trie in (0, 1):
-                if allowances[trie] < 0:
-                    continue
-                own = fp if trie == 0 else _swap(fp)
+            for trie, (first, _) in enumerate(blocks):
+                own, depth = _rotated(fp, first), depths[trie]
                 node = (own >> np.uint64(64 - depth)).astype(np.int64) if depth else np.zeros(len(own), np.int64)
+                parts = np.array([chunks.get((trie, n), 1) for n in node.tolist()], dtype=np.int64)
                 # Any even spread of a node over its chunks will do, as long as all tasks agree on it.
-                mixed = (own * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)
-                part = (mixed % chunks[trie][node].astype(np.uint64)).astype(np.int64)
-                for mask in _masks(depth, allowances[trie]):
-                    other = node ^ mask
-                    first = other > node
-                    for q in range(int(chunks[trie].max())):
-                        use = q < chunks[trie][other]
-                        if not use.any():
-                            continue
-                        a, b = node[use], other[use]
-                        pa, pb = part[use], np.full(use.sum(), q)
-                        low = first[use] | ((a == b) & (pa <= pb))
-                        yield pd.DataFrame(
-                            {
-                                "trie": trie,
-                                "n1": np.where(low, a, b), "n2": np.where(low, b, a),
-                                "p1": np.where(low, pa, pb), "p2": np.where(low, pb, pa),
-                                "side": np.where(low, 0, 1), "fp": fp[use].astype(np.int64), "rep": rep[use],
-                            }
-                        )
+                part = (((own * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)) % parts.astype(np.uint64)).astype(np.int64)
+                for q in range(int(parts.max(initial=1))):
+                    use = q < parts
+                    p = part[use]
+                    yield pd.DataFrame(
+                        {
+                            "trie": trie, "node": node[use], "p1": np.minimum(p, q), "p2": np.maximum(p, q),
+                            "side": np.where(p <= q, 0, 1), "fp": fp[use].astype(np.int64), "rep": rep[use],
+                        }
+                    )
 
     return run
 
@@ -150,10 +134,11 @@ def _ends_of_runs(label: np.ndarray) -> np.ndarray:
     return last[np.searchsorted(last, np.arange(n), side="right")]
 
 
-def trie_links(a: np.ndarray, b: np.ndarray | None, depth: int, allowance: int, budget: int) -> np.ndarray:
-    """Component labels over the fingerprints of two trie nodes (one node if b is None), linked within budget.
+def trie_links(a: np.ndarray, b: np.ndarray | None, depth: int, budget: int, equal: int = 0) -> np.ndarray:
+    """Component labels over the fingerprints under a trie node, those of ``a`` or those of ``a`` against ``b``.
 
-    ``a`` and ``b`` are sorted and distinct; each node lies at ``depth``. Labels are indexes into a, then b.
+    Pairs within ``budget`` that agree in the ``equal`` leading bits are linked; others within it may be.
+    ``a`` and ``b`` are sorted and distinct; the node lies at ``depth``. Labels are indexes into a, then b.
     """
     same = b is None
     values = a if same else np.concatenate((a, b))
@@ -162,15 +147,14 @@ def trie_links(a: np.ndarray, b: np.ndarray | None, depth: int, allowance: int,
     for level in range(depth, 64):
         bit = ((values >> np.uint64(63 - level)) & np.uint64(1)).astype(np.int32)
         cum[level] = np.concatenate(([0], np.cumsum(bit, dtype=np.int32)))
-    top = int(np.bitwise_count((a[0] ^ (a if same else b)[0]) >> np.uint64(64 - depth))) if depth else 0
     label = np.arange(n)
     # Rising radius: what is joined at a small radius lets whole subtrees be skipped at the next.
-    for radius in range(top, budget + 1):
+    for radius in range(budget + 1):
         run_end = _ends_of_runs(label)
         if same:
             state = [np.array([x]) for x in (0, n, 0, n, 0)]
         else:
-            state = [np.array([x]) for x in (0, na, na, n, top)]
+            state = [np.array([x]) for x in (0, na, na, n, 0)]
         for level in range(depth, 65):
             alo, ahi, blo, bhi, diff = state
             small = (ahi - alo) * (bhi - blo) <= DIRECT if level < 64 else np.ones(len(alo), bool)
@@ -186,8 +170,7 @@ def trie_links(a: np.ndarray, b: np.ndarray | None, depth: int, allowance: int,
             c = cum[level]
             amid, bmid = ahi - (c[ahi] - c[alo]), bhi - (c[bhi] - c[blo])
             own = (alo == blo) & (ahi == bhi)
-            allowed = min(radius, allowance) if level < HALF else radius
-            cross = diff + 1 <= allowed
+            cross = (diff + 1 <= radius) & (level >= equal)
             parts = (
                 (alo, amid, blo, bmid, diff, np.ones(len(alo), bool)),
                 (amid, ahi, bmid, bhi, diff, np.ones(len(alo), bool)),
@@ -224,17 +207,16 @@ def _compare(values: np.ndarray, state: list[np.ndarray], radius: int) -> tuple[
     return np.concatenate(found_u), np.concatenate(found_v)
 
 
-def _join_pair(depth: int, allowances, budget: int):
+def _join_pair(depths: list[int], blocks: list[tuple[int, int]], budget: int):
     def run(pair: pd.DataFrame) -> pd.DataFrame:
         pair = pair.drop_duplicates(["side", "fp"])
         trie = int(pair["trie"].iloc[0])
-        fp = pair["fp"].to_numpy().astype(np.uint64)
-        own = fp if trie == 0 else _swap(fp)
+        first, bits = blocks[trie]
+        own = _rotated(pair["fp"].to_numpy().astype(np.uint64), first)
         rep, side = pair["rep"].to_numpy(), pair["side"].to_numpy()
-        same = (pair["n1"].iloc[0] == pair["n2"].iloc[0]) and (pair["p1"].iloc[0] == pair["p2"].iloc[0])
-        if same:
+        if pair["p1"].iloc[0] == pair["p2"].iloc[0]:
             order = np.argsort(own)
-            label = trie_links(own[order], None, depth, allowances[trie], budget)
+            label = trie_links(own[order], None, depths[trie], budget, bits)
         else:
             left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
             left, right = left[np.argsort(own[left])], right[np.argsort(own[right])]
@@ -242,7 +224,7 @@ def _join_pair(depth: int, allowances, budget: int):
             if not len(left) or not len(right):
                 label = np.arange(len(order))
             else:
-                label = trie_links(own[left], own[right], depth, allowances[trie], budget)
+                label = trie_links(own[left], own[right], depths[trie], budget, bits)
         rep = rep[order]
         tied = label != np.arange(len(label))
         return pd.DataFrame({"u": rep[tied], "v": rep[label[tied]]})
@@ -255,26 +237,20 @@ def near_links(classes: DataFrame, budget: int = BUDGET) -> DataFrame:
 
     ``classes`` has one row per distinct fingerprint: fp and rep, its representative.
     """
-    n = classes.count()
-    depth = min(MAX_DEPTH, max(0, int(n / NODE_TARGET).bit_length()))
-    allowances = _allowances(budget)
-    # Sizes of the nodes at the dealing depth: at most 2**depth rows for each trie.
-    node = [
-        F.shiftrightunsigned("fp", 64 - depth) if depth else F.lit(0).cast("bigint"),
-        F.shiftrightunsigned(F.shiftleft("fp", HALF).bitwiseOR(F.shiftrightunsigned("fp", HALF)), 64 - depth)
-        if depth
-        else F.lit(0).cast("bigint"),
-    ]
-    chunks = []
-    for expr in node:
-        sizes = np.ones(1 << depth, dtype=np.int64)
-        for at, size in classes.groupBy(expr.alias("node")).count().where(F.col("count") > CHUNK).collect():
-            sizes[at] = -(-size // CHUNK)
-        chunks.append(sizes)
-    dealt = classes.mapInPandas(
-        _deal(depth, chunks, allowances), "trie int, n1 bigint, n2 bigint, p1 bigint, p2 bigint, side int, fp bigint, rep bigint"
-    )
-    return dealt.groupBy("trie", "n1", "n2", "p1", "p2").applyInPandas(_join_pair(depth, allowances, budget), "u bigint, v bigint")
+    blocks = _blocks(budget)
+    wanted = max(0, int(classes.count() / NODE_TARGET).bit_length())
+    depths = [min(bits, wanted) for _, bits in blocks]
+
+    def node(first: int, depth: int):
+        turned = F.shiftleft("fp", first).bitwiseOR(F.shiftrightunsigned("fp", 64 - first)) if first else F.col("fp")
+        return F.shiftrightunsigned(turned, 64 - depth) if depth else F.lit(0).cast("bigint")
+
+    places = [F.struct(F.lit(k).alias("trie"), node(first, depths[k]).alias("node")) for k, (first, _) in enumerate(blocks)]
+    sizes = classes.select(F.explode(F.array(*places)).alias("at")).groupBy("at").count().where(F.col("count") > CHUNK)
+    # As many rows as there are blocks times nodes of a block at most, whatever the number of fingerprints.
+    chunks = {(r["at"]["trie"], r["at"]["node"]): -(-r["count"] // CHUNK) for r in sizes.collect()}
+    dealt = classes.mapInPandas(_deal(depths, chunks, blocks), "trie int, node bigint, p1 bigint, p2 bigint, side int, fp bigint, rep bigint")
+    return dealt.groupBy("trie", "node", "p1", "p2").applyInPandas(_join_pair(depths, blocks, budget), "u bigint, v bigint")
 
 
 def near_duplicates(
@@ -282,12 +258,13 @@ def near_duplicates(
 ) -> DataFrame:
     """(doc_id, fingerprint, component_id) of every row; a component's id is its smallest document id."""
     prints = materialize(fingerprints(docs, id_col, text_col, shingle), "simhash-prints")
-    groups = prints.groupBy("fp").agg(F.min("doc_id").alias("low"))
-    groups = materialize(groups, "simhash-classes")
-    classes = groups.where("low IS NOT NULL").select("fp", F.col("low").alias("rep"))
-    roots = components(near_links(classes, budget), "simhash-links")
-    merged = groups.join(roots, groups["low"] == roots["node"], "left")
-    named = materialize(merged.select("fp", F.coalesce("root", "low").alias("component_id")), "simhash-components")
+    groups = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("low")), "simhash-classes")
+    # Fingerprints are linked by themselves, so that those of rows without an id hold others together as well.
+    roots = components(near_links(groups.select("fp", F.col("fp").alias("rep")), budget), "simhash-links")
+    merged = groups.join(roots, groups["fp"] == roots["node"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
+    merged = materialize(merged, "simhash-merged")
+    ids = merged.groupBy("root").agg(F.min("low").alias("component_id"))
+    named = materialize(merged.join(ids, "root").select("fp", "component_id"), "simhash-components")
     return prints.join(named, "fp").select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )

@@ -53,6 +53,38 @@ def test_near_copies_against_brute_force(spark):
         assert [got[i] for i in range(len(texts))] == want and len(set(want)) < len(texts)
 
 
+def test_a_hot_bucket_is_dealt_in_chunks(spark, monkeypatch):
+    """Texts that share half or so of their words with all others, some with four fifths of them."""
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(400)]
+    texts = []
+    for k in range(160):
+        own = list(base)
+        start = rng.randrange(0, 300)
+        own[start : start + 60] = [f"x{k}y{i}" for i in range(60)]
+        texts.append(" ".join(own))
+        if k % 4 == 0:
+            own[rng.randrange(400)] = "other"
+            texts.append(" ".join(own))
+    want = plain_groups(texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    calls = []
+    real = minhash._links_within_buckets
+    monkeypatch.setattr(minhash, "_links_within_buckets", lambda *a: calls.append(1) or real(*a))
+    for size in (minhash.CHUNK_BYTES, 40_000):
+        monkeypatch.setattr(minhash, "CHUNK_BYTES", size)
+        got = {r["doc_id"]: r["component_id"] for r in minhash.near_copies(docs).collect()}
+        assert [got[i] for i in range(len(texts))] == want
+    assert 1 < len(set(want)) < len(texts) and len(calls) == 2
+
+
+def test_given_links_hold(spark):
+    texts = ["a b c d e f", "u v w x y z", "k l m n o p"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    given = spark.createDataFrame([(2, 0), (None, 1)], "u bigint, v bigint")
+    assert {(r["doc_id"], r["component_id"]) for r in minhash.near_copies(docs, given=given).collect()} == {(0, 0), (1, 1), (2, 0)}
+
+
 def test_stage_removes_copies_beyond_four_bits(spark):
     texts = planted()
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")

@@ -47,7 +47,7 @@ def clustered(seed, n):
 def test_one_trie_with_the_whole_budget():
     for seed in range(5):
         values = clustered(seed, 30)
-        assert list(simhash.trie_links(values, None, 0, 4, 4)) == plain_components(values)
+        assert list(simhash.trie_links(values, None, 0, 4)) == plain_components(values)
 
 
 def test_dealt_node_pairs_and_chunks(spark, monkeypatch):
@@ -80,5 +80,24 @@ def test_edges_against_brute_force(edges):
     assert [r["component_id"] for r in rows] == [least[g] for g in groups]
 
 
+def test_rows_without_an_id_link_others(spark, monkeypatch):
+    """B lies within four bits of A and of C, A and C further apart."""
+    prints = spark.createDataFrame([(1, 0b1111), (None, 0), (2, 0b11110000), (9, -1), (None, 1 << 40)], "doc_id bigint, fp bigint")
+    monkeypatch.setattr(simhash, "fingerprints", lambda *_: prints)
+    got = {(r["doc_id"], r["fingerprint"]): r["component_id"] for r in simhash.near_duplicates(prints).collect()}
+    assert got == {
+        (1, "000000000000000f"): 1, (None, "0000000000000000"): 1, (2, "00000000000000f0"): 1,
+        (9, "f" * 16): 9, (None, "0000010000000000"): 1,
+    }
+
+
+def test_other_budgets(spark):
+    values = clustered(4, 20)
+    classes = spark.createDataFrame(pd.DataFrame({"fp": values.astype(np.int64), "rep": np.arange(len(values))}))
+    for budget in (0, 1, 7):
+        links = simhash.near_links(classes, budget).toPandas()
+        assert list(simhash._labels(len(values), links.u.to_numpy(), links.v.to_numpy())) == plain_components(values, budget)
+
+
 def test_empty(nothing):
     assert simhash.near_duplicates(nothing).count() == 0
