@@ -27,6 +27,7 @@ An empty table gives an empty result. Further columns are not read.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -35,7 +36,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import ArrayType, StringType
 
 from settlelens.llm.common import drop, null_safe_text, written
 
@@ -46,6 +46,7 @@ LASSO = 0.5
 REFIT = 0.1
 SWAP_PENALTY = 20.0
 STEPS = 500
+PIECE = 256  # texts whose features are counted at a time
 CUTOFF = 0.7
 FOLDS, HELD_OUT = 3, 1
 
@@ -172,9 +173,18 @@ def fold(id_col: str = "doc_id", folds: int = FOLDS) -> Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % folds
 
 
-@pandas_udf(ArrayType(StringType()))
-def _features(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: sorted(features(t)))
+def _feature_counts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(feature, texts, toxic texts) of a few hundred texts at a time."""
+    for frame in frames:
+        for at in range(0, len(frame), PIECE):
+            part = frame.iloc[at : at + PIECE]
+            texts, toxic = Counter(), Counter()
+            for text, mark in zip(part["body"], part["toxic"], strict=True):
+                found = features(text)
+                texts.update(found)
+                if mark:
+                    toxic.update(found)
+            yield pd.DataFrame({"feature": list(texts), "c": list(texts.values()), "a": [toxic[f] for f in texts]})
 
 
 def _vocabulary(sample: DataFrame, vocabulary: int, least: int) -> list[str]:
@@ -183,7 +193,8 @@ def _vocabulary(sample: DataFrame, vocabulary: int, least: int) -> list[str]:
     n, k = whole["n"], whole["k"] or 0
     if not 0 < k < n:
         return []
-    counts = sample.select("toxic", F.explode("features").alias("feature")).groupBy("feature").agg(F.count("*").alias("c"), F.sum("toxic").alias("a"))
+    counts = sample.select("toxic", "body").mapInPandas(_feature_counts, "feature string, c bigint, a bigint")
+    counts = counts.groupBy("feature").agg(F.sum("c").alias("c"), F.sum("a").alias("a"))
 
     def cell(found, rows, columns):
         return F.when(found > 0, found * F.log(found * F.lit(float(n)) / (rows * columns))).otherwise(0.0)
@@ -211,24 +222,24 @@ def train(
     spark = docs.sparkSession
     known = labels.where(f"{id_col} IS NOT NULL AND toxic IS NOT NULL").groupBy(id_col).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     known = known.where(fold(id_col) != HELD_OUT)
-    texts = docs.select(F.col(id_col), null_safe_text(text_col).alias("body"))
+    body = null_safe_text(text_col)
+    texts = docs.select(F.col(id_col), F.sha2(body.cast("binary"), 256).alias("digest"), body.alias("body"))
     key = F.md5(F.col(id_col).cast("string").cast("binary"))
-    # Digests first: the order and the limit see no texts, and copies are one row.
-    joined = texts.join(known, id_col)
-    distinct = joined.groupBy(F.sha2(F.col("body").cast("binary"), 256).alias("digest")).agg(
+    # Digests alone are shuffled and ordered; copies are one row.
+    distinct = texts.select(id_col, "digest").join(known, id_col).groupBy("digest").agg(
         F.max("toxic").alias("toxic"), F.min(F.struct(key.alias("key"), F.col(id_col).alias("id"))).alias("first")
     )
     chosen = distinct.orderBy("first", "digest").limit(sample).select(F.col("first")["id"].alias(id_col), "digest", "toxic")
     chosen, chosen_path = written(chosen, "toxicity-chosen")
-    found = texts.join(chosen, id_col).where(F.sha2(F.col("body").cast("binary"), 256) == F.col("digest"))
-    once = found.dropDuplicates(["digest"]).select("digest", "toxic", "body")
-    table, path = written(once.withColumn("features", _features("body")), "toxicity-sample")
+    # At most ``sample`` rows of an id, a digest and a label are broadcast, so that no text is shuffled but those chosen.
+    found = texts.join(F.broadcast(chosen), [id_col, "digest"])
+    table, path = written(found.dropDuplicates(["digest"]).select("digest", "toxic", "body"), "toxicity-sample")
     names = _vocabulary(table, vocabulary, least)
     number = {f: i for i, f in enumerate(names)}
 
     @pandas_udf("array<int>")
     def numbers(column: pd.Series) -> pd.Series:
-        return column.map(lambda found: [number[f] for f in found if f in number])
+        return column.map(lambda text: [number[f] for f in sorted(features(text) & number.keys())])
 
     @pandas_udf("array<array<int>>")
     def changes(column: pd.Series) -> pd.Series:
@@ -241,11 +252,9 @@ def train(
 
         return column.map(one)
 
-    terms = sorted({t for g in identity for t in g})
-    mentions = F.array_size(F.array_intersect("features", F.array(*[F.lit(t) for t in terms]))) > 0 if terms else F.lit(False)
     # At most ``sample`` rows of at most ``vocabulary`` numbers.
-    rows = table.select("digest", "toxic", numbers("features").alias("numbers")).orderBy("digest").collect()
-    swapped = table.where(mentions).select("digest", F.explode(changes("body")).alias("change"))
+    rows = table.select("digest", "toxic", numbers("body").alias("numbers")).orderBy("digest").collect()
+    swapped = table.select("digest", F.explode(changes("body")).alias("change"))
     swapped = swapped.orderBy(F.xxhash64("digest", "change"), "digest", "change").limit(sample).collect()
     pairs = [{-k - 1 if k < 0 else k: -1.0 if k < 0 else 1.0 for k in r["change"]} for r in swapped]
     drop(spark, chosen_path, path)
