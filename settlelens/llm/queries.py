@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,9 +23,6 @@ from settlelens.llm.toxicity import toxicity
 from settlelens.llm.whitening import whitened
 
 
-TOKENIZERS = "/opt/tokenizers"  # where every executor has the vocabulary files
-
-
 def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/embeddings.parquet")
 
@@ -37,7 +35,7 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def piece_ids(docs: DataFrame, model: str = f"{TOKENIZERS}/piece_bpe_32k.model") -> DataFrame:
+def piece_ids(docs: DataFrame, model: str = public_tokenizers.path("piece_bpe_32k.model")) -> DataFrame:
     """``docs`` with ``ids`` and ``decoded``."""
     both = docs.withColumn("pieces", spm.encode_and_decode(null_safe_text(), model))
     return both.withColumns({"ids": F.col("pieces.ids"), "decoded": F.col("pieces.decoded")}).drop("pieces")
@@ -80,7 +78,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_digests(documents(spark, sf_dir), f"{TOKENIZERS}/byte_bpe_50k.json")
+    return token_digests(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:

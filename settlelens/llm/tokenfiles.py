@@ -50,7 +50,7 @@ LEVEL = 3
 UNIT = 8  # bits of a plane: bytes of ids compress better than single bits, which zstandard cannot model
 END_ID = 0
 CACHE = 300_000  # parts of text in each of the two tables of known ones of a Python worker
-GROUP = 256  # documents whose unknown parts are encoded in one call
+GROUP = 1024  # documents whose unknown parts are encoded in one call
 
 _DOUBLE_SPACE = re.compile(r"\s\s")
 _CUT = re.compile(r"(?<=\S)(?= \S)")
@@ -235,11 +235,14 @@ class Encoder:
             self.older, self.known = self.known, {}
         known, older = self.known, self.older
         cut = [self.cut(t) if t else [] for t in texts]
+        got = [list(map(known.get, parts)) for parts in cut]
+        gaps = [[k for k, g in enumerate(ids) if g is None] for ids in got]
+        found = {parts[k] for parts, where in zip(cut, gaps, strict=True) for k in where}
+        again = found & older.keys()
+        known.update(zip(again, map(older.__getitem__, again), strict=True))
         lacking, halves = [], []
-        for p in set().union(*cut).difference(known):
-            if p in older:
-                known[p] = older[p]
-            elif pair := self.finer(p):
+        for p in found - again:
+            if p[-1:] in _PUNCTUATION and (pair := self.finer(p)):
                 halves.append((p, pair))
             else:
                 lacking.append(p)
@@ -252,7 +255,10 @@ class Encoder:
         known.update(zip(lacking, self._raw(lacking), strict=True))
         for p, (stem, tail) in halves:
             known[p] = known[stem] + known[tail]
-        return [np.frombuffer(b"".join(map(known.__getitem__, parts)), np.uint32) for parts in cut]
+        for parts, ids, where in zip(cut, got, gaps, strict=True):
+            for k in where:
+                ids[k] = known[parts[k]]
+        return [np.frombuffer(b"".join(ids), np.uint32) for ids in got]
 
 
 @lru_cache(maxsize=2)

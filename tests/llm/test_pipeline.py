@@ -1,9 +1,9 @@
 import corpus_pipeline
 import pandas as pd
 
+import public_tokenizers
 from settlelens.llm.mixing import mixing_sql
 from settlelens.llm.quality_sql import quality_sql
-from settlelens.llm.queries import TOKENIZERS
 from settlelens.llm.sentencepiece import Pieces
 from tests.llm.conftest import SMALL, duck
 from tests.llm.test_simhash import plain_components, plain_fingerprint
@@ -18,7 +18,7 @@ def test_against_brute_force(spark):
     docs = docs[[g == i for i, g in enumerate(groups)]]
     mixed = duck(mixing_sql(), {"documents": docs})
     docs = docs[docs.doc_id.isin(mixed[mixed.kept].doc_id)]
-    pieces = Pieces(f"{TOKENIZERS}/piece_bpe_32k.model")
+    pieces = Pieces(public_tokenizers.path("piece_bpe_32k.model"))
     want = {i: pieces.encode(t).tolist() for i, t in zip(docs.doc_id, docs.text, strict=True)}
     got = corpus_pipeline.run(spark, SMALL).collect()
     assert {r["doc_id"]: r["ids"] for r in got} == want and all(r["exact"] for r in got)

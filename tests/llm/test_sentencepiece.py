@@ -1,12 +1,13 @@
+import public_tokenizers
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 from sentencepiece import sentencepiece_model_pb2
 
 from settlelens.llm import sentencepiece as spm
-from settlelens.llm.queries import TOKENIZERS, piece_ids
+from settlelens.llm.queries import piece_ids
 
-MODEL = f"{TOKENIZERS}/piece_bpe_32k.model"
+MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
 
 @pytest.fixture(scope="module")

@@ -3,13 +3,13 @@ import random
 import zlib
 
 import numpy as np
+import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
 from settlelens.llm import tokenfiles
-from settlelens.llm.queries import TOKENIZERS
 
-FILE = f"{TOKENIZERS}/byte_bpe_50k.json"
+FILE = public_tokenizers.path("byte_bpe_50k.json")
 
 
 @pytest.fixture(scope="module")
