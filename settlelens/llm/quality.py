@@ -1,12 +1,19 @@
 """Quality rules with risk-controlled cutoffs, on built-in functions only.
 
-Each rule compares an integer statistic of a text with a cutoff from a fixed grid. A cutoff is certified
-for a stratum when the labelled good documents there show, by an exact binomial bound, that it rejects at
-most the allowed share of good documents; the error level is divided by all (stratum, rule, cutoff) tests
-(Bonferroni), so choosing among certified cutoffs afterwards keeps the guarantee. Of the certified cutoffs
-of a rule the one with the best balance (labelled bad minus labelled good documents rejected) is used, the
-most lenient on ties, and none at all when no balance is positive. The grid is fixed beforehand, so all
-labelled rows serve as the holdout; they are only counted, in one grouped aggregation.
+Each rule compares an integer statistic of a text with a cutoff from a fixed grid. The (rule, cutoff) pairs
+make a path of ever stricter settings, fixed beforehand (``path``): each step adds one pair to those before,
+the most lenient cutoff of every rule first. For a stratum a setting is certified when the labelled good
+documents there show, by an exact binomial bound, that it rejects at most the allowed share of good
+documents, all its rules together. Settings are tested in the order of the path and tests stop at the first
+that fails; as the settings are nested and their order is fixed, each may be tested at the whole level of its
+stratum (fixed-sequence testing), and the level is the error divided by the number of strata (Bonferroni).
+So choosing among certified settings afterwards keeps the guarantee. The one with the best balance
+(labelled bad minus labelled good documents rejected) is used, the most lenient on ties, and none at all
+when no balance is positive. The path is fixed beforehand, so all labelled rows serve as the holdout; they
+are only counted, in one grouped aggregation by the first step that rejects a document.
+
+With a risk of 5 percent and an error of 5 percent over four strata, 86 good labels that no step rejects are
+enough to certify it.
 
 Edge cases. A null text has no words. A null stratum is a stratum of its own. A text of under ten words
 fails the base rule. Rows without a label, labels without a document and null labels do not count; a
@@ -21,6 +28,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from settlelens.llm.common import WORD, materialize, null_safe_text
 
@@ -51,12 +59,12 @@ RULES = (
     Rule("symbols", "n_symbols", "n_words", 100, (5, 10, 20, 30, 50, 80)),
     Rule("dup_lines", "n_dup_lines", "n_lines", 100, (10, 20, 30, 40, 50, 70)),
     Rule("repeats", "n_repeat_words", "n_words", 100, (2, 5, 10, 15)),
-    Rule("long_words", "word_chars", "n_words", 10, (90, 100, 120, 150)),
-    Rule("short", "n_words", None, 1, (50, 30, 20, 15)),
     Rule("capitals", "n_upper", "word_chars", 100, (20, 30, 50, 70)),
     Rule("exclaims", "n_exclaims", "n_words", 100, (10, 20, 50, 80)),
+    Rule("long_words", "word_chars", "n_words", 10, (90, 100, 120, 150)),
+    Rule("short", "n_words", None, 1, (50, 30, 20, 15)),
 )
-RISK = 0.05  # share of good documents of a stratum that the certified rules may reject, all rules together
+RISK = 0.05  # share of good documents of a stratum that its certified setting may reject
 ERROR = 0.05  # chance that the bound fails in any stratum
 
 
@@ -132,41 +140,37 @@ def acceptance_number(n: Column, share: float, level: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(0).cast("bigint"), upto), start, step, lambda a: a["best"])
 
 
-def certified_cutoffs(
-    stats: DataFrame, labels: DataFrame, stratum: str = "lang", rules=RULES, risk: float = RISK, error: float = ERROR
-) -> DataFrame:
-    """(stratum, rule, cutoff) of the chosen certified cutoffs, at most one per stratum and rule.
+def path(rules=RULES) -> list[tuple[Rule, int]]:
+    """The steps: the most lenient cutoff of every rule in turn, then the next of each, and so on."""
+    depth = max(len(r.cutoffs) for r in rules)
+    return [(r, r.cutoffs[-1 - level]) for level in range(depth) for r in rules if level < len(r.cutoffs)]
+
+
+def first_step(rules=RULES) -> Column:
+    """The number of the first step that rejects a document, null if none does."""
+    return F.coalesce(*[F.when(F.expr(r.condition(c)), F.lit(t)) for t, (r, c) in enumerate(path(rules))])
+
 
-    ``stats`` has doc_id, the stratum column and the statistics; ``labels`` has doc_id and quality 0/1.
+def certified_steps(held: DataFrame, rules=RULES, risk: float = RISK, error: float = ERROR) -> DataFrame:
+    """(stratum, last_step) of the strata with a certified setting of positive balance.
+
+    ``held`` has a row per labelled document: stratum, good (0 or 1) and step, the first that rejects it.
     """
-    marks = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("good"))
-    held = stats.where(~base_failed()).join(marks, "doc_id")
-    tests = [(r, j) for r in rules for j in range(len(r.cutoffs))]
-
-    def hits(rule, j, good):
-        return F.count(F.when((F.col("good") == good) & F.expr(rule.condition(rule.cutoffs[j])), True))
-
-    rows = [
-        F.struct(
-            F.lit(r.name).alias("rule"), F.lit(j).alias("j"), F.lit(r.cutoffs[j]).alias("cutoff"),
-            hits(r, j, 1).alias("good_hits"), hits(r, j, 0).alias("bad_hits"),
-        )
-        for r, j in tests
-    ]
-    counts = held.groupBy(F.coalesce(F.col(stratum), F.lit("")).alias("stratum")).agg(
-        F.count(F.when(F.col("good") == 1, True)).alias("n_good"), F.array(*rows).alias("tests")
+    by_step = held.groupBy("stratum", "step").agg(
+        F.count(F.when(F.col("good") == 1, True)).alias("good"), F.count(F.when(F.col("good") == 0, True)).alias("bad")
     )
-    counts = materialize(counts.where("n_good > 0"), "quality-counts")
-    strata = max(counts.count(), 1)
-    level = F.lit(error / (strata * len(tests)))
-    allowed = counts.select(
-        "stratum", F.explode("tests").alias("t"), acceptance_number(F.col("n_good"), risk / len(rules), level).alias("allowed")
+    by_step = materialize(by_step, "quality-counts")
+    sizes = by_step.groupBy("stratum").agg(F.sum("good").alias("n_good")).where("n_good > 0")
+    strata = max(sizes.count(), 1)
+    allowed = sizes.select("stratum", acceptance_number(F.col("n_good"), risk, F.lit(error / strata)).alias("allowed"))
+    # One row for each step of a stratum at most, so the window is as long as the path.
+    upto = W.partitionBy("stratum").orderBy("step")
+    sums = by_step.where("step IS NOT NULL").select(
+        "stratum", "step", F.sum("good").over(upto).alias("good_hits"), F.sum("bad").over(upto).alias("bad_hits")
     )
-    passed = allowed.select("stratum", "allowed", "t.*").where("good_hits <= allowed AND bad_hits > good_hits")
-    best = passed.groupBy("stratum", "rule").agg(
-        F.max_by("cutoff", F.struct(F.col("bad_hits") - F.col("good_hits"), F.col("j"))).alias("cutoff")
-    )
-    return best
+    passed = sums.join(allowed, "stratum").where("good_hits <= allowed AND bad_hits > good_hits")
+    best = F.struct(F.col("bad_hits") - F.col("good_hits"), -F.col("step"))
+    return passed.groupBy("stratum").agg(F.max_by("step", best).alias("last_step"))
 
 
 def quality_verdicts(
@@ -177,17 +181,21 @@ def quality_verdicts(
     risk: float = RISK,
     error: float = ERROR,
     text_col: str = "text",
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
-    """Statistics of each document, ``base_failed``, the rule that rejects it (null: none) and ``kept``."""
-    stats = materialize(text_statistics(docs, ("doc_id", stratum), text_col), "quality-stats")
-    chosen = certified_cutoffs(stats, labels, stratum, rules, risk, error)
-    wide = chosen.groupBy("stratum").agg(
-        *[F.max(F.when(F.col("rule") == r.name, F.col("cutoff"))).alias(f"cut_{r.name}") for r in rules]
-    )
-    wide = materialize(wide, "quality-cutoffs")
-    joined = stats.withColumn("stratum", F.coalesce(F.col(stratum), F.lit(""))).join(wide, "stratum", "left")
-    first = F.coalesce(*[F.when(F.expr(r.condition(f"cut_{r.name}")), F.lit(r.name)) for r in rules])
+    """Statistics of each document, ``base_failed``, the rule that rejects it (null: none) and ``kept``; ``keep`` names columns to carry.
+
+    ``docs`` has doc_id and the stratum column; ``labels`` has doc_id and quality 0/1.
+    """
+    stats = text_statistics(docs, ("doc_id", stratum, *keep), text_col)
+    stats = stats.withColumns({"stratum": F.coalesce(F.col(stratum), F.lit("")), "step": first_step(rules), "base_failed": base_failed()})
+    stats = materialize(stats, "quality-stats")
+    marks = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("good"))
+    held = stats.where(~F.col("base_failed")).join(marks, "doc_id").select("stratum", "step", "good")
+    chosen = materialize(certified_steps(held, rules, risk, error), "quality-steps")
+    joined = stats.join(chosen, "stratum", "left")
+    names = F.array(*[F.lit(r.name) for r, _ in path(rules)])
+    rejected = F.when(F.col("step") <= F.col("last_step"), F.get(names, F.col("step")))
     return joined.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        base_failed().alias("base_failed"), first.alias("rejected_by"),
-    ).withColumn("kept", ~F.col("base_failed") & F.col("rejected_by").isNull())
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", rejected.alias("rejected_by"), *keep
+    ).withColumn("kept", ~F.col("base_failed") & F.col("rejected_by").isNull())

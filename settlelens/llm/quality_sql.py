@@ -1,19 +1,6 @@
 """The SQL that the quality query must agree with."""
 
-from settlelens.llm.quality import ERROR, MAX_REPEAT_PERCENT, MIN_WORDS, RISK, RULES
-
-_TESTS = [(r, j) for r in RULES for j in range(len(r.cutoffs))]
-
-
-def _tests() -> str:
-    return " UNION ALL ".join(
-        f"SELECT lang, '{r.name}' AS rule, {j} AS j, {r.cutoffs[j]} AS cutoff, good, {r.condition(r.cutoffs[j])} AS hit FROM held"
-        for r, j in _TESTS
-    )
-
-
-def _share() -> str:
-    return f"CAST({RISK} AS DOUBLE) / {len(RULES)}"
+from settlelens.llm.quality import ERROR, MAX_REPEAT_PERCENT, MIN_WORDS, RISK, path
 
 
 def statistics_ctes() -> str:
@@ -45,33 +32,34 @@ WITH body AS (
 
 
 def quality_sql() -> str:
-    cuts = ", ".join(f"MAX(CASE WHEN rule = '{r.name}' THEN cutoff END) AS cut_{r.name}" for r in RULES)
-    first = ", ".join(f"CASE WHEN {r.condition(f'cut_{r.name}')} THEN '{r.name}' END" for r in RULES)
+    steps = " ".join(f"WHEN {r.condition(c)} THEN {t}" for t, (r, c) in enumerate(path()))
+    names = " ".join(f"WHEN {t} THEN '{r.name}'" for t, (r, _) in enumerate(path()))
+    share = f"CAST({RISK} AS DOUBLE)"
     return statistics_ctes() + f""", based AS (
-  SELECT *, (n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words) AS base_failed FROM stats
+  SELECT *, (n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words) AS base_failed,
+    CASE {steps} END AS step FROM stats
 ), marks AS (
   SELECT doc_id, max(quality) AS good FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id
 ), held AS (
-  SELECT b.*, m.good FROM based b JOIN marks m ON m.doc_id = b.doc_id WHERE NOT base_failed
+  SELECT b.lang, b.step, m.good FROM based b JOIN marks m ON m.doc_id = b.doc_id WHERE NOT base_failed
 ), sizes AS (
   SELECT lang, count(*) AS n FROM held WHERE good = 1 GROUP BY lang
-), tests AS (
-  SELECT lang, rule, j, cutoff, count(*) FILTER (WHERE hit AND good = 1) AS good_hits,
-    count(*) FILTER (WHERE hit AND good = 0) AS bad_hits FROM ({_tests()}) GROUP BY ALL
+), sums AS (
+  SELECT lang, step, sum(g) OVER upto AS good_hits, sum(b) OVER upto AS bad_hits
+  FROM (SELECT lang, step, count(*) FILTER (WHERE good = 1) AS g, count(*) FILTER (WHERE good = 0) AS b FROM held WHERE step IS NOT NULL GROUP BY ALL)
+  WINDOW upto AS (PARTITION BY lang ORDER BY step)
 ), terms AS (
-  SELECT lang, n, k, sum(exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) + k * ln({_share()}) + (n - k) * ln(1 - {_share()})))
+  SELECT lang, n, k, sum(exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) + k * ln({share}) + (n - k) * ln(1 - {share})))
     OVER (PARTITION BY lang ORDER BY k) AS total
-  FROM (SELECT lang, n, unnest(range(0, CAST(floor(n * {_share()}) AS BIGINT) + 1)) AS k FROM sizes)
+  FROM (SELECT lang, n, unnest(range(0, CAST(floor(n * {share}) AS BIGINT) + 1)) AS k FROM sizes)
 ), allowed AS (
-  SELECT lang, max(k) AS allowed FROM terms
-  WHERE total <= CAST({ERROR} AS DOUBLE) / ((SELECT count(*) FROM sizes) * {len(_TESTS)}) GROUP BY lang
+  SELECT lang, max(k) AS allowed FROM terms WHERE total <= CAST({ERROR} AS DOUBLE) / (SELECT count(*) FROM sizes) GROUP BY lang
 ), chosen AS (
-  SELECT t.lang, rule, arg_max(cutoff, (bad_hits - good_hits) * 1000 + j) AS cutoff
-  FROM tests t JOIN allowed a ON a.lang = t.lang WHERE good_hits <= allowed AND bad_hits > good_hits GROUP BY ALL
-), wide AS (
-  SELECT lang, {cuts} FROM chosen GROUP BY lang
+  SELECT s.lang, arg_max(step, (bad_hits - good_hits) * 1000 - step) AS last_step
+  FROM sums s JOIN allowed a ON a.lang = s.lang WHERE good_hits <= allowed AND bad_hits > good_hits GROUP BY s.lang
 ), judged AS (
-  SELECT b.*, coalesce({first}) AS rejected_by FROM based b LEFT JOIN wide w ON w.lang = b.lang
+  SELECT b.*, CASE WHEN step <= last_step THEN CASE step {names} END END AS rejected_by
+  FROM based b LEFT JOIN chosen c ON c.lang = b.lang
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, rejected_by,
   (NOT base_failed AND rejected_by IS NULL) AS kept FROM judged"""

@@ -61,6 +61,33 @@ def test_cutoffs_reject_junk_and_hold_the_risk(spark):
     assert {(r[0], r[1]): r[2] for r in out} == {(None, True): 1500, ("symbols", False): 60}
 
 
+def test_a_small_stratum_certifies_and_the_first_failing_step_ends_the_path(spark):
+    clean = "plain words of a clean text that say what they have to say today"
+    shout = "LOUD WORDS OF SOME KIND THAT SAY WHAT THEY HAVE TO SAY TODAY"
+    junk = "buy# now$ win% a& prize* so| do< it> at# once$ and% win&"
+    rows = [(i, clean, "de", 1) for i in range(150)] + [(200 + i, junk, "de", 0) for i in range(9)]
+    # In fr a fifth of the good documents is in capitals, so the step that takes them and all later ones stay out.
+    rows += [(1000 + i, shout if i % 5 == 0 else clean, "fr", 1) for i in range(150)] + [(1200 + i, junk, "fr", 0) for i in range(9)]
+    rows += [(1300 + i, shout, "fr", 0) for i in range(90)]
+    rows += [(3000 + i, clean, "es", 1) for i in range(20)] + [(3100 + i, junk, "es", 0) for i in range(9)]  # too few good labels
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, quality int")
+    out = quality_verdicts(df.drop("quality"), df.select("doc_id", "quality")).toPandas()
+    gone = out[~out["kept"]]
+    assert sorted(gone["doc_id"]) == [*range(200, 209), *range(1200, 1209)] and set(gone["rejected_by"]) == {"symbols"}
+
+
+def test_every_language_rejects_something(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    out = quality_verdicts(docs, labels).join(docs.select("doc_id", "lang"), "doc_id").join(labels.groupBy("doc_id").agg(F.max("quality").alias("good")), "doc_id")
+    counts = out.where("NOT base_failed").groupBy("lang").agg(
+        F.count(F.when(F.col("rejected_by").isNotNull() & (F.col("good") == 0), True)).alias("bad"),
+        F.avg(F.when(F.col("good") == 1, (~F.col("kept")).cast("double"))).alias("share"),
+    )
+    rows = {r["lang"]: r for r in counts.collect()}
+    assert {"de", "en", "es", "fr"} <= rows.keys()
+    assert all(rows[k]["bad"] > 0 and rows[k]["share"] < 0.05 for k in ("de", "en", "es", "fr"))
+
+
 def test_agrees_with_sql(spark):
     docs, labels = (spark.read.parquet(f"{SMALL}/{t}.parquet") for t in ("documents", "labels"))
     want = duck(quality_sql(), {t: f"{SMALL}/{t}.parquet" for t in ("documents", "labels")})
