@@ -5,37 +5,68 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from settlelens.llm.common import documents, materialize
+from settlelens.llm.common import documents, materialize, null_safe_text
 from settlelens.llm.exact import exact_duplicates
-from settlelens.llm.minhash import near_copies
+from settlelens.llm.minhash import SHINGLE, near_copies
 from settlelens.llm.mixing import mixed
 from settlelens.llm.quality import quality_verdicts
 from settlelens.llm.queries import piece_ids
+from settlelens.llm.simhash import near_duplicates
 
 
-def keep_rows(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose id is kept, with the columns of ``docs``.
+def keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``row_key``, which tells apart rows that differ in their id, their text or both.
 
-    A row without an id cannot be told apart from others and goes. Of repeated rows of one id one stays.
-    ``kept_doc_id`` is the only name that columns of ``docs`` must not use.
+    It is not null, so rows without an id are told apart by their text. ``row_key`` and ``kept_key`` are the
+    only names that columns of ``docs`` must not use.
     """
-    kept = verdicts.where("kept").select(F.col("doc_id").alias("kept_doc_id")).distinct()
-    joined = docs.join(kept, F.col("doc_id") == F.col("kept_doc_id")).drop("kept_doc_id")
-    return joined.dropDuplicates(["doc_id"])
+    text = F.sha2(null_safe_text().cast("binary"), 256)
+    return docs.withColumn("row_key", F.concat(text, F.lit(":"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+
+
+def keep_rows(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """The rows of ``docs`` (``keyed``) whose ``row_key`` is in ``kept``, without the key.
+
+    Rows that agree in id and text are the same document, of which one stays.
+    """
+    keys = kept.select(F.col("row_key").alias("kept_key")).distinct()
+    joined = docs.join(keys, F.col("row_key") == F.col("kept_key")).drop("kept_key")
+    return joined.dropDuplicates(["row_key"]).drop("row_key")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return keep_rows(docs, quality_verdicts(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    rows = keyed(docs)
+    verdicts = quality_verdicts(rows, spark.read.parquet(f"{sf_dir}/labels.parquet"), keep=("row_key",))
+    return keep_rows(rows, verdicts.where("kept"))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return keep_rows(docs, exact_duplicates(docs))
+    """Of equal texts the row with the largest id stays, also where only some of them have one."""
+    rows = keyed(docs)
+    found = exact_duplicates(docs)
+    # Where no copy has an id, the operator keeps none of them by id; one stays all the same.
+    kept = found.where("kept OR keep_id IS NULL").select(
+        F.concat("text_sha256", F.lit(":"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("row_key")
+    )
+    return keep_rows(rows, kept)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (5-word shingles, Jaccard 0.8) stays: the one with the smallest id."""
-    found = near_copies(docs)
-    return keep_rows(docs, found.withColumn("kept", F.col("doc_id") == F.col("component_id")))
+    """One document of each group of near copies stays: the one with the smallest id.
+
+    Groups hold documents whose SimHash fingerprints of 5-word shingles are within four bits of 64 (the trie
+    self-join), or whose sets of 5-word shingles have a Jaccard similarity of 0.8 or more. Rows without an id
+    stay, unless they are in a group with rows that have one.
+    """
+    rows = materialize(keyed(docs), "near-rows")
+    # Ids of this stage: rows of one id but different texts are documents of their own.
+    numbered = rows.select("row_key", "doc_id", "text", F.xxhash64("row_key").alias("node"))
+    prints = near_duplicates(numbered, id_col="node", shingle=SHINGLE)
+    given = prints.select(F.col("doc_id").alias("u"), F.col("component_id").alias("v"))
+    found = near_copies(numbered, id_col="node", given=given)
+    groups = numbered.select("node", "doc_id", "row_key").join(found.distinct().withColumnRenamed("doc_id", "member"), F.col("node") == F.col("member"))
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")
+    return keep_rows(rows, groups.groupBy("component_id").agg(F.min_by("row_key", order).alias("row_key")))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
