@@ -18,7 +18,8 @@ is removed wherever it stands. Strings are compared as bytes of the UTF-8 text,
    first what all windows of a block of distances have in common, then single windows where that is shared.
 5. Covered bytes go back to the documents and are cut out.
 
-Contexts and, for the grams of step 4, windows are identified by 128-bit hashes.
+Contexts and, for the grams of step 4, windows are identified by their length and two 64-bit hashes of different
+families: a polynomial one, which structured texts could defeat, and XXH64.
 
 Edge cases. A null text counts as empty; a text shorter than ``length`` loses nothing. Rows of one id are
 told apart by their text; repeated rows are documents of their own, and so repeat each other. Rows
@@ -42,11 +43,13 @@ from settlelens.llm.common import materialize, null_safe_text
 
 LENGTH = 400
 GRAM = 48
+SEED = 42
 SEGMENT = 1 << 18  # starts worked on at a time
 MANY = 2_048  # contexts of a gram that one task sorts
-TOGETHER = 4_096  # contexts that a task sorts in one go
+TOGETHER = 1_024  # contexts that a task sorts in one go
+VERIFY = 1 << 18  # bytes compared at a time
 BLOCK = 16  # distances of a block in step 4
-ROWS = 1 << 20  # class rows worked on at a time in a task
+ROWS = 1 << 17  # class rows worked on at a time in a task
 
 _U = np.uint64
 
@@ -94,6 +97,15 @@ class PrefixHash:
         return (self.sums[start + length] - self.sums[start]) * self.inverse[start]
 
 
+def xxh64_of(data: np.ndarray, start: np.ndarray, length) -> np.ndarray:
+    """XXH64 of stretches of a byte array, as signed longs."""
+    import xxhash
+
+    digest, view = xxhash.xxh64_intdigest, memoryview(np.ascontiguousarray(data))
+    ends = (start + length).tolist()
+    return np.fromiter((digest(view[a:b], SEED) for a, b in zip(start.tolist(), ends, strict=True)), np.uint64, len(start)).astype(np.int64)
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
@@ -118,7 +130,7 @@ def runs_of(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> dict[st
     mask = _U((1 << 20) - 1)
     for lo in range(0, max(0, len(data) - length + 1), SEGMENT):
         piece = data[lo : lo + SEGMENT + length - 1]
-        one, two = PrefixHash(piece, 1), PrefixHash(piece, 2)
+        one = PrefixHash(piece)
         grams = _mix(one.of(np.arange(len(piece) - gram + 1), gram))
         key = (grams & ~mask) | np.arange(len(grams), dtype=np.uint64)
         least = (_sliding_least(key, length - gram + 1) & mask).astype(np.int64)
@@ -127,7 +139,7 @@ def runs_of(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> dict[st
         size = run + length - 1
         out["gram"].append(grams[least[first]].astype(np.int64))
         out["c1"].append(_mix(one.of(first, size) + size.astype(np.uint64)).astype(np.int64))
-        out["c2"].append(_mix(two.of(first, size) + size.astype(np.uint64)).astype(np.int64))
+        out["c2"].append(xxh64_of(piece, first, size))
         out["start"].append(first + lo)
         out["run"].append(run)
         out["off"].append(least[first] - first)
@@ -174,7 +186,7 @@ class Contexts:
         """Verification: whether the common extensions hold byte by byte."""
         out = np.ones(len(i), bool)
         whole = np.append(0, np.cumsum(common))
-        edges = np.unique(np.searchsorted(whole, np.arange(0, whole[-1] + 1, 1 << 22)))
+        edges = np.unique(np.searchsorted(whole, np.arange(0, whole[-1] + 1, VERIFY)))
         for lo, hi in zip(edges, np.append(edges[1:], len(i)), strict=True):
             lo, hi = min(lo, len(i)), min(hi, len(i))
             if lo == hi:
@@ -440,7 +452,7 @@ def counted_groups(contexts: DataFrame, length: int = LENGTH, block: int = BLOCK
                     rows = []
                     for r in part.itertuples(index=False):
                         data = np.frombuffer(r.bytes, np.uint8)
-                        one, two = PrefixHash(data, 1), PrefixHash(data, 2)
+                        one = PrefixHash(data)
                         low, high = r.off - r.run + 1, r.off  # distances of the context
                         if level == "blocks":
                             q = np.arange(low // block, high // block + 1)
@@ -448,11 +460,11 @@ def counted_groups(contexts: DataFrame, length: int = LENGTH, block: int = BLOCK
                             core = (r.off - d, length - e + d)
                             full = (d >= low) & (e <= high)
                             hull = (np.where(full, r.off - e, 0), np.where(full, length + block - 1, 0))
-                            cols = [x.of(*s).astype(np.int64) for s in (core, hull) for x in (one, two)]
+                            cols = [h for s in (core, hull) for h in (one.of(*s).astype(np.int64), xxh64_of(data, *s))]
                             rows.append(pd.DataFrame({"q": q, "k1": cols[0], "k2": cols[1], "full": full, "h1": cols[2], "h2": cols[3]}))
                         else:
                             d = np.concatenate([np.arange(max(low, q * block), min(high, q * block + block - 1) + 1) for q in r.qs])
-                            cols = [x.of(r.off - d, length).astype(np.int64) for x in (one, two)]
+                            cols = [one.of(r.off - d, length).astype(np.int64), xxh64_of(data, r.off - d, length)]
                             rows.append(pd.DataFrame({"d": d, "k1": cols[0], "k2": cols[1]}))
                         for k in (*_KEY, "off"):
                             rows[-1][k] = getattr(r, k)
