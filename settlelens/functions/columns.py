@@ -66,7 +66,8 @@ def blob_base_fee(given: Column | str, excess: Column | str, fraction: Column |
 
     def step(a: Column, i: Column) -> Column:
         product = F.try_multiply(a["term"], x).cast(wide)
-        return F.struct((a["sum"] + a["term"]).cast(wide).alias("sum"), whole(product, (over * i.cast(wide)).cast(wide)).alias("term"))
+        after = F.struct((a["sum"] + a["term"]).cast(wide).alias("sum"), whole(product, (over * i.cast(wide)).cast(wide)).alias("term"))
+        return F.when(a["term"] == 0, a).otherwise(after)  # nothing follows a term of zero
 
     start = F.struct(F.lit(0).cast(wide).alias("sum"), (F.lit(C.MIN_BLOB_BASE_FEE_WEI) * over).cast(wide).alias("term"))
     derived = F.aggregate(terms, start, step, lambda a: whole(a["sum"], over))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from settlelens.session import materialize
+
 
 def lookup(fact: DataFrame, dim: DataFrame, on, how: str = "left") -> DataFrame:
     """Join a fact to a dimension with no hint.
@@ -32,7 +34,9 @@ def exact_percentiles(
         one = exact_percentiles(df.withColumn("_all", F.lit(1)), ["_all"], value, probs, accuracy)
         return one.drop("_all")
     v = F.col(value)
-    rows = df.select(*keys, v.alias("_v"), v.cast("double").alias("_d")).filter(F.col("_d").isNotNull() & ~F.isnan("_d"))
+    # Written once: the sketch, the counts and the brackets each go over the rows, which may be costly to work out.
+    rows = materialize(df.select(*keys, v.alias("_v")).filter(v.isNotNull() & ~F.isnan(v.cast("double"))), "percentile-rows")
+    rows = rows.withColumn("_d", F.col("_v").cast("double"))
     pad = 2.0 / accuracy
     wanted = [q for p in probs.values() for q in (max(0.0, p - pad), min(1.0, p + pad))]
     edges = rows.groupBy(*keys).agg(F.percentile_approx("_d", wanted, accuracy).alias("_e"), F.count(F.lit(1)).alias("_total"))

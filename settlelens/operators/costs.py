@@ -15,14 +15,21 @@ from settlelens.functions.joins import exact_percentiles
 def with_blob_fee(blocks: DataFrame) -> DataFrame:
     """Blocks with a blob base fee where their header allows one: the given fee, else the fee rule on excess gas.
 
-    ``blob_fee_derived`` tells which. The raw block table may lack the fee on some rows or altogether.
+    ``blob_fee_derived`` tells which; blocks that have it are through already and stay as they are. The raw block
+    table may lack the fee on some rows or altogether. Excess gas moves in steps of a blob, so there are few
+    different values: the rule is worked out once for each of them, not once for each block.
     """
-    given = F.col("base_fee_per_blob_gas_wei") if "base_fee_per_blob_gas_wei" in blocks.columns else F.lit(None)
+    if "blob_fee_derived" in blocks.columns:
+        return blocks
+    given = F.col("base_fee_per_blob_gas_wei").cast(C.PRICE_WEI) if "base_fee_per_blob_gas_wei" in blocks.columns else F.lit(None).cast(C.PRICE_WEI)
     _, fraction = blob_limits(X.epoch_date("timestamp"))
-    fee = X.blob_base_fee(given.cast(C.PRICE_WEI), "excess_blob_gas", fraction).cast(C.PRICE_WEI)
-    return blocks.withColumns(
-        {"blob_fee_derived": given.isNull() & F.col("excess_blob_gas").isNotNull(), "base_fee_per_blob_gas_wei": fee}
-    )
+    lacking = given.isNull() & F.col("excess_blob_gas").isNotNull()
+    keyed = blocks.withColumns({"blob_fee_derived": lacking, "_fraction": F.when(lacking, fraction)})
+    levels = keyed.where("blob_fee_derived").select(F.col("excess_blob_gas").alias("_excess"), F.col("_fraction").alias("_over")).distinct()
+    levels = levels.withColumn("_rule", X.blob_base_fee(F.lit(None), "_excess", "_over").cast(C.PRICE_WEI))
+    # Rows with a given fee have no fraction, and so none of them looks for a level.
+    joined = keyed.join(levels, (F.col("excess_blob_gas") == F.col("_excess")) & (F.col("_fraction") == F.col("_over")), "left")
+    return joined.withColumn("base_fee_per_blob_gas_wei", F.coalesce(given, "_rule")).drop("_fraction", "_excess", "_over", "_rule")
 
 
 def with_block_fees(tx: DataFrame, blocks: DataFrame) -> DataFrame:

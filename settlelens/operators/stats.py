@@ -435,8 +435,11 @@ def robustness_grid(panels: dict[str, DataFrame], excluded: dict[str, DataFrame
         .withColumn("series_id", F.concat_ws("/", "series_id", "_trim"))
     )
     lr, lf = X.log_positive("rent"), X.log_positive("fees")
+    # A single day, or days of equal fees, have no slope.
     return out.groupBy("series_id").agg(
-        F.regr_slope("y", "t").alias("slope"), F.count(F.lit(1)).alias("n"), F.regr_slope(lr, lf).alias("beta")
+        F.when(F.min("t") < F.max("t"), F.regr_slope("y", "t")).alias("slope"),
+        F.count(F.lit(1)).alias("n"),
+        F.when(F.min("fees") < F.max("fees"), F.regr_slope(lr, lf)).alias("beta"),
     )
 
 

@@ -195,8 +195,8 @@ def q10(spark, d):
 
 
 MEANS = ("means_", f"""SELECT COALESCE(a.m, b.m) AS month_utc, a.v AS primary_value, b.v AS secondary_value FROM
-  (SELECT {month('date_utc')} AS m, AVG(eth_usd_close) AS v FROM fx_prices GROUP BY 1) a FULL OUTER JOIN
-  (SELECT {month('date_utc')} AS m, AVG(eth_usd_close) AS v FROM fx_prices2 GROUP BY 1) b ON a.m = b.m""")
+  (SELECT {month('date_utc')} AS m, CAST(SUM(CAST(eth_usd_close AS {PQ.DEC})) AS DOUBLE) / COUNT(eth_usd_close) AS v FROM fx_prices GROUP BY 1) a FULL OUTER JOIN
+  (SELECT {month('date_utc')} AS m, CAST(SUM(CAST(eth_usd_close AS {PQ.DEC})) AS DOUBLE) / COUNT(eth_usd_close) AS v FROM fx_prices2 GROUP BY 1) b ON a.m = b.m""")
 
 
 @query("j15_input_sources", sql(
@@ -254,7 +254,7 @@ def q21(spark, d):
     "fx_metrics", "fx_tx_costs", "fx_costs", extra=(*PQ.SNAPS, CQ.COVER, COSTS2, PAIRS)))
 def q16(spark, d):
     old, new = PQ.origin_snapshots(spark, d)
-    target = Q.attribution_target(K.attribution_coverage(CQ.tx_costs(spark, d), "execution_fee_wei", REGIME_DATE))
+    target = Q.attribution_target(K.attribution_coverage(CQ.tx_costs(spark, d), REGIME_DATE))
     out = Q.alerts({"origins": S.catalog_diff(old, new, "origin_key")}, [target, R.reconcile_months(pairs(spark, d))])
     return out.select("check", "key", "detail")
 
@@ -318,7 +318,8 @@ def q19(spark, d):
 
 @query("q19_lineage_check", sql(
     """SELECT 'lineage' AS "check", artifact || '<-' || input AS key, 'unknown_input' AS detail FROM edges_ e
-    WHERE NOT EXISTS (SELECT 1 FROM edges_ k WHERE k.artifact = e.input)""", extra=(EDGES,)))
+    LEFT JOIN known_ k ON k.known = e.input WHERE k.known IS NULL""",
+    extra=(EDGES, ("known_", "SELECT DISTINCT artifact AS known FROM edges_"))))
 def q19_check(spark, d):
     e = edges(spark, d)
     return Q.lineage_check(e, e).select("check", "key", "detail")

@@ -485,5 +485,7 @@ def sql(body: str, *needs: str, extra: tuple[tuple[str, str], ...] = ()) -> str:
 
     for name in needs:
         visit(name)
-    parts = [f"{n} AS ({CTES[n][1]})" for n in order] + [f"{n} AS ({b})" for n, b in extra]
+    # Materialized, as an engine may else work a shared part out again at each use; a recursive one cannot be.
+    given = [(n, CTES[n][1]) for n in order] + list(extra)
+    parts = [f"{n} AS {'' if f'FROM {n} ' in b else 'MATERIALIZED '}({b})" for n, b in given]
     return ("WITH RECURSIVE " + ",\n".join(parts) + "\n" if parts else "") + body

@@ -234,7 +234,8 @@ CUTS = ("cuts_", """SELECT base, quantile_cont(rent / fees, 0.01) AS lo, quantil
 
 
 @query("x9_robustness_grid", sql(
-    f"""SELECT series_id, {sig_sql('regr_slope(y, t)', 5)} AS slope, COUNT(*) AS n, {sig_sql('regr_slope(ln(rent), ln(fees))', 5)} AS beta FROM
+    f"""SELECT series_id, CASE WHEN MIN(t) < MAX(t) THEN {sig_sql('regr_slope(y, t)', 5)} END AS slope, COUNT(*) AS n,
+     CASE WHEN MIN(fees) < MAX(fees) THEN {sig_sql('regr_slope(ln(rent), ln(fees))', 5)} END AS beta FROM
     (SELECT base || '/plain' AS series_id, t, rent, fees, rent / fees AS y FROM grid_ UNION ALL
      SELECT g.base || '/trimmed', t, rent, fees, rent / fees FROM grid_ g JOIN cuts_ c ON c.base = g.base
      WHERE rent / fees BETWEEN c.lo AND c.hi) GROUP BY 1""", "fx_panel", "fx_costs", extra=(PQ.COSTS2, TOP, GRID, CUTS)))
