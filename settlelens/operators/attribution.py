@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -24,57 +28,94 @@ def disjoint_windows(mappings: DataFrame, key: str) -> DataFrame:
     """One winning mapping per address and instant: overlapping windows are cut at their bounds.
 
     The tie-break (confidence, then rollup_id) is settled here, on the registry, so the join to the
-    transactions can match at most one row and needs no de-duplicating shuffle of the fact. One
-    shuffle of the registry brings the windows of an address together; the cuts are array work on
-    that curated list.
+    transactions can match at most one row and needs no de-duplicating shuffle of the fact.
+
+    An event sweep: windows are dealt by address and calendar year, sorted by their start, and a task goes along
+    the starts and stops of a year with the open windows in a heap, whose top is the winner. Neither an
+    address nor a year is held whole, only what is open at one time. Pieces that a turn of the year
+    cut are joined again. A window counts once for each year that it reaches into, up to the last
+    year in which a window of its address starts or stops.
     """
     far = F.lit("9999-12-31").cast("timestamp")
-    window = F.struct(
-        confidence_rank(F.col("confidence")).alias("rank"),
-        _natural(F.col("rollup_id")).alias("order"),
-        F.col("valid_from_utc").alias("start"),
-        F.coalesce("valid_to_utc", far).alias("stop"),
+    stop = F.coalesce("valid_to_utc", far)
+    windows = mappings.filter(F.col("valid_from_utc") < stop).select(
+        F.col(key).alias("_key"),
+        F.col("valid_from_utc").alias("_from"),
+        stop.alias("_to"),
+        confidence_rank(F.col("confidence")).alias("_rank"),
+        _number(F.col("rollup_id")).alias("_order"),
         "rollup_id",
         "confidence",
     )
-    grouped = (
-        mappings.filter(F.col("valid_from_utc") < F.coalesce("valid_to_utc", far))
-        .groupBy(F.col(key))
-        .agg(F.sort_array(F.collect_list(window)).alias("_w"))
-    )
-    bounds = F.array_sort(
-        F.array_distinct(F.concat(F.transform("_w", lambda w: w.start), F.transform("_w", lambda w: w.stop)))
-    )
-    pieces = grouped.withColumn("_p", bounds).select(
-        key,
-        "_w",
-        F.explode(
-            F.transform(
-                F.sequence(F.lit(1), F.size("_p") - 1),
-                lambda i: F.struct(F.element_at("_p", i).alias("start"), F.element_at("_p", i + 1).alias("stop")),
-            )
-        ).alias("_s"),
-    )
-    # The list is in winning order, so the first window that covers a piece is its winner.
-    winner = F.get(F.filter("_w", lambda w: (w.start <= F.col("_s.start")) & (F.col("_s.start") < w.stop)), F.lit(0))
-    return (
-        pieces.withColumn("_best", winner)
-        .filter("_best IS NOT NULL")
-        .select(
-            key,
-            F.col("_s.start").alias("_start"),
-            F.col("_s.stop").alias("_stop"),
-            F.col("_best.rollup_id").alias("rollup_id"),
-            F.col("_best.confidence").alias("confidence"),
-        )
-    )
-
-
-def _natural(rollup_id: Column) -> Column:
-    """Numbered ids in number order, then by text."""
-    return F.struct(
-        F.coalesce(F.regexp_extract(rollup_id, "([0-9]+)$", 1).try_cast("bigint"), F.lit(-1).cast("bigint")), rollup_id
-    )
+    last = windows.groupBy("_key").agg(F.greatest(F.max(F.year("_from")), F.max(F.when(F.col("_to") < far, F.year("_to")))).alias("_last"))
+    # Null keys match no transaction.
+    years = windows.join(last, "_key").withColumn("_year", F.explode(F.sequence(F.year("_from"), F.least(F.year("_to"), "_last"))))
+    turn = lambda y: F.unix_micros(F.make_timestamp(y, F.lit(1), F.lit(1), F.lit(0), F.lit(0), F.lit(0)))
+    edges = years.select(
+        "_key", "_year", turn(F.col("_year")).alias("_low"),
+        F.when(F.col("_year") == F.col("_last"), F.unix_micros(far)).otherwise(turn(F.col("_year") + 1)).alias("_high"),
+        F.unix_micros("_from").alias("_from"), F.unix_micros("_to").alias("_to"), "_rank", "_order", "rollup_id", "confidence",
+    )
+    dealt = edges.repartition("_key", "_year").sortWithinPartitions("_key", "_year", F.greatest("_from", "_low"))
+    key_type = dealt.schema["_key"].dataType.simpleString()
+    pieces = dealt.mapInPandas(_sweep, f"_key {key_type}, _start bigint, _stop bigint, rollup_id string, confidence string, _cut boolean")
+    number = F.sum(F.col("_cut").cast("bigint")).over(W.partitionBy("_key").orderBy("_start").rowsBetween(W.unboundedPreceding, 0))
+    whole = pieces.withColumn("_piece", number).groupBy("_key", "_piece").agg(
+        F.timestamp_micros(F.min("_start")).alias("_start"), F.timestamp_micros(F.max("_stop")).alias("_stop"),
+        F.first("rollup_id").alias("rollup_id"), F.first("confidence").alias("confidence"),
+    )
+    return whole.select(F.col("_key").alias(key), "_start", "_stop", "rollup_id", "confidence")
+
+
+def _sweep(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Pieces of the sorted windows of (key, year) groups; ``_cut`` is false where only the turn of the year begins one."""
+    names = ["_key", "_start", "_stop", "rollup_id", "confidence", "_cut"]
+    group, at, low, natural = None, None, None, False
+    active: list[tuple] = []  # by priority
+    stops: list[int] = []
+    out: list[tuple] = []
+
+    def piece(until: int) -> None:
+        nonlocal at
+        if until <= at:
+            return
+        while active and active[0][5] <= at:
+            heapq.heappop(active)
+        if active:
+            out.append((group[0], at, until, active[0][6], active[0][7], at != low or natural))
+        at = until
+
+    def finish() -> None:
+        while stops:
+            piece(heapq.heappop(stops))
+        active.clear()
+
+    serial = 0
+    for frame in frames:
+        for key, year, lo, hi, start, stop, rank, order, rollup, confidence in frame.itertuples(index=False, name=None):
+            if (key, year) != group:
+                if group is not None:
+                    finish()
+                group, at, low, natural = (key, year), max(start, lo), lo, False
+            begin = max(start, lo)
+            while stops and stops[0] <= begin:
+                piece(heapq.heappop(stops))
+            piece(begin)
+            natural = natural or start == lo or stop == lo
+            serial += 1  # so that equal priorities never compare further
+            heapq.heappush(active, (rank, order, rollup or "", start, serial, stop, rollup, confidence))
+            heapq.heappush(stops, min(stop, hi))
+        if len(out) >= 10_000:
+            yield pd.DataFrame(out, columns=names)
+            out = []
+    if group is not None:
+        finish()
+    yield pd.DataFrame(out, columns=names)
+
+
+def _number(rollup_id: Column) -> Column:
+    """The number that an id ends with, -1 without one: numbered ids go in number order, then by text."""
+    return F.coalesce(F.regexp_extract(rollup_id, "([0-9]+)$", 1).try_cast("bigint"), F.lit(-1).cast("bigint"))
 
 
 def _window_join(tx: DataFrame, windows: DataFrame, tx_key: str, key: str, prefix: str) -> DataFrame:

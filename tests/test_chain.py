@@ -1,6 +1,7 @@
 """Attribution, fee parts and exact wei arithmetic."""
 
 import datetime as dt
+import random
 from decimal import Decimal, localcontext
 
 from pyspark.sql import functions as F
@@ -183,3 +184,54 @@ def test_a_transaction_without_its_block_stays_apart(spark):
     assert [r.tx_hash for r in bad.collect()] == ["b"]
     row = usable.first()
     assert row.blob_burn_unknown and row.burn_blob_wei is None  # neither a fee nor excess gas to derive it from
+
+
+def plain_pieces(windows):
+    """Every piece between two neighbouring bounds and the first window in winning order that covers it."""
+    rank = {"high": 0, "med": 1, "low": 2}
+    out = []
+    for key in {w[0] for w in windows}:
+        own = [w for w in windows if w[0] == key and (w[2] is None or w[1] < w[2])]
+        far = dt.datetime(9999, 12, 31)
+        bounds = sorted({w[1] for w in own} | {w[2] or far for w in own})
+        for a, b in zip(bounds, bounds[1:]):
+            open_ = [w for w in own if w[1] <= a < (w[2] or far)]
+            if open_:
+                best = min(open_, key=lambda w: (rank[w[4]], int(w[3][1:])))
+                out.append((key, str(a), str(b), best[3], best[4]))
+    return sorted(out)
+
+
+def registry(spark, windows):
+    schema = "address string, valid_from_utc timestamp, valid_to_utc timestamp, rollup_id string, confidence string"
+    return spark.createDataFrame(windows, schema)
+
+
+def test_window_sweep_against_all_pieces(spark):
+    rng = random.Random(11)
+    day = lambda n: dt.datetime(2019, 1, 1) + dt.timedelta(days=n)
+    windows = []
+    for _ in range(300):
+        start = rng.randrange(1500)
+        stop = rng.choice([None, start + rng.randrange(0, 900), start + rng.randrange(0, 30)])
+        windows.append((f"0x{rng.randrange(12)}", day(start), None if stop is None else day(stop), f"n{rng.randrange(12)}", rng.choice(["high", "med", "low"])))
+    # Bounds at the turn of a year, and a window over several years in which nothing else happens.
+    windows += [("y", dt.datetime(2020, 1, 1), dt.datetime(2021, 1, 1), "n1", "med"), ("y", dt.datetime(2019, 5, 1), None, "n2", "low")]
+    windows += [("z", dt.datetime(2019, 5, 1), dt.datetime(2024, 3, 1), "n2", "low")]
+    found = A.disjoint_windows(registry(spark, windows), "address").collect()
+    got = sorted((r["address"], str(r["_start"]), str(r["_stop"]), r["rollup_id"], r["confidence"]) for r in found)
+    assert got == plain_pieces(windows)
+
+
+def test_window_sweep_of_one_address_with_very_many_windows(spark):
+    n = 100_000
+    start = F.timestamp_seconds(F.lit(1_600_000_000) + F.col("id") * 600)
+    windows = spark.range(n).select(
+        F.lit("0xhot").alias("address"), start.alias("valid_from_utc"), F.timestamp_seconds(F.lit(1_600_000_000) + F.col("id") * 600 + 1500).alias("valid_to_utc"),
+        F.concat(F.lit("n"), (F.col("id") % 7).cast("string")).alias("rollup_id"), F.lit("high").alias("confidence"),
+    )
+    out = A.disjoint_windows(windows, "address")
+    # Starts every 600 s, stops 300 s after starts: pieces of 300 s each, from the third start on.
+    total = out.agg(F.count(F.lit(1)).alias("n"), F.sum(F.unix_timestamp("_stop") - F.unix_timestamp("_start")).alias("s")).first()
+    assert total["s"] == (n - 1) * 600 + 1500 and total["n"] == 2 * n - 1
+    assert out.groupBy("_start").count().where("count > 1").isEmpty()
