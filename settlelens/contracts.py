@@ -22,7 +22,9 @@ MIN_BLOB_BASE_FEE_WEI = 1
 # (fork, from, until, max blobs per block, blob base fee update fraction)
 BLOB_FORKS = [
     ("cancun", dt.date(2024, 3, 13), dt.date(2025, 5, 7), 6, 3338477),
-    ("prague", dt.date(2025, 5, 7), None, 9, 5007716),
+    ("prague", dt.date(2025, 5, 7), dt.date(2025, 12, 9), 9, 5007716),
+    ("bpo1", dt.date(2025, 12, 9), dt.date(2026, 1, 7), 15, 8346193),
+    ("bpo2", dt.date(2026, 1, 7), None, 21, 11684671),
 ]
 
 # Blob fee floor as a share of the execution base fee, 8192 / 131072.
@@ -110,12 +112,30 @@ def contract_schema(contract: dict) -> T.StructType:
     )
 
 
-def load_contract(path: str) -> dict:
-    """Parse a contract YAML file, following one index entry point if ``path`` lists schemas."""
+def load_contract(path: str, entry: str | None = None, root: str | None = None) -> dict:
+    """Parse a contract YAML file. An index of schemas leads on to the file of its ``entry``.
+
+    Paths of an index are relative to ``root``; without one, to the nearest folder above the index that has them.
+    An index with one entry needs no name; an unknown name, and one that is lacking among several, are errors.
+    """
+    import pathlib
+
     import yaml
 
     with open(path, encoding="utf-8") as handle:
-        return yaml.safe_load(handle)
+        found = yaml.safe_load(handle)
+    listed = found.get("schemas") if isinstance(found, dict) else None
+    if not isinstance(listed, dict):
+        return found
+    if entry is None and len(listed) == 1:
+        entry = next(iter(listed))
+    if entry not in listed:
+        raise KeyError(f"{path} lists {sorted(listed)}, not {entry}")
+    places = [pathlib.Path(root)] if root else list(pathlib.Path(path).resolve().parents)
+    target = next((p / listed[entry] for p in places if (p / listed[entry]).is_file()), None)
+    if target is None:
+        raise FileNotFoundError(listed[entry])
+    return load_contract(str(target))
 
 
 VENDOR_EXPORT = T.StructType(
@@ -149,6 +169,27 @@ BLOB_DAILY = T.StructType(
     ]
 )
 
+# Block level and per rollup, from the blob market source.
+BLOB_BLOCKS = T.StructType(
+    [
+        T.StructField("date", T.StringType()),
+        T.StructField("block_number", T.LongType()),
+        T.StructField("timestamp", T.LongType()),
+        T.StructField("base_fee_per_blob_gas_wei", T.DecimalType(38, 0)),
+        T.StructField("blob_gas_used", T.LongType()),
+        T.StructField("excess_blob_gas", T.LongType()),
+    ]
+)
+
+ROLLUP_BLOBS = T.StructType(
+    [
+        T.StructField("date", T.StringType()),
+        T.StructField("rollup_label", T.StringType()),
+        T.StructField("rollup_blob_tx_hashes", T.ArrayType(T.StringType())),
+        T.StructField("rollup_blob_gas_used", T.LongType()),
+    ]
+)
+
 PRICES = T.StructType(
     [
         T.StructField("date", T.StringType()),

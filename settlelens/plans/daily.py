@@ -64,9 +64,14 @@ def decomposition(tx: DataFrame, blocks: DataFrame) -> DataFrame:
 
 
 def coverages(panel_wide: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Shares held against their thresholds: days after activation with blob headers, panel rows with on-chain cost."""
-    days = blocks.groupBy(X.epoch_date("timestamp").alias("date_utc")).agg(F.max(F.col("blob_gas_used").isNotNull()).alias("_seen"))
-    days = days.filter(X.post_regime("date_utc", C.DENCUN_DATE)).agg(F.avg(F.col("_seen").cast("int")).alias("coverage"))
+    """Shares held against their thresholds: days after activation with blob headers, panel rows with on-chain cost.
+
+    Every calendar day from the first to the last block is expected, so a day without any block lowers the share.
+    """
+    seen = blocks.groupBy(X.epoch_date("timestamp").alias("date_utc")).agg(F.max(F.col("blob_gas_used").isNotNull()).alias("_seen"))
+    span = seen.agg(F.greatest(F.min("date_utc"), F.lit(C.DENCUN_DATE)).alias("_a"), F.max("date_utc").alias("_b")).where("_a <= _b")
+    expected = span.select(F.explode(F.sequence("_a", "_b")).alias("date_utc"))
+    days = expected.join(seen, "date_utc", "left").agg(F.avg(F.coalesce("_seen", F.lit(False)).cast("int")).alias("coverage"))
     rows = panel_wide.agg(F.avg(F.col("onchain_l1_cost_eth").isNotNull().cast("int")).alias("coverage"))
     blob = Q.coverage_threshold(days.filter("coverage IS NOT NULL").withColumn("key", F.lit("all")), "key", "blob_days", C.COVERAGE_BLOB_DAYS)
     chain = Q.coverage_threshold(rows.filter("coverage IS NOT NULL").withColumn("key", F.lit("all")), "key", "onchain_coverage", C.COVERAGE_ONCHAIN)

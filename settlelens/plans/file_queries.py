@@ -81,6 +81,31 @@ def s4(spark, d):
     return SV.read_blob_market(spark, root).select("date_utc", "blob_gas_used", "blobs_count")
 
 
+@query("s4_blob_blocks", sql(
+    """SELECT block_number, date_utc, CAST(base_fee_per_blob_gas_wei AS BIGINT) AS fee_wei, blob_gas_used, excess_blob_gas FROM fx_blocks
+    WHERE blob_gas_used IS NOT NULL""", "fx_blocks"), dates=("date_utc",))
+def s4_blocks(spark, d):
+    """The blob market at block level, landed as JSON and read back."""
+    root = fresh_dir(spark, "blob-blocks")
+    b = fx.blocks(spark, d).where("blob_gas_used IS NOT NULL").withColumn("date_utc", F.timestamp_seconds("timestamp").cast("date"))
+    b.select(iso("date_utc"), "block_number", "timestamp", "base_fee_per_blob_gas_wei", "blob_gas_used", "excess_blob_gas").write.json(f"{root}/{RUN}")
+    read = SV.read_blob_blocks(spark, root)
+    return read.select("block_number", "date_utc", F.col("base_fee_per_blob_gas_wei").cast("bigint").alias("fee_wei"), "blob_gas_used", "excess_blob_gas")
+
+
+@query("s4_rollup_blobs", sql(
+    """SELECT date_utc, rollup_id AS rollup_label, COUNT(*) AS n_hashes, CAST(SUM(blob_count) AS BIGINT) AS blobs_count FROM fx_tx_costs
+    WHERE tx_type = 3 AND blob_count IS NOT NULL GROUP BY 1, 2""", "fx_tx_costs"), dates=("date_utc",))
+def s4_rollups(spark, d):
+    """Blob gas and hashes per labelled rollup and day, landed as JSON and read back."""
+    root = fresh_dir(spark, "rollup-blobs")
+    per = CQ.attributed(spark, d).where("tx_type = 3 AND blob_count IS NOT NULL").groupBy("date_utc", F.col("rollup_id").alias("rollup_label")).agg(
+        F.collect_list("tx_hash").alias("rollup_blob_tx_hashes"), (F.sum("blob_count") * C.GAS_PER_BLOB).cast("bigint").alias("rollup_blob_gas_used"))
+    per.select(iso("date_utc"), "rollup_label", "rollup_blob_tx_hashes", "rollup_blob_gas_used").write.json(f"{root}/{RUN}")
+    read = SV.read_rollup_blobs(spark, root)
+    return read.select("date_utc", "rollup_label", F.size("rollup_blob_tx_hashes").cast("bigint").alias("n_hashes"), "blobs_count")
+
+
 @query("s5_prices_and_issuance", sql(
     """SELECT p.date_utc, eth_usd_close, issuance_eth FROM fx_prices p JOIN fx_issuance i ON p.date_utc = i.date_utc""",
     "fx_prices", "fx_issuance"), dates=("date_utc",))
@@ -105,6 +130,30 @@ def s6(spark, d):
     return read.select("block_number", "timestamp", F.col("base_fee_per_gas_wei").cast("bigint").alias("base_fee_wei"), "blob_gas_used")
 
 
+def landed_tx(spark, d, table: str, rows: DataFrame) -> DataFrame:
+    """A transaction table landed by the year of its block and read back for three years."""
+    root = fresh_dir(spark, "l1")
+    year = fx.raw_blocks(spark, d).select("block_number", F.trunc(F.timestamp_seconds("timestamp").cast("date"), "year").alias("run_date"))
+    TB.write_partitions(rows.join(year, "block_number"), f"{root}/{table}", ["run_date"])
+    return SC.read_l1(spark, root, table, ("1996-01-01", "1998-01-01"))
+
+
+@query("s6_l1_receipts", sql(
+    """SELECT r.tx_hash, r.block_number, CAST(r.gas_used AS BIGINT) AS gas_used FROM fx_receipts r JOIN fx_blocks b ON b.block_number = r.block_number
+    WHERE date_trunc('year', b.date_utc) BETWEEN DATE '1996-01-01' AND DATE '1998-01-01'""", "fx_receipts", "fx_blocks"))
+def s6_receipts(spark, d):
+    read = landed_tx(spark, d, "receipts", fx.receipts(spark, d))
+    return read.select("tx_hash", "block_number", F.col("gas_used").cast("bigint").alias("gas_used"))
+
+
+@query("s6_l1_blob_tx", sql(
+    """SELECT r.tx_hash FROM fx_receipts r JOIN fx_blocks b ON b.block_number = r.block_number
+    WHERE r.tx_type = 3 AND date_trunc('year', b.date_utc) BETWEEN DATE '1996-01-01' AND DATE '1998-01-01'""", "fx_receipts", "fx_blocks"))
+def s6_blob_tx(spark, d):
+    of = fx.receipts(spark, d).select("tx_hash", "block_number").distinct()
+    return landed_tx(spark, d, "blob_tx", fx.blob_tx(spark, d).join(of, "tx_hash")).select("tx_hash")
+
+
 def registry(spark, d):
     s = fx.table(spark, d, "supplier")
     k = F.col("s_suppkey").cast("string")
@@ -163,6 +212,22 @@ def q2(spark, d):
     return Q.panel_text_failures(panel_csv(spark, d)).groupBy("column", "failure").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
+@query("q2_panel_header", sql(
+    """SELECT 'missing_columns' AS failure, 'missing_columns:l2_fees_eth,rent_paid_eth' AS message, COUNT(*) AS n_files FROM
+      (SELECT DISTINCT date_trunc('month', date_utc) FROM fx_panel WHERE month(date_utc) = 2) HAVING COUNT(*) > 0
+    UNION ALL SELECT 'missing_header', 'missing_header', COUNT(*) FROM (SELECT DISTINCT date_trunc('month', date_utc) FROM fx_panel WHERE month(date_utc) = 3) HAVING COUNT(*) > 0""",
+    "fx_panel"))
+def q2_header(spark, d):
+    """Panel samples, one file per month: those of February lack columns, those of March have no header at all."""
+    root, panel = fresh_dir(spark, "headers"), fx.panel(spark, d).withColumn("month", F.trunc("date_utc", "month").cast("string"))
+    files = panel.groupBy("month").agg(F.month(F.first("date_utc")).alias("k"), F.sort_array(F.collect_set("date_utc")).alias("days"))
+    head = F.when(F.col("k") == 2, F.lit("date_utc,rollup_id\n")).when(F.col("k") == 3, F.lit("")).otherwise(F.lit("date_utc,rollup_id,l2_fees_eth,rent_paid_eth\n"))
+    body = F.when(F.col("k") == 3, F.lit("")).otherwise(F.array_join(F.transform("days", lambda t: F.concat(t.cast("string"), F.lit(",all"))), "\n"))
+    files.select("month", F.concat(head, body).alias("text")).coalesce(4).write.option("lineSep", "\n").partitionBy("month").text(root)
+    found = SV.header_failures(spark, f"{root}/*", Q.PANEL_REQUIRED)
+    return found.groupBy("failure", "message").agg(F.countDistinct(F.regexp_extract("path", "month=([0-9-]+)", 1)).alias("n_files"))
+
+
 # All rows come back; whether a sample check of the first rows would have looked at one is a column.
 SAMPLE_ROWS = 2000
 

@@ -64,11 +64,11 @@ def f6(spark, d):
 
 
 @query("f7_text", """SELECT s_suppkey, lower(s_name) AS lowered, regexp_extract(s_name, '#(0*)([0-9]+)$', 2) AS number_text,
-concat_ws(' ', 'collect', '--supplier', CAST(s_suppkey AS VARCHAR)) AS command FROM supplier""")
+concat_ws(' ', 'collect', '--supplier', CAST(s_suppkey AS VARCHAR), '''' || s_name || '''', '''it''"''"''s''') AS command FROM supplier""")
 def f7(spark, d):
     s = fx.table(spark, d, "supplier")
     return s.select("s_suppkey", F.lower("s_name").alias("lowered"), F.regexp_extract("s_name", "#(0*)([0-9]+)$", 2).alias("number_text"),
-                    F.concat_ws(" ", F.lit("collect"), F.lit("--supplier"), F.col("s_suppkey").cast("string")).alias("command"))
+                    X.command_line(F.array(F.lit("collect"), F.lit("--supplier"), F.col("s_suppkey").cast("string"), F.col("s_name"), F.lit("it's"))).alias("command"))
 
 
 @query("f8_digest_format", "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN TRUE ELSE FALSE END AS valid FROM documents")

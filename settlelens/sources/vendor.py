@@ -68,6 +68,16 @@ def read_blob_market(spark: SparkSession, path: str, lines: bool = True) -> Data
     return _dated(_json(spark, path, C.BLOB_DAILY, lines))
 
 
+def read_blob_blocks(spark: SparkSession, path: str, lines: bool = True) -> DataFrame:
+    """The blob market at block level, for validation of the daily rows and of the chain's own headers."""
+    return _dated(_json(spark, path, C.BLOB_BLOCKS, lines))
+
+
+def read_rollup_blobs(spark: SparkSession, path: str, lines: bool = True) -> DataFrame:
+    """Blob gas and transaction hashes per day and labelled rollup; ``blobs_count`` follows from the gas."""
+    return _dated(_json(spark, path, C.ROLLUP_BLOBS, lines)).withColumn("blobs_count", X.blobs_from_gas("rollup_blob_gas_used"))
+
+
 def read_prices(spark: SparkSession, path: str, lines: bool = True) -> DataFrame:
     return _dated(_json(spark, path, C.PRICES, lines))
 
@@ -91,6 +101,27 @@ def csv_headers(spark: SparkSession, path: str) -> DataFrame:
     return first.groupBy(F.regexp_replace("header", "\\r$", "").alias("header")).agg(F.collect_list("path").alias("paths"))
 
 
+def header_failures(spark: SparkSession, path: str, required: list[str]) -> DataFrame:
+    """(path, failure, message) of the CSV files under ``path`` whose header lacks required columns or that have no header.
+
+    A file of blank lines has no header; one of no bytes at all is not seen by any scan, so not here either.
+    """
+    files = spark.read.format("binaryFile").load(path).select(F.col("_metadata.file_path").alias("path"))
+    lines = spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id")
+    )
+    first = lines.filter("_block = 0 AND value <> ''").groupBy("path").agg(F.min_by("value", "_id").alias("header"))
+    have = F.transform(F.split(F.regexp_replace("header", "\\r$", ""), ","), lambda c: F.regexp_replace(F.trim(c), '^"|"$', ""))
+    wanted = F.array(*[F.lit(c) for c in sorted(required)])
+    missing = F.array_except(wanted, have)
+    judged = files.join(first, "path", "left").select(
+        "path",
+        F.when(F.col("header").isNull(), F.lit("missing_header")).when(F.size(missing) > 0, F.lit("missing_columns")).alias("failure"),
+        F.when(F.col("header").isNull(), F.lit("missing_header")).otherwise(F.concat(F.lit("missing_columns:"), F.array_join(missing, ","))).alias("message"),
+    )
+    return judged.where("failure IS NOT NULL")
+
+
 def read_panel_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """As ``_panel_files``, with the columns of every file taken by the names in its own header.
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -53,8 +54,24 @@ def refresh_panel(
 
 
 def full_rebuild(build: Callable[[dt.date | None], DataFrame], path: str) -> None:
-    """The whole table anew: what the build lacks is stored no more."""
-    write_partitions(build(None), path, ["date_utc"], whole=True)
+    """The whole table anew: what the build lacks is stored no more.
+
+    The build is written beside the table and takes its name at the end, so one that fails leaves the table as it
+    was. Between the two renames the name is free for a moment; readers who must not see that, or want older
+    builds as well, use ``sinks.versioned``.
+    """
+    df = build(None)
+    jvm, spark = df.sparkSession._jvm, df.sparkSession
+    place = lambda p: jvm.org.apache.hadoop.fs.Path(p)
+    mark = uuid.uuid4().hex
+    fresh, old = f"{path.rstrip('/')}.build-{mark}", f"{path.rstrip('/')}.old-{mark}"
+    write_partitions(df, fresh, ["date_utc"], whole=True)
+    fs = place(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(place(path)) and not fs.rename(place(path), place(old)):
+        raise OSError(f"cannot move {path}")
+    if not fs.rename(place(fresh), place(path)):
+        raise OSError(f"cannot move {fresh}")
+    fs.delete(place(old), True)
 
 
 def append_new(new: DataFrame, path: str, keys: list[str], version: str) -> None:

@@ -177,3 +177,39 @@ def test_each_csv_file_has_its_own_header(spark, tmp_path):
     (tmp_path / "c.csv").write_text("date_utc,fees\n2024-01-03,7\n")
     got = {r.date_utc: (r.fees, r.rent) for r in SV.read_panel_csv(spark, str(tmp_path)).collect()}
     assert got == {"2024-01-01": ("5", "1"), "2024-01-02": ("6", "2"), "2024-01-03": ("7", None)}
+
+
+def test_a_contract_index_leads_to_its_entry(tmp_path):
+    (tmp_path / "contracts").mkdir()
+    (tmp_path / "contracts" / "a.yaml").write_text("name: a\nfields:\n  - {name: x, type: number, nullable: false}\n")
+    (tmp_path / "contracts" / "b.yaml").write_text("name: b\n")
+    index = tmp_path / "contracts" / "index.yaml"
+    index.write_text("version: 1\nschemas:\n  one: contracts/a.yaml\n  two: contracts/b.yaml\n  gone: contracts/c.yaml\n")
+    assert C.load_contract(str(index), "one")["fields"][0]["name"] == "x"
+    assert C.load_contract(str(index), "two", root=str(tmp_path)) == {"name": "b"}
+    assert C.load_contract(str(tmp_path / "contracts" / "b.yaml")) == {"name": "b"}
+    for entry, error in ((None, KeyError), ("three", KeyError), ("gone", FileNotFoundError)):
+        with pytest.raises(error):
+            C.load_contract(str(index), entry)
+
+
+def test_header_rows(spark, tmp_path):
+    texts = {"good": 'date_utc,"rollup_id",l2_fees_eth,rent_paid_eth,x\r\n1,2,3,4,5\r\n', "short": "rollup_id,date_utc\n1,2\n", "empty": "\n\n"}
+    for name, text in texts.items():
+        (tmp_path / f"{name}.csv").write_text(text, newline="")
+    found = SV.header_failures(spark, str(tmp_path), Q.PANEL_REQUIRED).collect()
+    got = sorted((r["path"].rsplit("/", 1)[1], r["failure"], r["message"]) for r in found)
+    assert got == [("empty.csv", "missing_header", "missing_header"), ("short.csv", "missing_columns", "missing_columns:l2_fees_eth,rent_paid_eth")]
+
+
+def test_a_full_rebuild_that_fails_leaves_the_table(spark, tmp_path):
+    days = spark.createDataFrame([(1, D(2024, 5, 1)), (2, D(2024, 5, 2))], "v int, date_utc date")
+    path = f"{tmp_path}/t"
+    RF.full_rebuild(lambda _: days, path)
+    bad = days.withColumn("v", F.when(F.col("v") == 2, F.raise_error(F.lit("lost")).cast("int")).otherwise(F.lit(9)))
+    with pytest.raises(Exception, match="lost"):
+        RF.full_rebuild(lambda _: bad, path)
+    read = lambda: sorted(r["v"] for r in spark.read.parquet(path).collect())
+    assert read() == [1, 2]
+    RF.full_rebuild(lambda _: days.where("v = 2"), path)
+    assert read() == [2]
