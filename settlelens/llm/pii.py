@@ -8,7 +8,8 @@ windows of the corpus whose labels are the pattern spans, and on rewritten copie
 Decoding looks at every place that can hold personal data: each digit, ``@`` or written-out "at" opens a
 region of the text around it; regions that touch are one. A region is covered by overlapping windows; the
 windows' emission scores are blended, those near a window's edge counting less, and one CRF path and its
-marginals over the whole region decide. A path's span is added if every character is sure enough, it has
+marginals over the region decide; a region of over 2,304 characters is decoded in pieces of 2,048 that see 256
+more on either side, and a span counts for the piece in which it starts. A path's span is added if every character is sure enough, it has
 the digits of its kind, and it overlaps neither a pattern span nor a match that a pattern rejected.
 
 Edge cases. A null text counts as empty and has no spans. A corpus without any pattern span trains on
@@ -54,6 +55,9 @@ SEED = 11
 WINDOW = 64
 STRIDE = 32
 MARGIN = 32
+PIECE = 2_048  # characters of a region that are decoded together
+OVERLAP = 256  # seen beyond them on either side
+PIECES = 1_024  # pieces whose emissions are held at a time
 SURE = 0.8
 
 Span = tuple[str, int, int]
@@ -241,8 +245,8 @@ def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
     return np.log(np.exp(x - top).sum(axis=axis)) + top.squeeze(axis)
 
 
-def crf_marginals(emit: np.ndarray, trans: np.ndarray, mask: np.ndarray):
-    """Of emissions (time, batch, tags): log partition, tag marginals, and expected transition counts."""
+def crf_marginals(emit: np.ndarray, trans: np.ndarray, mask: np.ndarray, counts: bool = True):
+    """Of emissions (time, batch, tags): log partition, tag marginals, and, if asked, expected transition counts."""
     steps, n, k = emit.shape
     ahead = np.empty_like(emit)
     ahead[0] = emit[0] + _START
@@ -255,6 +259,8 @@ def crf_marginals(emit: np.ndarray, trans: np.ndarray, mask: np.ndarray):
         step = _log_sum(trans + (emit[t + 1] + behind[t + 1])[:, None, :], 2)
         behind[t] = np.where(mask[t + 1][:, None], step, behind[t + 1])
     unary = np.exp(ahead + behind - log_z[None, :, None])
+    if not counts:
+        return log_z, unary, None
     later = (emit[1:] + behind[1:] - log_z[None, :, None])[:, :, None, :]
     joint = np.exp(ahead[:-1][..., None] + trans + later) * mask[1:][..., None, None]
     return log_z, unary, joint.sum((0, 1))
@@ -411,10 +417,31 @@ def region_emissions(model: Tagger, classes: list[np.ndarray], batch: int = 1024
 
 
 def model_spans(model: Tagger, texts: list[str], sure: float = SURE) -> list[list[Span]]:
-    """Spans of the best global path of each region of each text, with every character sure enough."""
-    places = [(i, a, b) for i, t in enumerate(texts) for a, b in regions(t)]
+    """Spans of the best global path of each region of each text, with every character sure enough.
+
+    Long regions are decoded in overlapping pieces, so memory is bounded whatever the length of a text.
+    """
+    whole = [(i, a, b) for i, t in enumerate(texts) for a, b in regions(t)]
+    places = [(i, *piece) for i, a, b in whole for piece in pieces_of(a, b)]
     found: list[list[Span]] = [[] for _ in texts]
-    emissions = region_emissions(model, [char_classes(texts[i][a:b]) for i, a, b in places])
+    for lo in range(0, len(places), PIECES):
+        _decode(model, texts, places[lo : lo + PIECES], found, sure)
+    return [sorted(s, key=lambda x: (x[1], KINDS.index(x[0]))) for s in found]
+
+
+def pieces_of(start: int, end: int) -> list[tuple[int, int, int, int]]:
+    """(start, end, own start, own end) of the pieces in which a region is decoded; neighbours overlap.
+
+    A span counts for the piece in whose own part it starts, so a piece sees at least ``OVERLAP`` characters
+    before and after each of its spans, as far as the region goes, and no span is found twice.
+    """
+    if end - start <= PIECE + OVERLAP:
+        return [(start, end, start, end)]
+    return [(max(start, at - OVERLAP), min(end, at + PIECE + OVERLAP), at, min(end, at + PIECE)) for at in range(start, end, PIECE)]
+
+
+def _decode(model: Tagger, texts: list[str], places: list[tuple], found: list[list[Span]], sure: float) -> None:
+    emissions = region_emissions(model, [char_classes(texts[i][a:b]) for i, a, b, _, _ in places])
     trans = model.transitions
     order = sorted(range(len(places)), key=lambda r: len(emissions[r]))
     at = 0
@@ -427,9 +454,9 @@ def model_spans(model: Tagger, texts: list[str], sure: float = SURE) -> list[lis
         for col, r in enumerate(group):
             emit[: len(emissions[r]), col], mask[: len(emissions[r]), col] = emissions[r], True
         path = crf_path(emit, trans, mask)
-        _, unary, _ = crf_marginals(emit, trans, mask)
+        _, unary, _ = crf_marginals(emit, trans, mask, counts=False)
         for col, r in enumerate(group):
-            i, start, end = places[r]
+            i, start, end, own, own_end = places[r]
             tags = path[: end - start, col]
             for a in np.flatnonzero(tags % 2 == 1):
                 b = a + 1
@@ -437,9 +464,8 @@ def model_spans(model: Tagger, texts: list[str], sure: float = SURE) -> list[lis
                     b += 1
                 k = int(tags[a] // 2)
                 both = unary[a:b, col, 1 + 2 * k] + unary[a:b, col, 2 + 2 * k]
-                if both.min() >= sure:
+                if both.min() >= sure and own <= start + int(a) < own_end:
                     found[i].append((KINDS[k], start + int(a), start + int(b)))
-    return found
 
 
 def _fits(kind: str, value: str) -> bool:

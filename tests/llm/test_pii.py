@@ -112,3 +112,25 @@ def test_sample_is_distinct_and_holds_rare_spans(spark):
     spans = [s for w in windows for s in pii.pattern_spans(w)[0]]
     assert sorted(k for k, _, _ in spans) == ["email"] * 3 + ["phone"]
     assert pii.windows_of("1 " * 30 + "+1 (555) 010-2030 " * 20)[0].endswith(" ")
+
+
+def test_long_regions_are_decoded_in_overlapping_pieces():
+    for end in (1, 2048, 2304, 2305, 10_000):
+        parts = pii.pieces_of(7, 7 + end)
+        own = [(a, b) for _, _, a, b in parts]
+        assert own[0][0] == 7 and own[-1][1] == 7 + end and all(x[1] == y[0] for x, y in zip(own, own[1:], strict=False))
+        assert all(s <= a and b <= e and e - s <= pii.PIECE + 2 * pii.OVERLAP for s, e, a, b in parts)
+
+
+def test_a_long_text_of_numbers_takes_bounded_memory():
+    import tracemalloc
+
+    rng = np.random.default_rng(5)
+    text = " ".join(map(str, rng.integers(0, 60, 140_000)))
+    assert len(pii.regions(text)) == 1 and len(text) > 390_000
+    model = pii.Tagger.fresh(np.random.default_rng(0))
+    tracemalloc.start()
+    pii.model_spans(model, [text, ""])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200e6
