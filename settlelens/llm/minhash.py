@@ -133,7 +133,7 @@ def chunk_links(pair: pd.DataFrame) -> pd.DataFrame:
     own = pair["low"].iloc[0] == pair["high"].iloc[0]
     ids, side = pair["doc_id"].to_numpy(), pair["part"].to_numpy() == pair["high"].to_numpy()
     values = np.frombuffer(b"".join(pair["values"]), np.uint8).reshape(len(ids), -1)
-    keys = np.stack(pair["keys"].to_numpy())
+    keys = np.stack(pair["prints"].to_numpy())
     label = np.unique(pair["root"].to_numpy(), return_inverse=True)[1]
     codes: dict[int, np.ndarray] = {}
 
@@ -162,16 +162,24 @@ def chunk_links(pair: pd.DataFrame) -> pd.DataFrame:
 
 
 def _links_within_buckets(open_: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links between members (band, key, doc_id, root) of open buckets, dealt to tasks by pairs of chunks."""
+    """Links between members (band, key, doc_id, root) of open buckets, dealt to tasks by pairs of chunks.
+
+    Members are dealt by their ids and sizes alone; what tasks compare is joined to them last, so it is
+    shuffled once.
+    """
     used = texts.join(open_.select("doc_id").distinct(), "doc_id", "left_semi")
-    used = materialize(used.select("doc_id", _keys("text").alias("m"), _pack("text").alias("packed")).select("doc_id", "m.*", "packed"), "minhash-packed")
-    rows = open_.join(used, "doc_id").where(F.get("keys", F.col("band")) == F.col("key"))
-    sizes = rows.groupBy("key").agg(F.ceil(F.sum(F.length("packed") + 1000) / CHUNK_BYTES).cast("int").alias("parts"))
-    sizes = materialize(sizes, "minhash-sizes")
-    dealt = rows.join(sizes, "key").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
+    used = used.select("doc_id", _keys("text").alias("m"), _pack("text").alias("packed"))
+    # 32 bits of a key are enough to tell the first band that two texts share.
+    prints = F.transform("m.keys", lambda k: k.bitwiseAND(0x7FFFFFFF).cast("int")).alias("prints")
+    used = materialize(used.select("doc_id", prints, "m.values", "packed"), "minhash-packed")
+    lengths = used.select("doc_id", (F.length("packed") + 1000).alias("size"))
+    sizes = open_.join(lengths, "doc_id").groupBy("key").agg(F.ceil(F.sum("size") / CHUNK_BYTES).cast("int").alias("parts"))
+    dealt = open_.join(sizes, "key").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    dealt = dealt.withColumns({"low": F.least("part", "other"), "high": F.greatest("part", "other")})
-    return dealt.groupBy("key", "low", "high").applyInPandas(chunk_links, "u bigint, v bigint")
+    dealt = dealt.select("band", "key", "doc_id", "root", "part", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"))
+    dealt = materialize(dealt, "minhash-dealt")
+    rows = dealt.join(used, "doc_id").where(F.get("prints", F.col("band")) == F.col("key").bitwiseAND(0x7FFFFFFF).cast("int"))
+    return rows.groupBy("key", "low", "high").applyInPandas(chunk_links, "u bigint, v bigint")
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", given: DataFrame | None = None) -> DataFrame:
@@ -182,7 +190,8 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), null_safe_text(text_col).alias("text"))
     texts = rows.where("doc_id IS NOT NULL")
     keys = texts.select("doc_id", _keys("text")["keys"].alias("keys"))
-    bands = materialize(keys.select("doc_id", F.posexplode("keys").alias("band", "key")), "minhash-bands")
+    # There always are keys; the outer form keeps the optimizer from a filter on them, which would work them out twice.
+    bands = materialize(keys.select("doc_id", F.posexplode_outer("keys").alias("band", "key")), "minhash-bands")
     shared = bands.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
     members = materialize(bands.join(shared, "key"), "minhash-members")
     tried, links, roots = None, given, None

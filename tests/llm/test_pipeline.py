@@ -6,23 +6,7 @@ from settlelens.llm.mixing import mixing_sql
 from settlelens.llm.quality_sql import quality_sql
 from settlelens.llm.sentencepiece import Pieces
 from tests.llm.conftest import SMALL, duck
-from tests.llm.test_minhash import plain_groups
-from tests.llm.test_simhash import plain_components, plain_fingerprint
-
-
-def near_groups(texts):
-    """Components of both rules: Jaccard 0.8 of 5-word shingles, and fingerprints of them within four bits."""
-    sets, prints = plain_groups(texts), plain_components([plain_fingerprint(t, 5) for t in texts])
-    label = list(range(len(texts)))
-    changed = True
-    while changed:
-        changed = False
-        for other in (sets, prints):
-            for i, j in enumerate(other):
-                low = min(label[i], label[j])
-                changed |= label[i] != low or label[j] != low
-                label[i] = label[j] = low
-    return label
+from tests.llm.test_minhash import near_groups
 
 
 def test_against_brute_force(spark):
