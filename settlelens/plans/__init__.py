@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ["function_queries", "panel_queries", "chain_queries", "check_queries", "stat_queries", "file_queries", "event_queries"]
+_MODULES = [
+    "function_queries", "panel_queries", "chain_queries", "check_queries", "stat_queries", "file_queries", "event_queries", "analytic_queries",
+]
 
 
 def registered():
