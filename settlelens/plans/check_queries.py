@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from settlelens import contracts as C
 from settlelens.operators import checks as Q
+from settlelens.operators import lineage as L
 from settlelens.operators import metrics as M
 from settlelens.operators import normalize as N
 from settlelens.operators import reconcile as R
@@ -323,3 +324,16 @@ def q19(spark, d):
 def q19_check(spark, d):
     e = edges(spark, d)
     return Q.lineage_check(e, e).select("check", "key", "detail")
+
+
+@query("q19_lineage_reach", sql(
+    """SELECT 'order-' || CAST(o_orderkey AS VARCHAR) AS artifact, 'nation-' || CAST(c_nationkey AS VARCHAR) AS input, r.artifact IS NOT NULL AS reaches
+    FROM orders JOIN customer ON o_custkey = c_custkey LEFT JOIN (SELECT DISTINCT a.artifact, c.input FROM edges_ a JOIN edges_ b ON a.input = b.artifact
+      JOIN edges_ c ON b.input = c.artifact WHERE starts_with(a.artifact, 'order-')) r
+    ON r.artifact = 'order-' || CAST(o_orderkey AS VARCHAR) AND r.input = 'nation-' || CAST(c_nationkey AS VARCHAR)""", extra=(EDGES,)))
+def q19_reach(spark, d):
+    """Whether any supplier of the parts of an order is of its customer's nation."""
+    placed = fx.table(spark, d, "orders").join(fx.table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    asked = placed.select(F.concat(F.lit("order-"), F.col("o_orderkey").cast("string")).alias("artifact"),
+                          F.concat(F.lit("nation-"), F.col("c_nationkey").cast("string")).alias("input"))
+    return L.reaches(asked, edges(spark, d))
