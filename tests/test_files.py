@@ -213,3 +213,21 @@ def test_a_full_rebuild_that_fails_leaves_the_table(spark, tmp_path):
     assert read() == [1, 2]
     RF.full_rebuild(lambda _: days.where("v = 2"), path)
     assert read() == [2]
+
+
+def test_plain_checkpoint_folder_is_shared_on_a_cluster(spark, tmp_path):
+    """The folder of spark.checkpoint.dir may be given without a scheme."""
+    from types import SimpleNamespace
+
+    from settlelens.session import scratch_root
+
+    jvm, hadoop = spark.sparkContext._jvm, spark.sparkContext._jsc
+    context = SimpleNamespace(master="local-cluster[3,4,10240]", _jvm=jvm, _jsc=hadoop)
+    for given in (f"{tmp_path}/ck/", f"file:{tmp_path}/ck", f"file://{tmp_path}/ck"):
+        cluster = SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda key, default=None, g=given: g))
+        root = scratch_root(cluster)
+        SN.require_shared(cluster, root)
+        _, path = SN._open_fs(root)
+        assert path == f"{tmp_path}/ck"
+    with pytest.raises(ValueError):
+        SN.require_shared(cluster, f"{tmp_path}/ck")
