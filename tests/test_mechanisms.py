@@ -152,3 +152,23 @@ def test_of_two_publishes_on_one_version_the_second_is_refused(spark, tmp_path):
     with pytest.raises(Conflict):
         t._commit(base, mine)
     assert content(t.read()) == [(3, 3)]
+
+
+def test_new_senders_look_up_contracts_before_senders(spark):
+    """Transactions to no known contract are gone before any is joined by its sender."""
+    from settlelens.operators import attribution as A
+
+    window = "timestamp'2024-01-01' AS valid_from_utc, CAST(NULL AS timestamp) AS valid_to_utc, 'high' AS confidence"
+    known = spark.sql(f"SELECT 'r1' AS rollup_id, 's1' AS address, {window}")
+    contracts = spark.sql(f"SELECT 'r2' AS rollup_id, 'c1' AS contract_address, {window}")
+    rows = [(s, c, at(day * 86_400)) for s in ("s1", "s2", None) for c in ("c1", "c2", None) for day in (1, 2)] + [("s3", "c1", at(86_400))]
+    tx = spark.createDataFrame(rows, "from_address string, to_address string, ts timestamp").where("ts IS NOT NULL").withColumns(
+        {"ts": F.col("ts") + F.expr("interval 60 days"), "execution_fee_wei": F.lit(5).cast("decimal(30,0)"), "burn_blob_wei": F.lit(None).cast("decimal(30,0)")}
+    ).withColumn("date_utc", F.col("ts").cast("date"))
+    found = A.new_sender_candidates(A.attribute(tx, known, contracts))
+    got = sorted((str(r["from_address"]), r["rollup_id"], r["active_days"], r["n_tx"], int(r["spend_wei"])) for r in found.collect())
+    assert got == [("None", "r2", 2, 2, 10), ("s2", "r2", 2, 2, 10)]
+    joins = [line for line in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in line]
+    contract = next(line for line in joins if "_to_key" in line)
+    sender = next(line for line in joins if "_from_key" in line)
+    assert "Join Inner" in contract and joins.index(sender) < joins.index(contract)
