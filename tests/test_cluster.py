@@ -43,3 +43,7 @@ def rows_on_a_cluster(key: str, tmp_path) -> int:
 
 def test_k5_processed_manifest(tmp_path):
     assert rows_on_a_cluster("k5_processed_manifest", tmp_path) == 7
+
+
+def test_k6_run_manifest(tmp_path):
+    assert rows_on_a_cluster("k6_run_manifest", tmp_path) == 4
