@@ -47,3 +47,7 @@ def test_k5_processed_manifest(tmp_path):
 
 def test_k6_run_manifest(tmp_path):
     assert rows_on_a_cluster("k6_run_manifest", tmp_path) == 4
+
+
+def test_k7_checksum_ledger(tmp_path):
+    assert rows_on_a_cluster("k7_checksum_ledger", tmp_path) == 14
