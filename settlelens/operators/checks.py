@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -393,14 +395,41 @@ def rehash(manifest_files: DataFrame, snapshot_files: DataFrame) -> DataFrame:
 def lineage_closure(edges: DataFrame, roots: DataFrame | None = None) -> DataFrame:
     """(artifact, input, depth) pairs reachable through ``edges`` (artifact, input).
 
-    ``roots`` (artifact) names the artifacts asked about; without it every artifact is one. Each round
-    joins the newest pairs to the edges and writes the result to the shared folder, so the plan stays
-    short and a lost executor costs one round. Rounds go on until no new pair appears, so a cycle ends.
+    ``roots`` (artifact) names the artifacts asked about; without it every artifact is one. Artifacts that
+    reach no cycle are worked out from the bottom up, see ``closure_by_levels``; the others, roots and edges without
+    an artifact go by rounds from the top. Links without an input are pairs like others, once for each depth.
     """
+    from settlelens.operators.lineage import closure_by_levels, levels
     from settlelens.session import materialize
 
     base = materialize(edges.select("artifact", "input").distinct(), "lineage-edges")
-    first = base if roots is None else base.join(roots.select("artifact").distinct(), "artifact", "left_semi")
+    if roots is not None:
+        return _closure_by_rounds(base.join(roots.select("artifact").distinct(), "artifact", "left_semi"), base)
+    links = base.where("artifact IS NOT NULL AND input IS NOT NULL")
+    settled = list(levels(links, 1))
+    known = functools.reduce(lambda a, b: a.unionByName(b), settled).select(F.col("node").alias("artifact"))
+    open_ = materialize(links.select("artifact").distinct().join(known, "artifact", "left_anti"), "lineage-open")
+    no_input = base.where("artifact IS NOT NULL AND input IS NULL").select("artifact")
+    named = base.where("artifact IS NOT NULL").withColumn("depth", F.lit(1))
+    by_rounds = base.where("artifact IS NULL")
+    if not open_.isEmpty():
+        named = named.join(open_, "artifact", "left_anti")
+        by_rounds = by_rounds.unionByName(base.join(open_, "artifact", "left_semi"))
+    pairs = named.unionByName(closure_by_levels(links, settled).withColumn("depth", F.col("depth").cast("int")))
+    if not no_input.isEmpty():
+        ends = pairs.join(no_input.withColumnRenamed("artifact", "input"), "input", "left_semi")
+        pairs = pairs.unionByName(ends.select("artifact", F.lit(None).cast("string").alias("input"), (F.col("depth") + 1).alias("depth")).distinct())
+    return pairs if by_rounds.isEmpty() else pairs.unionByName(_closure_by_rounds(by_rounds, base))
+
+
+def _closure_by_rounds(first: DataFrame, base: DataFrame) -> DataFrame:
+    """The closure of the artifacts of ``first``, links of ``base``.
+
+    Each round joins the newest pairs to the edges and writes the result to the shared folder, so the plan stays
+    short and a lost executor costs one round. Rounds go on until no new pair appears, so a cycle ends.
+    """
+    from settlelens.session import materialize
+
     seen = frontier = materialize(first.withColumn("depth", F.lit(1)), "lineage")
     depth = 1
     while not frontier.isEmpty():
