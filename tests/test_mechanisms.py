@@ -172,3 +172,17 @@ def test_new_senders_look_up_contracts_before_senders(spark):
     contract = next(line for line in joins if "_to_key" in line)
     sender = next(line for line in joins if "_from_key" in line)
     assert "Join Inner" in contract and joins.index(sender) < joins.index(contract)
+
+
+def test_asof_join_works_out_its_facts_once(spark, tmp_path):
+    """Facts without a key or a time come back with nulls from the one pass that carries the rows."""
+    rows = [(1, "a", 5, "n1"), (2, "a", None, "n2"), (3, None, 5, "n3"), (4, None, None, "n4"), (5, "b", 9, "n5"), (2, "a", None, "n2"), (6, "a", 0, "n6")]
+    spark.createDataFrame(rows, "i int, k string, s bigint, note string").write.parquet(str(tmp_path / "facts"))
+    facts = spark.read.parquet(str(tmp_path / "facts")).select("i", "k", F.timestamp_seconds("s").alias("at"), "note", F.create_map("note", "i").alias("m"))
+    versions = spark.createDataFrame([("a", 1, "x"), ("a", 5, "y"), (None, 1, "z"), ("a", None, "w")], "k string, s bigint, v string").select(
+        "k", F.timestamp_seconds("s").alias("since"), "v")
+    out = asof_join(facts, versions, ["k"], "at", "since", ["v"], width=2)
+    got = sorted((r.i, r.note, r.v) for r in out.collect())
+    assert got == [(1, "n1", "y"), (2, "n2", None), (2, "n2", None), (3, "n3", None), (4, "n4", None), (5, "n5", None), (6, "n6", None)]
+    plan = out._jdf.queryExecution().sparkPlan().toString()
+    assert sum("FileScan" in line and "note#" in line.split("FileScan")[1] for line in plan.splitlines()) == 1
