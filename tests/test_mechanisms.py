@@ -7,7 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from settlelens.functions import joins
 from settlelens.operators.asof import asof_join
+from settlelens.operators.costs import with_blob_fee
 from settlelens.sinks import sketches as SK
 from settlelens.sinks.versioned import Conflict, VersionedTable
 
@@ -186,3 +188,39 @@ def test_asof_join_works_out_its_facts_once(spark, tmp_path):
     assert got == [(1, "n1", "y"), (2, "n2", None), (2, "n2", None), (3, "n3", None), (4, "n4", None), (5, "n5", None), (6, "n6", None)]
     plan = out._jdf.queryExecution().sparkPlan().toString()
     assert sum("FileScan" in line and "note#" in line.split("FileScan")[1] for line in plan.splitlines()) == 1
+
+
+def test_exact_percentiles_deal_a_large_key(spark, monkeypatch):
+    """The rows of a key that are over the size of a part meet its brackets in several tasks."""
+    monkeypatch.setattr(joins, "PART_ROWS", 500, raising=False)
+    monkeypatch.setattr(joins, "TASK_ROWS", 2_000, raising=False)
+    rows = spark.range(20_000).select(F.when(F.col("id") < 16_000, "a").when(F.col("id") < 19_990, "b").alias("k"), ((F.col("id") * 7919) % 20_011).alias("v"))
+    plans = []
+    plain = joins.lookup
+    monkeypatch.setattr(joins, "lookup", lambda fact, dim, on, how="left": plans.append(list(on)) or plain(fact, dim, on, how))
+    got = {r.k: (r.low, r.mid) for r in joins.exact_percentiles(rows, ["k"], "v", {"low": 0.1, "mid": 0.5}).collect()}
+    want = {}
+    for k, span in (("a", range(16_000)), ("b", range(16_000, 19_990))):
+        values = sorted(i * 7919 % 20_011 for i in span)
+        at = lambda p, v=values: v[int((len(v) - 1) * p)] + (v[min(int((len(v) - 1) * p) + 1, len(v) - 1)] - v[int((len(v) - 1) * p)]) * ((len(v) - 1) * p % 1)
+        want[k] = (pytest.approx(at(0.1)), pytest.approx(at(0.5)))
+    assert {k: v for k, v in got.items() if k is not None} == want
+    assert plans[0] == ["k", "_part"]
+
+
+def test_blocks_that_look_for_no_fee_level_are_spread(spark):
+    """Blocks before activation have no excess gas; they do not meet in one task of the look-up."""
+    blocks = spark.range(4_000).select(F.col("id").alias("block_number"), (F.col("id") * 12).alias("timestamp"), F.lit(None).cast("bigint").alias("excess_blob_gas"))
+    last = spark.createDataFrame([(4_000, 1_720_000_000, 131_072 * 300)], blocks.schema)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
+    try:
+        for k, v in zip(before, ("-1", "false", "16"), strict=True):
+            spark.conf.set(k, v)
+        out = with_blob_fee(blocks.unionByName(last))
+        got = out.select("block_number", "blob_fee_derived", "base_fee_per_blob_gas_wei", F.spark_partition_id().alias("task")).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    tasks = [r.task for r in got]
+    assert len(tasks) == 4_001 and max(map(tasks.count, set(tasks))) < 800
+    assert [(r.block_number, r.blob_fee_derived) for r in got if r.base_fee_per_blob_gas_wei is not None] == [(4_000, True)]
