@@ -13,7 +13,7 @@ document table (ids and lengths) and the chunk index, so a reader can fetch any
 Files go to a temporary name first and are renamed, so a retried or doubled task leaves one whole file.
 Shards are numbered in id order; a manifest table has one row per shard.
 
-Encoding looks a chunk of text up before it calls the tokenizer. The byte-level pattern always breaks
+Encoding cuts the texts of many documents into parts, numbers the different ones and looks each up once before it calls the tokenizer. The byte-level pattern always breaks
 before a single space between two visible characters, around a single line break between two, and between
 a letter and a run of plain punctuation, so encoding the parts gives the ids of the whole.
 
@@ -50,12 +50,14 @@ LEVEL = 3
 UNIT = 8  # bits of a plane: bytes of ids compress better than single bits, which zstandard cannot model
 END_ID = 0
 CACHE = 300_000  # parts of text in each of the two tables of known ones of a Python worker
-GROUP = 1024  # documents whose unknown parts are encoded in one call
+GROUP = 8 << 20  # characters of documents that are encoded together
 
-_DOUBLE_SPACE = re.compile(r"\s\s")
-_CUT = re.compile(r"(?<=\S)(?= \S)")
-_LINE = re.compile(r"(?<=\S)(?=\n\S)|(?<=\S\n)(?=\S)")
 _PUNCTUATION = ".,;:!?%$&#*|"
+_BREAK = np.isin(np.arange(256), [10, 32])
+_SPACE = np.isin(np.arange(256), [*range(9, 14), *range(28, 33)])  # bytes that are a space by themselves
+_SEEN = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that the byte-level form shows as themselves
+_SHOWN = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _SEEN)}
+_WIDE = {n: np.array([int.from_bytes(c.encode()) for c in map(chr, range(128, 0x10000)) if c.isspace() and len(c.encode()) == n]) for n in (2, 3)}
 
 
 # ---- planes
@@ -187,6 +189,14 @@ class ShardReader:
 # ---- encoding
 
 
+def _wide_space(data: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    """Whether a space of ``size`` bytes stands at each place; places outside the data have none."""
+    code = np.zeros(len(at), np.int64)
+    for k in range(size):
+        code = code << 8 | data[np.clip(at + k, 0, len(data) - 1)]
+    return np.isin(code, _WIDE[size]) & (at >= 0) & (at + size <= len(data))
+
+
 class Encoder:
     """Ids of whole texts by a tokenizer file of the byte-level kind; ``plain`` takes special tokens as plain text."""
 
@@ -201,6 +211,8 @@ class Encoder:
         kind, usual = model["pre_tokenizer"], {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
         self.parted = self.tokenizer.normalizer is None and all(kind.get(k, v) == v for k, v in usual.items())
         self.parted = self.parted and all(map(self.stays_whole, model["added_tokens"]))
+        self.model = self.tokenizer.model
+        self.plain_words = not any(token["content"].isalpha() for token in model["added_tokens"])
 
     @staticmethod
     def stays_whole(token: dict) -> bool:
@@ -209,16 +221,38 @@ class Encoder:
         apart = token["single_word"] or token["lstrip"] or token["rstrip"] or "\0" in text
         return not apart and not re.search(r"\s", text) and text[-1:] not in _PUNCTUATION
 
+    @staticmethod
+    def one_word(part: str) -> bool:
+        """Whether a part is Latin letters after a space or none: one match of the pattern, whatever version of Unicode it has."""
+        return (part[1:] if part[:1] == " " else part).isalpha() and (part.isascii() or max(part) < "\u0250")
+
+    def _word(self, part: str) -> bytes:
+        """Ids of one match of the pattern, which goes to the model as it is."""
+        shown = part.replace(" ", "\u0120") if part.isascii() else part.encode().decode("latin-1").translate(_SHOWN)
+        return array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
+
     def _raw(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [array("I", e.ids).tobytes() for e in found]
 
     @staticmethod
-    def cut(text: str) -> list[str]:
-        """Parts at whose edges the pattern always breaks: words with the space before them, and line breaks."""
-        if _DOUBLE_SPACE.search(text) or text[:1].isspace() or text[-1:].isspace() or "\0" in text:
-            return [p for part in _CUT.split(text) for p in _LINE.split(part)]
-        return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
+    def cuts(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Where the parts of the texts start that lie end to end in ``data`` (UTF-8) from ``starts`` on.
+
+        Parts are words with the space before them, and line breaks; the pattern always breaks at their edges.
+        """
+        edge = np.zeros(len(data) + 1, bool)  # where a text starts or ends: no neighbour across it counts as visible
+        edge[starts] = edge[-1] = True
+        at = np.flatnonzero(_BREAK[data])
+        at = at[~edge[at] & ~edge[at + 1]]
+        at = at[~_SPACE[data[at - 1]] & ~_SPACE[data[at + 1]]]
+        high = np.flatnonzero((data[at - 1] >= 128) | (data[at + 1] >= 128))  # spaces of several bytes may stand there
+        near = at[high]
+        wide = _wide_space(data, near - 3, 3) | _wide_space(data, near - 2, 2) | _wide_space(data, near + 1, 3) | _wide_space(data, near + 1, 2)
+        at = np.delete(at, high[wide])
+        edge[at] = True
+        edge[at[data[at] == 10] + 1] = True
+        return np.flatnonzero(edge[:-1])
 
     @staticmethod
     def finer(part: str) -> tuple[str, str] | None:
@@ -228,16 +262,14 @@ class Encoder:
             return stem, part[len(stem) :]
         return None
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if not self.parted:
-            return [np.frombuffer(b, np.uint32) for b in self._raw(texts)]
+    def look_up(self, parts: list[str]) -> list[bytes]:
+        """Ids of different parts."""
         if len(self.known) > CACHE:  # the parts of late go on; older ones are looked up once more before they go
             self.older, self.known = self.known, {}
         known, older = self.known, self.older
-        cut = [self.cut(t) if t else [] for t in texts]
-        got = [list(map(known.get, parts)) for parts in cut]
-        gaps = [[k for k, g in enumerate(ids) if g is None] for ids in got]
-        found = {parts[k] for parts, where in zip(cut, gaps, strict=True) for k in where}
+        got = list(map(known.get, parts))
+        where = [k for k, ids in enumerate(got) if ids is None]
+        found = {parts[k] for k in where}
         again = found & older.keys()
         known.update(zip(again, map(older.__getitem__, again), strict=True))
         lacking, halves = [], []
@@ -251,14 +283,38 @@ class Encoder:
                 known[q] = older[q]
             else:
                 lacking.append(q)
-        lacking = list(dict.fromkeys(lacking))
+        words = set(filter(self.one_word, lacking)) if self.plain_words else set()
+        known.update((w, self._word(w)) for w in words)
+        lacking = list(set(lacking) - words)
         known.update(zip(lacking, self._raw(lacking), strict=True))
         for p, (stem, tail) in halves:
             known[p] = known[stem] + known[tail]
-        for parts, ids, where in zip(cut, got, gaps, strict=True):
-            for k in where:
-                ids[k] = known[parts[k]]
-        return [np.frombuffer(b"".join(ids), np.uint32) for ids in got]
+        for k in where:
+            got[k] = known[parts[k]]
+        return got
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """Each different part of the texts is looked up once; the texts are put together from the parts' ids."""
+        if not self.parted:
+            return [np.frombuffer(b, np.uint32) for b in self._raw(texts)]
+        import pyarrow as pa
+
+        column = pa.array(texts, pa.large_string())
+        bounds = np.frombuffer(column.buffers()[1], np.int64, len(texts) + 1)
+        if bounds[-1] == 0:
+            return [np.empty(0, np.uint32) for _ in texts]
+        data = column.buffers()[2]
+        begin = self.cuts(np.frombuffer(data, np.uint8, bounds[-1]), np.unique(bounds[:-1][bounds[:-1] < bounds[-1]]))
+        parts = pa.LargeStringArray.from_buffers(len(begin), pa.py_buffer(np.append(begin, bounds[-1])), data).dictionary_encode()
+        ids = self.look_up(parts.dictionary.to_numpy(zero_copy_only=False).tolist())
+        code = parts.indices.to_numpy()
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        first = np.cumsum(size) - size
+        n = size[code]
+        ends = np.cumsum(n)
+        flat = np.frombuffer(b"".join(ids), np.uint32)
+        whole = flat[np.repeat(first[code] - ends + n, n) + np.arange(ends[-1])]
+        return np.split(whole, np.append(0, ends)[np.searchsorted(begin, bounds[1:-1])])
 
 
 @lru_cache(maxsize=2)
@@ -292,8 +348,7 @@ def write_token_files(
         trial = f"{path}.{task.taskAttemptId()}"
         writer = None
         for frame in frames:
-            for at in range(0, len(frame), GROUP):
-                part = frame.iloc[at : at + GROUP]
+            for _, part in frame.groupby(frame["text"].str.len().cumsum() // GROUP):
                 ids = encoder.encode(part["text"].tolist())
                 for doc_id, found in zip(part["doc_id"].tolist(), ids, strict=True):
                     if writer is None:

@@ -75,3 +75,16 @@ def test_edges_in_id_order(edges, library):
 
 def test_empty(nothing):
     assert tokenfiles.token_digests(nothing, FILE).count() == 0
+
+
+def test_different_parts_are_looked_up_once(library):
+    """Also where spaces of several bytes, or none at all, stand at the edges of texts and parts."""
+    random.seed(3)
+    alphabet = [" ", "\n", "\x85", "\xa0", " ", " ", " ", " ", " ", "　", "\0", "a", "É", "ß", "ɐ", "ж", "1", "’", "*"]
+    texts = ["", *("".join(random.choices(alphabet, k=random.randint(1, 9))) for _ in range(20_000)), "", "the night the Éclair", "the night"]
+    encoder, asked = tokenfiles.Encoder(FILE), []
+    look_up = encoder.look_up
+    encoder.look_up = lambda parts: asked.extend(parts) or look_up(parts)
+    assert [x.tolist() for x in encoder.encode(texts)] == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert len(asked) == len(set(asked)) and {"the", " night", " Éclair"} <= set(asked)
+    assert [x.tolist() for x in encoder.encode(["", ""])] == [[], []]
