@@ -19,6 +19,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -111,22 +112,29 @@ class SessionProcessor(StatefulProcessor):
         self.open = handle.getListState("open", "start bigint, last bigint, n bigint, total double")
 
     def _frame(self, key, sessions: list[tuple]) -> pd.DataFrame:
-        out = pd.DataFrame(sessions, columns=["session_start", "session_end", "n", "total"])
-        out.insert(0, "key", key[0])
-        for c in ("session_start", "session_end"):
-            out[c] = pd.to_datetime(out[c], unit="us")
-        return out
-
-    def _keep(self, sessions: list[tuple]) -> None:
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
+        start, end, n, total = zip(*sessions, strict=True)
+        at = {"session_start": np.array(start, "datetime64[us]"), "session_end": np.array(end, "datetime64[us]")}
+        return pd.DataFrame({"key": [key[0]] * len(n), **at, "n": n, "total": total})
+
+    def _had(self) -> list[tuple]:
+        return [tuple(s) for s in self.open.get()]
+
+    def _keep(self, had: list[tuple], sessions: list[tuple], fired: bool = False) -> None:
+        """Puts ``sessions`` in the place of ``had``, whose timer is gone if it has ``fired``."""
+        old, new = self._timer(had), self._timer(sessions)
+        if old is not None and not fired and old != new:
+            self.handle.deleteTimer(old)
+        if new is not None and (fired or old != new):
+            self.handle.registerTimer(new)
         if sessions:
             self.open.put(sessions)
-            # The first session to end; timers are in milliseconds, rounded up.
-            self.handle.registerTimer(-(-(min(s[1] for s in sessions) + self.gap) // 1000))
         else:
             self.open.clear()
 
+    def _timer(self, sessions: list[tuple]) -> int | None:
+        """When the first session ends; timers are in milliseconds, rounded up."""
+        return -(-(min(s[1] for s in sessions) + self.gap) // 1000) if sessions else None
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         events = []
         for frame in rows:
@@ -135,16 +143,18 @@ class SessionProcessor(StatefulProcessor):
             mark = timerValues.getCurrentWatermarkInMs() * 1000
             each = zip(times, frame["value"].fillna(0.0).tolist(), strict=True)
             events = merge_sessions(events, [(t, t, 1, float(v)) for t, v in each if t >= mark], self.gap)
-        had = [tuple(s) for s in self.open.get()] if self.open.exists() else []
-        self._keep(merge_sessions(had, events, self.gap))
-        yield self._frame(key, [])
+        if events:
+            had = self._had()
+            self._keep(had, merge_sessions(had, events, self.gap))
+        return iter(())  # a frame for each key, though empty, takes longer than all else
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         mark = timerValues.getCurrentWatermarkInMs() * 1000
-        had = [tuple(s) for s in self.open.get()] if self.open.exists() else []
+        had = self._had()
         done = [s for s in had if s[1] + self.gap <= mark]
-        self._keep([s for s in had if s[1] + self.gap > mark])
-        yield self._frame(key, done)
+        self._keep(had, [s for s in had if s[1] + self.gap > mark], fired=True)
+        if done:
+            yield self._frame(key, done)
 
     def close(self) -> None:
         pass

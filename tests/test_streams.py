@@ -3,6 +3,7 @@
 import datetime as dt
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import types as T
 
@@ -103,3 +104,52 @@ def test_batch_sessions_against_plain_python(spark):
     got = S.batch_sessions(spark.createDataFrame(rows, SCHEMA), "key", "ts", "value", 600)
     assert sorted((r["key"], r["n"], r["total"]) for r in got.collect()) == sorted(want)
     assert S.batch_sessions(spark.createDataFrame([], SCHEMA), "key", "ts", "value", 600).count() == 0
+
+
+class Handle:
+    """One key's list state and timers in memory, with a count of the calls."""
+
+    def __init__(self):
+        self.rows, self.timers, self.calls = [], [], []
+
+    def getListState(self, *_):
+        return self
+
+    def get(self):
+        return iter(self.rows)
+
+    def put(self, rows):
+        self.rows = list(rows)
+
+    def clear(self):
+        self.rows = []
+
+    def registerTimer(self, at):
+        self.calls.append(at)
+        self.timers.append(at)
+
+    def deleteTimer(self, at):
+        self.timers.remove(at)
+
+
+class Mark:
+    def __init__(self, ms):
+        self.getCurrentWatermarkInMs = lambda: ms
+
+
+def test_a_key_yields_frames_for_closed_sessions_only():
+    processor, handle = S.SessionProcessor(10), Handle()
+    processor.init(handle)
+
+    def given(*seconds):
+        return iter([pd.DataFrame({"at": pd.to_datetime(list(seconds), unit="s"), "value": [1.0] * len(seconds)})])
+
+    assert list(processor.handleInputRows(("k",), given(100, 105, 200), Mark(0))) == []
+    assert handle.rows == [(100_000_000, 105_000_000, 2, 2.0), (200_000_000, 200_000_000, 1, 1.0)] and handle.timers == [115_000]
+    assert list(processor.handleInputRows(("k",), given(205), Mark(0))) == [] and handle.calls == [115_000]  # the same timer goes on
+    assert list(processor.handleInputRows(("k",), given(90), Mark(95_000))) == []  # late
+    assert list(processor.handleInputRows(("k",), given(99), Mark(0))) == [] and handle.timers == [115_000]
+    handle.timers.remove(115_000)  # the engine takes a timer away that fires
+    (frame,) = processor.handleExpiredTimer(("k",), Mark(150_000), None)
+    assert frame["n"].tolist() == [3] and frame["session_start"].tolist() == [pd.Timestamp(99, unit="s")] and frame["key"].tolist() == ["k"]
+    assert handle.timers == [215_000] and len(handle.rows) == 1
