@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, BinaryType, BooleanType, LongType, StructType
 
-from settlelens.llm.common import components, materialize, null_safe_text
+from settlelens.llm.common import components, drop, null_safe_text, written
 
 SEED = 42
 SHINGLE = 5
@@ -109,12 +109,12 @@ def _similar(left: pd.Series, right: pd.Series) -> pd.Series:
     return pd.Series([similar(a, b) for a, b in zip(left, right, strict=True)])
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, label: str) -> DataFrame:
-    """Those of the pairs (u, v) whose texts are similar."""
+def _verified(pairs: DataFrame, texts: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """Those of the pairs (u, v) whose texts are similar, and their folder."""
     left = texts.select(F.col("doc_id").alias("u"), F.col("text").alias("u_text"))
     right = texts.select(F.col("doc_id").alias("v"), F.col("text").alias("v_text"))
     found = pairs.join(left, "u").join(right, "v").where(_similar("u_text", "v_text"))
-    return materialize(found.select("u", "v"), label)
+    return written(found.select("u", "v"), label)
 
 
 def _pairs(a: str, b: str) -> list:
@@ -161,9 +161,11 @@ def chunk_links(pair: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(links, columns=["u", "v"], dtype="int64")
 
 
-def _links_within_buckets(open_: DataFrame, texts: DataFrame) -> DataFrame:
+def _links_within_buckets(open_: DataFrame, texts: DataFrame) -> tuple[DataFrame, list[str]]:
     """Links between members (band, key, doc_id, root) of open buckets, dealt to tasks by pairs of chunks.
 
+    With the folders that the links are worked out from when they are read.
+
     Members are dealt by their ids and sizes alone; what tasks compare is joined to them last, so it is
     shuffled once.
     """
@@ -171,15 +173,15 @@ def _links_within_buckets(open_: DataFrame, texts: DataFrame) -> DataFrame:
     used = used.select("doc_id", _keys("text").alias("m"), _pack("text").alias("packed"))
     # 32 bits of a key are enough to tell the first band that two texts share.
     prints = F.transform("m.keys", lambda k: k.bitwiseAND(0x7FFFFFFF).cast("int")).alias("prints")
-    used = materialize(used.select("doc_id", prints, "m.values", "packed"), "minhash-packed")
+    used, used_path = written(used.select("doc_id", prints, "m.values", "packed"), "minhash-packed")
     lengths = used.select("doc_id", (F.length("packed") + 1000).alias("size"))
     sizes = open_.join(lengths, "doc_id").groupBy("key").agg(F.ceil(F.sum("size") / CHUNK_BYTES).cast("int").alias("parts"))
     dealt = open_.join(sizes, "key").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     dealt = dealt.select("band", "key", "doc_id", "root", "part", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"))
-    dealt = materialize(dealt, "minhash-dealt")
+    dealt, dealt_path = written(dealt, "minhash-dealt")
     rows = dealt.join(used, "doc_id").where(F.get("prints", F.col("band")) == F.col("key").bitwiseAND(0x7FFFFFFF).cast("int"))
-    return rows.groupBy("key", "low", "high").applyInPandas(chunk_links, "u bigint, v bigint")
+    return rows.groupBy("key", "low", "high").applyInPandas(chunk_links, "u bigint, v bigint"), [used_path, dealt_path]
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", given: DataFrame | None = None) -> DataFrame:
@@ -191,22 +193,25 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     texts = rows.where("doc_id IS NOT NULL")
     keys = texts.select("doc_id", _keys("text")["keys"].alias("keys"))
     # There always are keys; the outer form keeps the optimizer from a filter on them, which would work them out twice.
-    bands = materialize(keys.select("doc_id", F.posexplode_outer("keys").alias("band", "key")), "minhash-bands")
+    bands, bands_path = written(keys.select("doc_id", F.posexplode_outer("keys").alias("band", "key")), "minhash-bands")
     shared = bands.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
-    members = materialize(bands.join(shared, "key"), "minhash-members")
-    tried, links, roots = None, given, None
+    members, members_path = written(bands.join(shared, "key"), "minhash-members")
+    drop(docs.sparkSession, bands_path)
+    tried, links, roots, spent = None, given, None, [members_path]
     if given is not None:
-        roots = materialize(components(given, "minhash-edges").select("node", "root"), "minhash-roots-given")
+        roots, roots_path = written(components(given, "minhash-edges").select("node", "root"), "minhash-roots-given")
     for step in ("low", "high", "all"):
-        open_ = members
+        open_, stale = members, []  # folders that nothing reads once the roots of the step are written
         if roots is not None:
             open_ = members.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left")
             open_ = open_.withColumn("root", F.coalesce("root", "doc_id"))
             # Buckets that are one component already are done.
             apart = open_.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("key")
-            open_ = materialize(open_.join(apart, "key"), f"minhash-open-{step}")
+            open_, open_path = written(open_.join(apart, "key"), f"minhash-open-{step}")
+            stale += [open_path, roots_path]
         if step == "all":
-            found = _links_within_buckets(open_.select("band", "key", "doc_id", "root"), texts)
+            found, paths = _links_within_buckets(open_.select("band", "key", "doc_id", "root"), texts)
+            stale += paths
         else:
             if step == "low":
                 pairs = open_.where("doc_id <> low").select(*_pairs("doc_id", "low"))
@@ -216,12 +221,16 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             pairs = pairs.distinct()
             if tried is not None:
                 pairs = pairs.join(tried, ["u", "v"], "left_anti")
-            tried = materialize(pairs, f"minhash-pairs-{step}")
-            found = _verified(tried, texts, f"minhash-links-{step}")
+            tried, tried_path = written(pairs, f"minhash-pairs-{step}")
+            found, found_path = _verified(tried, texts, f"minhash-links-{step}")
+            spent.append(tried_path)
+            stale.append(found_path)
         links = found if links is None else links.union(found)
-        roots = materialize(components(links, "minhash-edges").select("node", "root"), f"minhash-roots-{step}")
+        roots, roots_path = written(components(links, "minhash-edges").select("node", "root"), f"minhash-roots-{step}")
+        drop(docs.sparkSession, *stale)
         # The stars around the roots hold the same components as all links so far.
         links = roots.select(F.col("node").alias("u"), F.col("root").alias("v"))
+    drop(docs.sparkSession, *spent)
     return rows.join(roots, F.col("doc_id") == F.col("node"), "left").select(
         "doc_id", F.coalesce("root", "doc_id").alias("component_id")
     )

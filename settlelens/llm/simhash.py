@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from settlelens.llm.common import components, materialize, null_safe_text
+from settlelens.llm.common import components, drop, materialize, null_safe_text, written
 
 SEED = 42
 SHINGLE = 4
@@ -258,13 +258,14 @@ def near_duplicates(
 ) -> DataFrame:
     """(doc_id, fingerprint, component_id) of every row; a component's id is its smallest document id."""
     prints = materialize(fingerprints(docs, id_col, text_col, shingle), "simhash-prints")
-    groups = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("low")), "simhash-classes")
+    groups, groups_path = written(prints.groupBy("fp").agg(F.min("doc_id").alias("low")), "simhash-classes")
     # Fingerprints are linked by themselves, so that those of rows without an id hold others together as well.
     roots = components(near_links(groups.select("fp", F.col("fp").alias("rep")), budget), "simhash-links")
     merged = groups.join(roots, groups["fp"] == roots["node"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
-    merged = materialize(merged, "simhash-merged")
+    merged, merged_path = written(merged, "simhash-merged")
     ids = merged.groupBy("root").agg(F.min("low").alias("component_id"))
     named = materialize(merged.join(ids, "root").select("fp", "component_id"), "simhash-components")
+    drop(docs.sparkSession, groups_path, merged_path)
     return prints.join(named, "fp").select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )

@@ -1,10 +1,15 @@
+import pathlib
+import time
+
 import corpus_pipeline
 import pandas as pd
 import public_tokenizers
 
 from settlelens.llm.mixing import mixing_sql
+from settlelens.llm.common import materialize
 from settlelens.llm.quality_sql import quality_sql
 from settlelens.llm.sentencepiece import Pieces
+from settlelens.session import scratch_root
 from tests.llm.conftest import SMALL, duck
 from tests.llm.test_minhash import near_groups
 
@@ -51,3 +56,32 @@ def test_rows_without_an_id_and_rows_of_one_id_are_told_apart(spark):
     alone = docs.where("doc_id IS NULL")
     for stage in (corpus_pipeline.exact, corpus_pipeline.near):
         assert sorted(r["text"] for r in stage(spark, alone, "").collect()) == texts[:2]
+
+
+def test_near_leaves_only_what_its_result_reads(spark):
+    """Tables of the steps are deleted as soon as nothing reads them."""
+    words = [f"w{i}" for i in range(60)]
+    texts = [" ".join(words[:k] + [f"x{k}"] + words[k + 1 :]) for k in range(0, 60, 10)] + ["a b c d e f g"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    folder = pathlib.Path(scratch_root(spark).removeprefix("file:")) / "settlelens"
+    before = {p.name for p in folder.glob("*")}
+    kept = {r["doc_id"] for r in corpus_pipeline.near(spark, docs, "").collect()}
+    assert 6 in kept and len(kept) < len(texts)
+    left = [p.name.rpartition("-")[0] for p in folder.glob("*") if p.name not in before]
+    assert "near-rows" in left and not {n for n in left if n.startswith(("minhash-", "simhash-"))} - {
+        "minhash-roots-all", "minhash-edges", "simhash-prints", "simhash-components", "simhash-links"
+    }
+    assert left.count("minhash-edges") <= 4 and left.count("simhash-links") == 1
+
+
+def test_a_written_table_leaves_no_shuffle_files(spark):
+    where = spark._jsc.sc().env().blockManager().diskBlockManager().localDirsString()
+    files = lambda: {f.name for d in where for f in pathlib.Path(d).rglob("shuffle_*")}
+    before, key = files(), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    kept = spark.conf.get(key)
+    table = materialize(spark.range(1000).selectExpr("id % 7 AS k").groupBy("k").count(), "sevens")
+    assert spark.conf.get(key) == kept
+    until = time.time() + 10
+    while files() - before and time.time() < until:  # executors are told to delete them, and do so a little later
+        time.sleep(0.2)
+    assert not files() - before and table.count() == 7

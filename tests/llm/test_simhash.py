@@ -4,7 +4,7 @@ import numpy as np
 import pandas as pd
 import xxhash
 
-from settlelens.llm import simhash
+from settlelens.llm import common, simhash
 from settlelens.llm.common import components
 
 
@@ -61,6 +61,16 @@ def test_dealt_node_pairs_and_chunks(spark, monkeypatch):
         assert list(simhash._labels(len(values), links.u.to_numpy(), links.v.to_numpy())) == want
 
 
+def test_edges_that_are_stars_take_no_round(spark, monkeypatch):
+    real, rounds = common._large_star, []
+    monkeypatch.setattr(common, "_large_star", lambda links: rounds.append(1) or real(links))
+    for edges, want in (([(5, 1), (1, 7), (9, 8)], 0), ([(5, 1), (7, 5)], 1)):
+        rounds.clear()
+        found = components(spark.createDataFrame(edges, "u bigint, v bigint")).collect()
+        root = {1: 1, 5: 1, 7: 1} | ({8: 8, 9: 8} if want == 0 else {})
+        assert {r["node"]: r["root"] for r in found} == root and len(found) == len(root) and len(rounds) == want
+
+
 def test_components_of_chains_and_stars(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 160)] + [(7, 7), (None, 3)]
     found = components(spark.createDataFrame(chain, "u bigint, v bigint")).collect()
