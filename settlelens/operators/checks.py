@@ -396,26 +396,23 @@ def lineage_closure(edges: DataFrame, roots: DataFrame | None = None) -> DataFra
     """(artifact, input, depth) pairs reachable through ``edges`` (artifact, input).
 
     ``roots`` (artifact) names the artifacts asked about; without it every artifact is one. Artifacts that
-    reach no cycle are worked out from the bottom up, see ``closure_by_levels``; the others, roots and edges without
+    reach no cycle are worked out from the bottom up, see ``closure_by_layers``; the others, roots and edges without
     an artifact go by rounds from the top. Links without an input are pairs like others, once for each depth.
     """
-    from settlelens.operators.lineage import closure_by_levels, levels
+    from settlelens.operators.lineage import closure_by_layers
     from settlelens.session import materialize
 
     base = materialize(edges.select("artifact", "input").distinct(), "lineage-edges")
     if roots is not None:
         return _closure_by_rounds(base.join(roots.select("artifact").distinct(), "artifact", "left_semi"), base)
-    links = base.where("artifact IS NOT NULL AND input IS NOT NULL")
-    settled = list(levels(links, 1))
-    known = functools.reduce(lambda a, b: a.unionByName(b), settled).select(F.col("node").alias("artifact"))
-    open_ = materialize(links.select("artifact").distinct().join(known, "artifact", "left_anti"), "lineage-open")
+    deep, open_ = closure_by_layers(base.where("artifact IS NOT NULL AND input IS NOT NULL"))
     no_input = base.where("artifact IS NOT NULL AND input IS NULL").select("artifact")
     named = base.where("artifact IS NOT NULL").withColumn("depth", F.lit(1))
     by_rounds = base.where("artifact IS NULL")
-    if not open_.isEmpty():
+    if open_ is not None:
         named = named.join(open_, "artifact", "left_anti")
         by_rounds = by_rounds.unionByName(base.join(open_, "artifact", "left_semi"))
-    pairs = named.unionByName(closure_by_levels(links, settled).withColumn("depth", F.col("depth").cast("int")))
+    pairs = named.unionByName(deep)
     if not no_input.isEmpty():
         ends = pairs.join(no_input.withColumnRenamed("artifact", "input"), "input", "left_semi")
         pairs = pairs.unionByName(ends.select("artifact", F.lit(None).cast("string").alias("input"), (F.col("depth") + 1).alias("depth")).distinct())

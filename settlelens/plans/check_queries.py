@@ -292,8 +292,9 @@ def edges(spark, d):
     """Artifact -> input links: orders from parts, parts from suppliers, suppliers from nations, nations from regions."""
 
     def link(df, a, ka, b, kb):
-        return df.select(F.concat(F.lit(f"{a}-"), F.col(ka).cast("string")).alias("artifact"),
-                         F.concat(F.lit(f"{b}-"), F.col(kb).cast("string")).alias("input")).distinct()
+        # Numbers are told apart before they become texts.
+        return df.select(ka, kb).distinct().select(F.concat(F.lit(f"{a}-"), F.col(ka).cast("string")).alias("artifact"),
+                                                   F.concat(F.lit(f"{b}-"), F.col(kb).cast("string")).alias("input"))
 
     li = fx.table(spark, d, "lineitem")
     return (
@@ -312,7 +313,7 @@ def edges(spark, d):
       JOIN edges_ e ON c.input = e.artifact) GROUP BY 1, 2""", extra=(EDGES,)))
 def q19(spark, d):
     c = Q.lineage_closure(edges(spark, d))
-    kind = lambda name: F.split(name, "-")[0]
+    kind = lambda name: F.substring_index(name, "-", 1)
     return c.groupBy(kind("artifact").alias("artifact_kind"), kind("input").alias("input_kind")).agg(
         F.count(F.lit(1)).alias("n_links"))
 
